@@ -53,11 +53,11 @@ def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     by_four = by_two.withColumn("_h4", joined_hashes(F.col("_h2"), 2)).drop("_h2")
     eight = F.when(F.size(F.array_distinct("_h4")) < F.size("_h4"), joined_hashes(F.col("_h4"), 4)).otherwise(F.array().cast("array<bigint>"))
     by_eight = by_four.withColumn("_h8", eight).drop("_h4")
-    placed = F.array_sort(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     pairs = by_eight.withColumn("_pairs", F.when(F.size(F.array_distinct("_h8")) < F.size("_h8"), placed).otherwise(none)).drop("_h8")
     twice = F.filter("_pairs", lambda p, k: (p["h"] == F.get("_pairs", k - 1)["h"]) | (p["h"] == F.get("_pairs", k + 1)["h"]))
-    places = pairs.withColumn("_places", F.array_sort(F.transform(twice, lambda p: p["i"]))).drop("_pairs")
+    places = pairs.withColumn("_places", F.sort_array(F.transform(twice, lambda p: p["i"]))).drop("_pairs")
     covered = F.aggregate(
         F.transform("_places", lambda p, k: F.least(F.lit(8), F.coalesce(F.get("_places", k + 1), p + 8) - p).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x
     )

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import mixing, quality
+from retort.llm import fingerprints, mixing, pii, quality
 from retort.llm.common import table
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id",
+        F.col("_n").cast("long").alias("n_chars"),
+        F.sha2("_edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("_sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("_edited_sketch")).alias("edited_fingerprint"),
+        F.col("_near_edited").alias("near_edited"),
+        F.col("_near_next").alias("near_next"),
+    )
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select(
@@ -23,9 +36,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", *[F.col(f"_{c}").alias(c) for c in counts], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+def _count_of(kind: str) -> Column:
+    return F.size(F.filter("_spans", lambda x: x["kind"] == kind)).cast("long")
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("_spans", lambda x: x["no"] < len(pii.BASE_KINDS))
+    counts = [_count_of(k.name).alias(f"n_{k.name}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("_spans")).alias("spans"))
+
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op3_source_mixing": op3_source_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
