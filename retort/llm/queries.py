@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import fingerprints, mixing, pii, quality
+from retort.llm import fingerprints, mixing, near_dedup, pii, quality
 from retort.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", *[F.col(f"_{c}").alias(c) for c in counts], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _count_of(kind: str) -> Column:
     return F.size(F.filter("_spans", lambda x: x["kind"] == kind)).cast("long")
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_source_mixing": op3_source_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
