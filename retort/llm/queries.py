@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import fingerprints, mixing, near_dedup, pii, quality, token_files
+from retort.llm import fingerprints, mixing, near_dedup, pii, quality, token_files, warc
 from retort.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +65,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_source_mixing": op3_source_mixing,
+    "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,

@@ -112,7 +112,7 @@ def write_file(folder: str, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarr
     parts = [json.dumps(index).encode().ljust(256), np.asarray(doc_ids.fill_null(0)).astype("<i8").tobytes(), valid.tobytes(), np.concatenate([[0], np.cumsum(counts)]).astype("<i8").tobytes(), blocks.astype("<i8").tobytes()]
     uri = new_file(folder, ".ids")
     system, path = opened(uri)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         out.write(MAGIC)
         out.write(words.astype("<u8").tobytes())
         out.write(b"".join(parts))
