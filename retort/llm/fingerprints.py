@@ -76,7 +76,7 @@ def with_next(rows: DataFrame, id_col: str, carried: list[str], buckets: int) ->
 
     Ids are cut at quantiles into ranges of like numbers of rows, one window partition each. The head of each range is
     copied to the end of the range before it, so that no step sees more than one range; the table of heads has one row a
-    range. Rows with equal ids follow each other by the hash of what they carry.
+    range. Rows with equal ids follow each other by the hash of the first column carried.
     """
     cuts = sorted({int(x) for x in rows.stat.approxQuantile(id_col, [i / buckets for i in range(1, buckets)], 0.25 / buckets)}) if buckets > 1 else []
     width = max(1, int(len(cuts) ** 0.5))
@@ -86,7 +86,7 @@ def with_next(rows: DataFrame, id_col: str, carried: list[str], buckets: int) ->
         coarse = above(F.array(*[F.lit(c) for c in cuts[::width]]))  # a cut is looked up in two short lists
         fine = F.slice(F.array(*[F.lit(c) for c in cuts]), F.greatest(coarse - 1, F.lit(0)) * width + 1, F.lit(width))
         bucket = F.when(coarse == 0, 0).otherwise((coarse - 1) * width + above(fine))
-    placed = rows.withColumns({"_range": F.when(F.col(id_col).isNull(), -1).otherwise(bucket).cast("int"), "_tie": F.xxhash64(*carried)})
+    placed = rows.withColumns({"_range": F.when(F.col(id_col).isNull(), -1).otherwise(bucket).cast("int"), "_tie": F.xxhash64(carried[0])})
     by_range = Window.orderBy("_range")
     heads = placed.groupBy("_range").agg(F.max(F.struct(id_col, "_tie")).alias("_head"))
     onto = heads.withColumn("_onto", F.coalesce(F.lead("_range").over(by_range), F.min("_range").over(Window.partitionBy())))
