@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import fingerprints, mixing, near_dedup, pii, quality, token_files, warc
+from retort.llm import fingerprints, html_extract, mixing, near_dedup, pii, quality, token_files, warc
 from retort.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     verdicts = quality.judged(docs, keep=["doc_id", "lang", "source"])
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
+    "op6_main_text": op6_main_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,
     "op10_personal_data": op10_personal_data,
