@@ -155,8 +155,8 @@ def content_paths(paths: list, lengths: np.ndarray, marks: np.ndarray, threshold
     mark_ratio = np.bincount(which, weights=lengths * np.sqrt(marks)) / count
     fused = np.sqrt(_smoothed(text_ratio[which]) * (1 + _smoothed(mark_ratio[which])))
     own = np.sqrt(text_ratio * (1 + mark_ratio))
-    # neighbours lift a path by smoothing only as far as half of its score is its own
-    score = np.bincount(which, weights=fused) / count * 0.5 + own * 0.5
+    # the geometric mean of a path's own score and its neighbourhood's: smoothing alone lifts no path
+    score = np.sqrt(np.bincount(which, weights=fused) / count * own)
     bar = min(threshold * float(np.std(fused)) if len(paths) > 2 else 0.0, float(score.max()))
     return {p for p, i in names.items() if score[i] >= bar}
 
@@ -184,6 +184,10 @@ def main_text(page: str | None) -> str:
             e = e.parent
     whole = max(held.values())
     article = max((e for k, e in by_number.items() if held[k] >= 0.9 * whole and e.tag not in _INLINE and e.tag != "p"), key=lambda e: e.depth)
+    up = article
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    article = up or article
     links: dict[int, list[float]] = {}
     for t, e, b in kept:
         in_link, up = False, e
