@@ -52,9 +52,12 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         at = upto
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in the bytes, and the index of the first word of each text (one more at the end)."""
-    solid = ~_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, solid_bytes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the bytes, and the index of the first word of each text (one more at the end).
+
+    Words are runs of what is not white space, or of the bytes marked in ``solid_bytes``.
+    """
+    solid = ~_SPACE[data] if solid_bytes is None else solid_bytes[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
@@ -66,14 +69,21 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, stops, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower: bool = True) -> np.ndarray:
+class RangeHasher:
+    """64-bit hashes of byte ranges, A-Z read as a-z."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = _powers(max(CHUNK_BYTES, 1 << int(len(data)).bit_length()))
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[_LOWER[data]] * power[: len(data)], out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[stops] - self.sums[starts]) * self.inverse[starts])
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words, A-Z read as a-z."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    power, inverse = _powers(max(CHUNK_BYTES, 1 << int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * power[: len(data)], out=sums[1:])
-    return mixed((sums[stops] - sums[starts]) * inverse[starts])
+    return RangeHasher(data).hashes(starts, stops) if len(starts) else np.empty(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

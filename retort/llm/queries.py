@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import fingerprints, html_extract, mixing, near_dedup, pii, quality, token_files, warc
+from retort.llm import fingerprints, html_extract, mixing, near_dedup, packing, pii, quality, token_files, toxicity, warc
 from retort.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select(
@@ -55,6 +59,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _count_of(kind: str) -> Column:
     return F.size(F.filter("_spans", lambda x: x["kind"] == kind)).cast("long")
 
@@ -68,12 +76,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_toxicity": op2_toxicity,
     "op3_source_mixing": op3_source_mixing,
     "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
     "op6_main_text": op6_main_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
