@@ -34,12 +34,13 @@ from retort.llm.shared_files import new_file, opened, partition
 
 MAGIC = b"IDS8B\x00\x00\x01"
 #: A file is closed at the first document end after so many ids.
-FILE_IDS = 8_000_000
+FILE_IDS = 4_000_000
 #: Texts are tokenized together up to so many bytes.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Pieces that a task remembers; beyond, it starts anew.
 REMEMBERED = 400_000
 END_ID = 0
+_MARKS = ".,;:!?"
 _WIDE_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}] "
 _FILES = "shard int, part int, path string, n_docs long, n_ids long"
 
@@ -54,20 +55,52 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def _memory(path: str) -> tuple[dict[str, list[int]], np.ndarray]:
+    """Pieces that this worker has encoded, and which ids begin with a space."""
+    heads = np.zeros(_tokenizer(path).get_vocab_size(), dtype=bool)
+    heads[[i for token, i in _tokenizer(path).get_vocab().items() if token.startswith("\u0120")]] = True
+    return {}, heads
+
+
 class Encoder:
     """Token ids of string columns, with a memory of pieces."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer = _tokenizer(path)
+        self.known, self.heads = _memory(path)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces. Those that are one word after one space go to the library end to end, and come apart where an id begins with a space."""
+        words, others = [], []
+        for p in pieces:
+            parts = p.split()
+            (words if p[:1] == " " and len(parts) == 1 and len(parts[0]) == len(p) - 1 else others).append(p)
+        runs = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for run, encoded in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = encoded.ids
+            starts = np.flatnonzero(self.heads[ids]).tolist()
+            if len(starts) != len(run):
+                others += run
+                continue
+            self.known.update(zip(run, map(ids.__getitem__, map(slice, starts, [*starts[1:], len(ids)])), strict=True))
+        self.known.update(zip(others, (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
 
     def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces, end to end, and their counts."""
+        """Ids of the pieces, end to end, and their counts. Marks after a letter or digit are pieces of their own to the tokenizer, so they are split off."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        fresh = [p for p in pieces if p not in self.known]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            self.known.clear()
+        bare, whole = [], {}
+        for p in pieces:
+            if p not in self.known:
+                stem = p.rstrip(_MARKS)
+                if len(stem) < len(p) and stem[-1:].isalnum():
+                    whole[p] = stem
+                    bare += (stem, p[len(stem) :])
+                else:
+                    bare.append(p)
+        self._learn([p for p in dict.fromkeys(bare) if p not in self.known])
+        self.known.update((p, self.known[stem] + self.known[p[len(stem) :]]) for p, stem in whole.items())
         found = [self.known[p] for p in pieces]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int64, counts.sum()), counts

@@ -36,7 +36,7 @@ def test_long_runs_of_small_ids_pack_tightly():
 
 def test_encoder_equals_library():
     rng = random.Random(3)
-    texts = ODD + ["".join(rng.choice([" ", "a", "B", "é", "\n", "1", ".", "'s", "  ", "word", "\t"]) for _ in range(60)) for _ in range(300)]
+    texts = ODD + ["".join(rng.choice([" ", "a", "B", "é", "\n", "1", ".", "'s", "  ", "word", "\t", "Ends.", "x's,", "5;", "²!", "한국?", "'ll.", ".a"]) for _ in range(60)) for _ in range(300)]
     tokenizer = token_files._tokenizer(TOKENIZER)
     ids, counts = token_files.Encoder(TOKENIZER).encode(pa.array([t or "" for t in texts]))
     at = 0
