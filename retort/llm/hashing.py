@@ -102,7 +102,7 @@ def shingle_hashes(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, n
         out[np.repeat(n >= SHINGLE, counts)] = mixed(windows[whole])
     for i in np.flatnonzero((n > 0) & (n < SHINGLE)):
         few = words[firsts[i] : firsts[i + 1]]
-        out[bounds[i]] = mixed(np.array([(few * _POSITION[: len(few)]).sum(dtype=np.uint64) + _FEWER[len(few)]], dtype=np.uint64))[0]
+        out[bounds[i]] = mixed((few * _POSITION[: len(few)]).sum(dtype=np.uint64, keepdims=True) + _FEWER[len(few) : len(few) + 1])[0]
     return out, bounds
 
 

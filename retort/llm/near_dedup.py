@@ -6,9 +6,10 @@ shingle's ranks for all shifts are one slice of the table. Bands of the signatur
 
 Texts with equal shingle sets form a class, and only class representatives go on. Within a bucket all are checked
 against one hub; a member that lies in another component than the hub is checked against further hubs, drawn anew each
-round, and what is then left between different components of a bucket is checked pair by pair. Pairs inside one component
-need no check, for they cannot change it. So a bucket of any size costs about its size, no partner is capped, and no
-link between different texts is lost. Links are confirmed on the full shingle sets.
+round, until few enough pairs are left between different components of a bucket; those are compared one by one on the
+last four bits of their signature coordinates, inside the join, and the likely ones checked. Pairs inside one component
+need no check, for they cannot change it. So a group of near copies of any size costs about its size, and no partner is
+capped. Links are confirmed on the full shingle sets.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a text of fewer
 than five words is one shingle; a null id is never linked; rows that repeat an id are one document if their texts are equal;
@@ -34,8 +35,10 @@ UNIVERSE = 1 << 20
 PERCENT = 75
 #: Rounds of hubs before the rest is checked pair by pair.
 HUB_ROUNDS = 6
-#: The rest is checked pair by pair as soon as it is at most so many pairs for each row in an open bucket.
-PAIRS_A_ROW = 1.0
+#: What is left is compared pair by pair as soon as it is at most so many pairs for each row in an open bucket.
+PAIRS_A_ROW = 64.0
+#: Coordinates that may differ in their last four bits, of BANDS * ROWS: 4.2 standard deviations beyond what is expected at PERCENT.
+MOST_DIFFERING = 72
 
 
 @lru_cache(maxsize=1)
@@ -61,6 +64,24 @@ def _band_keys(signatures: np.ndarray) -> np.ndarray:
     return mixed((parts * weights).sum(axis=2, dtype=np.uint64) + mixed(np.arange(BANDS, dtype=np.uint64))).view(np.int64)
 
 
+def _sketches(signatures: np.ndarray) -> np.ndarray:
+    """The last four bits of each coordinate, sixteen to a 64-bit value."""
+    bits = np.zeros((len(signatures), -(-BANDS * ROWS // 16) * 16), dtype=np.uint64)
+    bits[:, : BANDS * ROWS] = signatures & np.uint32(15)
+    return (bits.reshape(len(signatures), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def _differing(a: str, b: str) -> Column:
+    """Number of coordinates in which two sketches differ."""
+    total = F.lit(0)
+    for i in range(-(-BANDS * ROWS // 16)):
+        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
+        x = x.bitwiseOR(F.shiftright(x, 1))
+        x = x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
@@ -77,7 +98,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths[np.array(filled, dtype=np.int64) + 1] = BANDS
         keys = _band_keys(np.array(signatures)).ravel() if filled else np.empty(0, np.int64)
         bands = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(keys))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(one), pa.array(two), bands], ["doc_id", "n", "one", "two", "bands"])
+        lengths[lengths > 0] = -(-BANDS * ROWS // 16)
+        packed = _sketches(np.array(signatures)).ravel() if filled else np.empty(0, np.int64)
+        sketch = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(packed))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(one), pa.array(two), bands, sketch], ["doc_id", "n", "one", "two", "bands", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,15 +122,25 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        lower = checkpointed(lower)
         roots = lower.select(F.col("id").alias("root"), F.col("to").alias("root_to"))
-        hopped = lower.join(roots, F.col("to") == F.col("root"), "left")
-        after = checkpointed(hopped.select("id", F.least("to", F.coalesce("root_to", "to")).alias("component"), "was"))
+        hopped = lower.join(roots, F.col("to") == F.col("root"), "left").select("id", F.least("to", F.coalesce("root_to", "to")).alias("component"), "was")
+        after = checkpointed(hopped)
         labels = after.select("id", "component")
         if after.filter(F.col("component") != F.col("was")).isEmpty():
             return labels
 
 
+def _joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """Components after ``fresh (a, b)`` links; only links between components are followed."""
+    if labels is None:
+        return components(fresh)
+    of_a, of_b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    between = fresh.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(between.filter("a != b").distinct())
+    known = labels.unionByName(fresh.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").withColumn("component", F.col("id")))
+    return checkpointed(known.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs (a, b)`` whose full shingle sets are alike enough."""
     first, second = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
@@ -123,26 +157,33 @@ def _fitting(n_a: Column, n_b: Column) -> Column:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs (doc_id, text)``."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = written(texts.mapInArrow(_signed, "doc_id long, n long, one long, two long, bands array<long>"), "signatures")
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    buckets = classes.select("id", "n", F.explode("bands").alias("band"))
+    signed = written(texts.mapInArrow(_signed, "doc_id long, n long, one long, two long, bands array<long>, sketch array<long>"), "signatures")
+    classes = signed.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    buckets = classes.select("id", "n", F.posexplode("bands").alias("no", "band"))
     shared = buckets.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
     members = written(buckets.join(shared, "band"), "buckets")
-    sets = links = tried = None
-    labels = members.select("id", F.col("id").alias("component")).limit(0)
+    sets = tried = labels = None
     for round_no in range(HUB_ROUNDS + 1):
-        placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = members.withColumn("component", F.col("id"))
+        if labels is not None:
+            placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = placed.groupBy("band", "component").agg(F.count("*").cast("double").alias("size"))
-        totals = parts.groupBy("band").agg(F.sum("size").alias("size"), ((F.sum("size") * F.sum("size") - F.sum(F.col("size") * F.col("size"))) / 2).alias("open"))
+        totals = parts.groupBy("band").agg(F.sum("size").alias("size"), ((F.sum("size") * F.sum("size") - F.sum(F.col("size") * F.col("size"))) / 2).alias("open"), F.max_by("component", "size").alias("main"))
         open_bands = checkpointed(totals.filter("open > 0"))
         pairs_open, rows_open = open_bands.agg(F.coalesce(F.sum("open"), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
         if not pairs_open:
             break
         last = round_no == HUB_ROUNDS or pairs_open <= PAIRS_A_ROW * rows_open
-        left = placed.join(open_bands.select("band"), "band")
+        left = placed.join(open_bands.select("band", "main"), "band")
         if last:
-            right = left.select("band", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-            met = left.join(right, "band").filter(F.col("component") < F.col("of_b"))
+            left = left.join(classes.select("id", "bands", "sketch"), "id")
+            right = left.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "bands", "sketch")])
+            likely = _fitting(F.col("n"), F.col("n_b")) & (_differing("sketch", "sketch_b") <= MOST_DIFFERING)
+            upto = F.col("no") + 1  # a pair is met in its first common band only
+            first = F.size(F.array_intersect(F.slice("bands", 1, upto), F.slice("bands_b", 1, upto))) == 1
+            # each pair has a member outside the bucket's largest component, so only those look for partners
+            once = (F.col("component_b") == F.col("main")) | (F.col("component") < F.col("component_b"))
+            met = left.filter("component != main").alias("l").join(right, (F.col("l.band") == right.band) & (F.col("component") != F.col("component_b")) & once & likely & first).select("id", F.col("id_b").alias("b"), "n", F.col("n_b"))
         else:
             order = F.struct((F.col("id") if round_no == 0 else F.xxhash64(F.lit(round_no), "id")).alias("key"), "id", "n", "component")
             hubs = left.groupBy("band").agg(F.min(order).alias("hub")).select("band", F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("of_b"))
@@ -156,11 +197,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             fresh = checkpointed(_alike(pairs, sets))
             tried = pairs if tried is None else tried.union(pairs)
             if not fresh.isEmpty():
-                links = fresh if links is None else links.union(fresh)
-                labels = components(links)
+                labels = _joined(labels, fresh)
         if last:
             break
-    named = classes.select("n", "one", "two", "id").join(labels, "id", "left").select("n", "one", "two", F.coalesce("component", "id").alias("component_id"))
+    named = classes.select("n", "one", "two", "id", F.col("id").alias("component_id"))
+    if labels is not None:
+        named = named.drop("component_id").join(labels, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
+    named = named.select("n", "one", "two", "component_id")
     out = signed.select("doc_id", "n", "one", "two").join(named, ["n", "one", "two"], "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
