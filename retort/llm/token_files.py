@@ -18,9 +18,9 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ FILE_IDS = 4_000_000
 #: Texts are tokenized together up to so many bytes.
 CHUNK_BYTES = 4 << 20
 #: Pieces that a task remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 END_ID = 0
 _MARKS = ".,;:!?"
 _WIDE_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}] "
@@ -55,22 +55,25 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-@lru_cache(maxsize=2)
-def _memory(path: str) -> tuple[dict[str, list[int]], np.ndarray]:
-    """Pieces that this worker has encoded, and which ids begin with a space."""
-    heads = np.zeros(_tokenizer(path).get_vocab_size(), dtype=bool)
-    heads[[i for token, i in _tokenizer(path).get_vocab().items() if token.startswith("\u0120")]] = True
-    return {}, heads
-
-
-class Encoder:
-    """Token ids of string columns, with a memory of pieces."""
+class _Memory:
+    """Pieces that a worker has encoded: each piece's place in one array of ids, as start * 2**24 + length; and which ids begin with a space."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.known, self.heads = _memory(path)
+        self.places: dict[str, int] = {}
+        self.ids = array("I")
+        self.heads = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.heads[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
 
-    def _learn(self, pieces: list[str]) -> None:
+    def clear(self) -> None:
+        self.places, self.ids = {}, array("I")
+
+    def add(self, pieces: list[str], ids, starts: np.ndarray, counts: np.ndarray) -> None:
+        """Pieces whose ids lie end to end in ``ids``."""
+        self.places.update(zip(pieces, ((starts + len(self.ids) << 24) + counts).tolist(), strict=True))
+        self.ids.extend(ids)
+
+    def learn(self, pieces: list[str]) -> None:
         """Encode pieces. Those that are one word after one space go to the library end to end, and come apart where an id begins with a space."""
         words, others = [], []
         for p in pieces:
@@ -79,31 +82,49 @@ class Encoder:
         runs = [words[at : at + 1000] for at in range(0, len(words), 1000)]
         for run, encoded in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = encoded.ids
-            starts = np.flatnonzero(self.heads[ids]).tolist()
-            if len(starts) != len(run):
+            starts = np.flatnonzero(self.heads[ids])
+            if len(starts) == len(run):
+                self.add(run, ids, starts, np.diff(starts, append=len(ids)))
+            else:
                 others += run
-                continue
-            self.known.update(zip(run, map(ids.__getitem__, map(slice, starts, [*starts[1:], len(ids)])), strict=True))
-        self.known.update(zip(others, (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
+        for p, encoded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.add([p], encoded.ids, np.zeros(1, np.int64), np.array([len(encoded.ids)]))
+
+
+_memory = lru_cache(maxsize=2)(_Memory)
+
+
+class Encoder:
+    """Token ids of string columns, with a memory of pieces for the life of the worker."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.memory = _tokenizer(path), _memory(path)
 
     def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, end to end, and their counts. Marks after a letter or digit are pieces of their own to the tokenizer, so they are split off."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        memory = self.memory
+        if len(memory.places) > REMEMBERED:
+            memory.clear()
         bare, whole = [], {}
         for p in pieces:
-            if p not in self.known:
+            if p not in memory.places:
                 stem = p.rstrip(_MARKS)
                 if len(stem) < len(p) and stem[-1:].isalnum():
                     whole[p] = stem
                     bare += (stem, p[len(stem) :])
                 else:
                     bare.append(p)
-        self._learn([p for p in dict.fromkeys(bare) if p not in self.known])
-        self.known.update((p, self.known[stem] + self.known[p[len(stem) :]]) for p, stem in whole.items())
-        found = [self.known[p] for p in pieces]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int64, counts.sum()), counts
+        memory.learn([p for p in dict.fromkeys(bare) if p not in memory.places])
+        # a piece with marks is two places
+        both = [q for p in pieces for q in ((whole[p], p[len(whole[p]) :]) if p in whole else (p,))]
+        place = np.fromiter(map(memory.places.__getitem__, both), np.int64, len(both))
+        counts, starts = place & 0xFFFFFF, place >> 24
+        upto = np.cumsum(counts)
+        ids = np.frombuffer(memory.ids, np.uint32)[np.repeat(starts - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)].astype(np.int64)
+        if whole:
+            firsts = np.cumsum([0] + [2 if p in whole else 1 for p in pieces])
+            counts = np.diff(np.concatenate([[0], upto])[firsts])
+        return ids, counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, each with the end id after it, and the counts."""
