@@ -83,7 +83,7 @@ def _differing(a: str, b: str) -> Column:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         n = batch.num_rows
         size, one, two = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         filled, signatures = [], []
@@ -105,28 +105,32 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, part, filled = batch.column("doc_id"), [], 0
+    for batch in _slices(batches):
         sets = [s.view(np.int64) for _, s in shingle_sets(batch.column("text"))]
-        for at in range(0, len(sets), 500):
-            part = sets[at : at + 500]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in part])]).astype(np.int32)
-            values = np.concatenate(part) if part else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([rows.slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "shingles"])
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "shingles"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Connected components of ``links (a, b)``: ``id, component`` for every linked id, the component being its least id."""
-    both = checkpointed(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    """Connected components of ``links (a, b)``: ``id, component`` for every linked id, the component being its least id.
+
+    Labels go over the links and then to their own label's label, until their sum stays the same. ``links`` is read every round.
+    """
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("id"), F.col(y).alias("near")) for x, y in ("ab", "ba", "aa", "bb")]))
+    both = links.select(ends.alias("e")).select("e.id", "e.near")
+    labels, total = checkpointed(both.groupBy("id").agg(F.min("near").alias("component"))), None
     while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        roots = lower.select(F.col("id").alias("root"), F.col("to").alias("root_to"))
-        hopped = lower.join(roots, F.col("to") == F.col("root"), "left").select("id", F.least("to", F.coalesce("root_to", "to")).alias("component"), "was")
-        after = checkpointed(hopped)
-        labels = after.select("id", "component")
-        if after.filter(F.col("component") != F.col("was")).isEmpty():
+        sent = both.join(labels.withColumnRenamed("id", "near"), "near").groupBy("id").agg(F.min("component").alias("to"))
+        roots = sent.select(F.col("id").alias("root"), F.col("to").alias("root_to"))
+        labels = checkpointed(sent.join(roots, F.col("to") == F.col("root"), "left").select("id", F.least("to", F.coalesce("root_to", "to")).alias("component")))
+        before, total = total, labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if total == before:
             return labels
 
 
@@ -136,7 +140,7 @@ def _joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
         return components(fresh)
     of_a, of_b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
     between = fresh.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    moved = components(between.filter("a != b").distinct())
+    moved = components(checkpointed(between.filter("a != b").distinct()))
     known = labels.unionByName(fresh.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").withColumn("component", F.col("id")))
     return checkpointed(known.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
@@ -160,23 +164,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = written(texts.mapInArrow(_signed, "doc_id long, n long, one long, two long, bands array<long>, sketch array<long>"), "signatures")
     classes = signed.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     buckets = classes.select("id", "n", F.posexplode("bands").alias("no", "band"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
-    members = written(buckets.join(shared, "band"), "buckets")
+    shared = buckets.groupBy("band").agg(F.count("*").cast("double").alias("size"), F.min(F.struct("id", "n")).alias("hub")).filter("size > 1")
+    members = written(buckets.join(shared, "band").select("id", "n", "no", "band", "size", F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b")), "buckets")
     sets = tried = labels = None
     for round_no in range(HUB_ROUNDS + 1):
-        placed = members.withColumn("component", F.col("id"))
-        if labels is not None:
-            placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = placed.groupBy("band", "component").agg(F.count("*").cast("double").alias("size"))
-        totals = parts.groupBy("band").agg(F.sum("size").alias("size"), ((F.sum("size") * F.sum("size") - F.sum(F.col("size") * F.col("size"))) / 2).alias("open"), F.max_by("component", "size").alias("main"))
-        open_bands = checkpointed(totals.filter("open > 0"))
-        pairs_open, rows_open = open_bands.agg(F.coalesce(F.sum("open"), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
+        if labels is None:
+            left = members.withColumns({"component": F.col("id"), "main": F.col("b"), "of_b": F.col("b")})
+            pairs_open, rows_open = left.agg(F.coalesce(F.sum((F.col("size") - 1) / 2), F.lit(0.0)), F.count("*")).first()
+        else:
+            placed = members.select("id", "n", "no", "band").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            parts = placed.groupBy("band", "component").agg(F.count("*").cast("double").alias("size"))
+            totals = parts.groupBy("band").agg(F.sum("size").alias("size"), ((F.sum("size") * F.sum("size") - F.sum(F.col("size") * F.col("size"))) / 2).alias("open"), F.max_by("component", "size").alias("main"))
+            open_bands = checkpointed(totals.filter("open > 0"))
+            pairs_open, rows_open = open_bands.agg(F.coalesce(F.sum("open"), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
+            left = placed.join(open_bands.select("band", "main"), "band")
         if not pairs_open:
             break
         last = round_no == HUB_ROUNDS or pairs_open <= PAIRS_A_ROW * rows_open
-        left = placed.join(open_bands.select("band", "main"), "band")
         if last:
-            left = left.join(classes.select("id", "bands", "sketch"), "id")
+            left = left.select("id", "n", "no", "band", "component", "main").join(classes.select("id", "bands", "sketch"), "id")
             right = left.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "bands", "sketch")])
             likely = _fitting(F.col("n"), F.col("n_b")) & (_differing("sketch", "sketch_b") <= MOST_DIFFERING)
             upto = F.col("no") + 1  # a pair is met in its first common band only
@@ -184,8 +190,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             # each pair has a member outside the bucket's largest component, so only those look for partners
             once = (F.col("component_b") == F.col("main")) | (F.col("component") < F.col("component_b"))
             met = left.filter("component != main").alias("l").join(right, (F.col("l.band") == right.band) & (F.col("component") != F.col("component_b")) & once & likely & first).select("id", F.col("id_b").alias("b"), "n", F.col("n_b"))
+        elif labels is None:
+            met = left.filter("id != b")
         else:
-            order = F.struct((F.col("id") if round_no == 0 else F.xxhash64(F.lit(round_no), "id")).alias("key"), "id", "n", "component")
+            order = F.struct(F.xxhash64(F.lit(round_no), "id").alias("key"), "id", "n", "component")
             hubs = left.groupBy("band").agg(F.min(order).alias("hub")).select("band", F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("of_b"))
             met = left.join(hubs, "band").filter(F.col("component") != F.col("of_b"))
         pairs = met.filter(_fitting(F.col("n"), F.col("n_b"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
@@ -198,6 +206,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             tried = pairs if tried is None else tried.union(pairs)
             if not fresh.isEmpty():
                 labels = _joined(labels, fresh)
+        if labels is None:
+            labels = members.select("id", F.col("id").alias("component")).limit(0)
         if last:
             break
     named = classes.select("n", "one", "two", "id", F.col("id").alias("component_id"))
