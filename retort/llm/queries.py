@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import fingerprints, html_extract, mixing, near_dedup, packing, pii, quality, token_files, toxicity, warc
+from retort.llm import fingerprints, html_extract, mixing, near_dedup, oracles, packing, pii, quality, token_files, toxicity, warc
 from retort.llm.common import table
 
 
@@ -86,4 +86,4 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_personal_data": op10_personal_data,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
