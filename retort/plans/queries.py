@@ -647,3 +647,47 @@ def beam_searched(spark, d):
 
     alike = lambda p, t: F.when(p == t, 1.0).otherwise(1 / (1 + F.levenshtein(p, t)))
     return routes.beam_search(states, predict, table, execute, alike, factor=3, width=6, steps=4, results=5).select("target_id", "product", _r("score").alias("score"))
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, d, table, start, read):
+    """Run a stream over a given table to its end and read what it wrote, in the shared folder."""
+    import tempfile
+    import uuid
+
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")) + f"/retort-{uuid.uuid4().hex}"
+    start(f"{d}/{table}.parquet", f"{root}/out", f"{root}/state").awaitTermination()
+    return read(f"{root}/out")
+
+
+@query("SELECT count(DISTINCT text) AS n FROM documents")
+def streamed_distinct_molecules(spark, d):
+    from retort.streaming import jobs
+
+    schema = _t(spark, d, "documents").schema
+
+    def start(path, out, state):
+        stream = spark.readStream.schema(schema).parquet(_folder(path)).select("text")
+        return jobs.distinct_stream(stream, "text", out, state)
+
+    return _streamed(spark, d, "documents", start, lambda out: spark.read.schema("text string").parquet(out).agg(F.count("*").alias("n")))
+
+
+@query(f"WITH {MATRIX_SQL} SELECT * FROM matrix")
+def streamed_reaction_matrix(spark, d):
+    from retort.streaming import jobs
+
+    schema = _t(spark, d, "lineitem").schema
+
+    def start(path, out, state):
+        stream = spark.readStream.schema(schema).parquet(_folder(path))
+        return jobs.matrix_stream(stream.select(F.col("l_partkey").alias("reactant_id"), (F.col("l_suppkey") % 91).alias("rxn_id"), (F.col("l_linenumber") % 2).alias("slot")), out, state)
+
+    return _streamed(spark, d, "lineitem", start, lambda out: jobs.merged_matrix(spark, out))
+
+
+def _folder(path: str) -> str:
+    """A path that a stream can list: a single file is matched by a pattern."""
+    return path.replace(".parquet", ".parquet*")
