@@ -170,9 +170,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for round_no in range(HUB_ROUNDS + 1):
         if labels is None:
             left = members.withColumns({"component": F.col("id"), "main": F.col("b"), "of_b": F.col("b")})
-            pairs_open, rows_open = left.agg(F.coalesce(F.sum((F.col("size") - 1) / 2), F.lit(0.0)), F.count("*")).first()
+            pairs_open, rows_open = left.agg(F.coalesce(F.sum((F.col("size") - 1) / 2), F.lit(0.0)), F.count("*")).first()  # the first hub comes before any pairs
         else:
-            placed = members.select("id", "n", "no", "band").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            placed = checkpointed(members.select("id", "n", "no", "band").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
             parts = placed.groupBy("band", "component").agg(F.count("*").cast("double").alias("size"))
             totals = parts.groupBy("band").agg(F.sum("size").alias("size"), ((F.sum("size") * F.sum("size") - F.sum(F.col("size") * F.col("size"))) / 2).alias("open"), F.max_by("component", "size").alias("main"))
             open_bands = checkpointed(totals.filter("open > 0"))
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             left = placed.join(open_bands.select("band", "main"), "band")
         if not pairs_open:
             break
-        last = round_no == HUB_ROUNDS or pairs_open <= PAIRS_A_ROW * rows_open
+        last = round_no == HUB_ROUNDS or round_no > 0 and pairs_open <= PAIRS_A_ROW * rows_open
         if last:
             left = left.select("id", "n", "no", "band", "component", "main").join(classes.select("id", "bands", "sketch"), "id")
             right = left.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "bands", "sketch")])
