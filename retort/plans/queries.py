@@ -447,12 +447,11 @@ def pair_similarities(spark, d):
     return pairs.select(F.col("idx").alias("id"), s("tanimoto", "fp", "fp2"), s("dice", "fp", "fp2"), s("manhattan", "counts", "counts2"))
 
 
-@query("""WITH b AS (SELECT DISTINCT o_custkey AS id, l_suppkey % 60 AS bit FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
+@query("""WITH b AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '[a-z]+')) AS bit FROM documents), n AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
 p AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM b x JOIN b y ON x.bit = y.bit AND x.id < y.id GROUP BY ALL)
 SELECT id_a, id_b, round(c / (na.n + nb.n - c), 6) AS similarity FROM p JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE c / (na.n + nb.n - c) >= 0.8""")
 def similar_pairs(spark, d):
-    o = _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    bits = o.select(F.col("o_custkey").alias("id"), (F.col("l_suppkey") % 60).alias("bit")).distinct()
+    bits = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))).alias("bit"))
     return similarity.similar_pairs(bits, 0.8).select("id_a", "id_b", _r("similarity").alias("similarity"))
 
 
