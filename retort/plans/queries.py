@@ -63,12 +63,12 @@ def points(spark, d):
     feat = F.element_at(F.array(*[F.lit(x) for x in ("ARO", "HBD", "HBA", "POS", "NEG", "HYD")]), (F.ascii("event_type") % 6 + 1).cast("int"))
     return e.select(
         F.expr("event_id div 20").alias("mol_id"), F.lit(0).alias("conf_id"), (F.col("event_id") % 20).cast("int").alias("point_no"), feat.alias("feat"),
-        (F.floor(F.col("value")) % 300 / 10).cast("double").alias("x"), (F.col("user_id") % 250 / 10).cast("double").alias("y"), (F.col("event_id") * 7 % 200 / 10).cast("double").alias("z"),
+        (F.floor(F.col("value")) % 30).cast("double").alias("x"), (F.col("user_id") % 25).cast("double").alias("y"), (F.col("event_id") * 7 % 20).cast("double").alias("z"),
     )
 
 
 POINTS_SQL = """points AS (SELECT event_id // 20 AS mol_id, event_id % 20 AS point_no, ascii(event_type) % 6 AS t,
-  CAST(floor(value) % 300 / 10 AS DOUBLE) AS x, CAST(user_id % 250 / 10 AS DOUBLE) AS y, CAST(event_id * 7 % 200 / 10 AS DOUBLE) AS z FROM events)"""
+  CAST(floor(value) % 30 AS DOUBLE) AS x, CAST(user_id % 25 AS DOUBLE) AS y, CAST(event_id * 7 % 20 AS DOUBLE) AS z FROM events)"""
 _SLOT = "least(a.t, b.t) * 6 - (least(a.t, b.t) * (least(a.t, b.t) - 1)) // 2 + greatest(a.t, b.t) - least(a.t, b.t)"
 _DISTANCE = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 DIST_SQL = f"{POINTS_SQL}, dist AS (SELECT a.mol_id, {_SLOT} AS slot, {_DISTANCE} AS d FROM points a JOIN points b ON a.mol_id = b.mol_id AND a.t <= b.t)"
@@ -356,7 +356,7 @@ def pharmacophore_histogram(spark, d):
 @query(f"""WITH {DIST_SQL}, m AS (SELECT mol_id, slot, avg(exp(-d * d / 8)) AS m0, stddev_pop(exp(-d * d / 8)) AS m1, max(exp(-d * d / 8)) AS m2 FROM dist WHERE d <= 10 GROUP BY ALL),
 n AS (SELECT mol_id, sqrt(sum(m0 * m0 + m1 * m1 + m2 * m2)) AS norm FROM m GROUP BY 1)
 SELECT mol_id, slot * 3 + k AS slot, round(CASE k WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END / norm, 5) AS value FROM m JOIN n USING (mol_id), (SELECT unnest([0, 1, 2]) AS k)
-WHERE abs(CASE k WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END) > 1e-6""")
+WHERE CASE k WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END / norm > 1e-6""")
 def pharmacophore_gaussian(spark, d):
     return fingerprints.ph4_gaussian_fp(points(spark, d)).filter("value > 1e-6").select("mol_id", "slot", F.round("value", 5).alias("value"))
 
