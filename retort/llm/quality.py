@@ -28,6 +28,8 @@ ZERO_BUCKET = -100000
 FENCES = {"symbol_share": (0.02, 0.08), "dup_line_share": (0.4, 0.7), "repeat_share": (0.3, 0.4), "word_length": (8.0, 15.0), "shout_share": (0.1, 0.4)}
 #: A fence is the third quartile and ``REACH`` times its distance to the median.
 REACH = 3.0
+#: Fences of at most so many groups (under 100 bytes each) go to every task; beyond, they are joined by a shuffle.
+MOST_BROADCAST_GROUPS = 50_000
 BASE_LEAST_WORDS, BASE_MOST_REPEATED = 20, 30
 
 
@@ -107,7 +109,8 @@ def judged(docs: DataFrame, keep: list[str] | None = None, by: tuple[str, ...] =
     keys = [f"_by_{c}" for c in by]
     keyed = measures.select("*", *groups)
     bounds = checkpointed(fences(sketches(keyed, tuple(keys)), tuple(keys)))
-    joined = keyed.join(bounds, keys, "left")
+    few = bounds.count() <= MOST_BROADCAST_GROUPS
+    joined = keyed.join(F.broadcast(bounds) if few else bounds, keys, "left")
     within = F.lit(True)
     for m in FENCES:
         within = within & (F.col(f"_{m}") <= F.coalesce(F.col(f"_fence_{m}"), F.lit(float("inf"))))
