@@ -1,14 +1,15 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-1. Terms are words of letters and their heads of four to six bytes, held as hashes. From a bounded sample of labelled rows
-   (``SAMPLE_ROWS`` of each class at most, by hash of the id) the terms that tell toxic rows from others become lexicons.
+1. Terms are words of letters and their heads of four to six bytes, held as hashes. They are counted in all labelled rows, and
+   the terms that tell toxic rows from others become lexicons.
 2. One pass over all documents finds the terms and patterns of each; what it writes is a few numbers a document.
 3. Voters are lexicons and patterns. The label model holds for each voter how often it speaks up in either class. It is
    fitted by expectation maximisation over the counts of vote patterns of all documents that are not held out (at most
    3 * 2 ** voters rows, however many documents); rows with a label keep it. What voters still share within a class is their
    correlation, and correlated voters weigh less, so that several lexicons that repeat each other count about once.
-4. A logistic regression over terms and patterns is trained on the label model's posterior labels of the sampled rows and
-   scores every document.
+4. A logistic regression over terms and patterns is trained on the label model's posterior labels of all labelled rows and
+   scores every document. Its Newton steps start from the fit of a weighted sample and sum slope and curvature over all rows
+   in tasks, so that the sample (``SAMPLE_ROWS``) decides only how many steps are needed.
 
 Labels of rows whose crc32 of the id as text is 0 modulo 5 are never read. Neither labels, languages, sources nor ids are
 inputs of a score.
@@ -20,18 +21,20 @@ largest counts; rows that repeat an id each get a row; an empty table gives an e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import checkpointed, written
+from retort.llm.common import written
 from retort.llm.hashing import RangeHasher, text_chunks, word_bounds
 
-#: Labelled rows of each class that terms are mined from and the classifier is trained on, at most.
+#: Labelled rows of each class, about, from whose weighted fit the training on all labelled rows starts.
 SAMPLE_ROWS = 8_000
 #: Terms kept, at most, and the likelihood ratio and the share of toxic rows that a term must reach.
 TERMS, LEAST_RATIO, LEAST_SHARE = 512, 12.0, 0.7
@@ -42,6 +45,8 @@ VOTERS = LEXICONS + PATTERNS
 LABEL_TRUST = 0.98
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+#: A task's slope and curvature travel in so many pieces, which are added up apart from each other.
+_PIECES = 16
 _FEATURES = "doc_id long, held_out boolean, terms array<int>, counts array<int>, marks array<float>"
 
 
@@ -84,7 +89,7 @@ def _marks(data: np.ndarray, offsets: np.ndarray, n_words: np.ndarray) -> np.nda
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of sampled rows of either class that hold a term, added up for each batch."""
+    """Counts of rows of either class that hold a term, added up for each batch."""
     for batch in batches:
         toxic = np.asarray(batch.column("toxic"))
         found = [[], []]
@@ -101,16 +106,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts * (c == 1)), pa.array(counts * (c == 0))], ["term", "toxic", "other"])
 
 
-def mine_terms(sample: DataFrame, n_toxic: int, n_other: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms that tell the classes of ``sample (text, toxic)`` apart, sorted by hash, with a lexicon number each; at most ``TERMS``."""
-    counts = sample.mapInArrow(_counted, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+def mine_terms(rows: DataFrame, n_toxic: int, n_other: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms that tell the classes of ``rows (text, toxic)`` apart, sorted by hash, with a lexicon number each; at most ``TERMS``."""
+    counts = rows.mapInArrow(_counted, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     a, b = F.col("a"), F.col("b")
     share = F.lit(n_toxic / (n_toxic + n_other))
     rate = (a / n_toxic) / (a / n_toxic + (b + 0.5) / n_other)
     part = lambda x, p: F.when(x > 0, x * F.ln(x / ((a + b) * p))).otherwise(0.0)
     told = counts.filter("a >= 2").withColumn("ratio", 2 * (part(a, share) + part(b, 1 - share))).filter((F.col("ratio") >= LEAST_RATIO) & (rate >= LEAST_SHARE))
-    rows = told.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()
-    terms = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
+    best = told.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()
+    terms = np.array([r[0] for r in best], dtype=np.int64).view(np.uint64)
     lexicon = np.arange(len(terms)) % LEXICONS  # terms of like strength are dealt over the lexicons
     order = np.argsort(terms)
     return terms[order], lexicon[order]
@@ -187,21 +192,85 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(self.logit(patterns), -30, 30)))
 
 
-def fit_linear(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression on soft labels, by Newton steps."""
+def _penalty(n: int, ridge: float = 0.3) -> np.ndarray:
+    """The ridge of ``n`` weights; the last is the bias."""
+    return np.append(np.full(n - 1, ridge), 1e-3)
+
+
+def _slope_and_curve(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the logistic loss over rows, without the ridge."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (weight * (p - soft)), (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+
+
+def fit_linear(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Weights, the bias last, of a ridge logistic regression on soft labels, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
+    penalty = _penalty(len(w))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - soft)) + penalty * w
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
+        slope, curve = _slope_and_curve(x, soft, weight, w)
+        step = np.linalg.solve(curve + np.diag(penalty), slope + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return w[:-1], float(w[-1])
+    return w
+
+
+def _soft(logits: np.ndarray, said: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Posterior labels of labelled rows from the label model's logit of each vote pattern."""
+    gold = np.log(LABEL_TRUST / (1 - LABEL_TRUST)) * (2 * toxic - 1)
+    return 1 / (1 + np.exp(-np.clip(logits[said] + gold, -30, 30)))
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """One piece of the sums of all tasks, added in the order of the tasks."""
+    rows = rows.sort_by("task")
+    total = np.sum([np.frombuffer(x.as_buffer()) for x in rows.column("sums")], axis=0)
+    return pa.table({"piece": rows.column("piece").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def fit_all(training: DataFrame, logits: np.ndarray, w: np.ndarray, steps: int = 30) -> np.ndarray:
+    """``fit_linear`` over all rows of ``training (terms, counts, marks, votes, toxic)``, from the weights ``w``."""
+    penalty, n_terms = _penalty(len(w)), len(w) - 1 - PATTERNS
+
+    def summed(now: np.ndarray):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, slope, curve = 0.0, np.zeros(len(now)), np.zeros((len(now), len(now)))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    part = batch.slice(at, 2000)
+                    terms, counts = part.column("terms"), part.column("counts")
+                    x = np.ones((part.num_rows, len(now)))
+                    x[:, :n_terms] = 0
+                    x[np.repeat(np.arange(part.num_rows), np.diff(np.asarray(terms.offsets))), np.asarray(terms.flatten())] = 1 + np.log(np.asarray(counts.flatten()))
+                    x[:, n_terms:-1] = np.asarray(part.column("marks").flatten()).reshape(-1, PATTERNS)
+                    soft, logit = _soft(logits, np.asarray(part.column("votes")), np.asarray(part.column("toxic"))), x @ now
+                    more = _slope_and_curve(x, soft, np.ones(len(x)), now)
+                    loss += (np.logaddexp(0, logit) - soft * logit).sum()
+                    slope += more[0]
+                    curve += more[1]
+            pieces = [x.tobytes() for x in np.array_split(np.concatenate([[loss], slope, curve.ravel()]), _PIECES)]
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array([task] * _PIECES, pa.int32()), pa.array(pieces, pa.binary())], ["piece", "task", "sums"])
+
+        return add
+
+    kept, least, step = w, math.inf, np.zeros(len(w))
+    for _ in range(steps):
+        pieces = training.mapInArrow(summed(w), "piece int, task int, sums binary").groupBy("piece").applyInArrow(_added, "piece int, sums binary").collect()
+        sums = np.concatenate([np.frombuffer(bytes(r["sums"])) for r in sorted(pieces)])
+        slope, curve = sums[1 : len(w) + 1], sums[len(w) + 1 :].reshape(len(w), len(w))
+        loss = sums[0] + (penalty * w * w).sum() / 2
+        if loss > least * (1 + 1e-12):  # too far: half of the step
+            step = step / 2
+        else:
+            kept, least = w, loss
+            step = np.linalg.solve(curve + np.diag(penalty), slope + penalty * w)
+        w = kept - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return kept
 
 
 def _matrix(terms: list, counts: list, marks: np.ndarray, n_terms: int) -> np.ndarray:
@@ -219,23 +288,29 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     given = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     given = given.filter(~held_out(F.col("doc_id")))
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    picked = [given.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for c in (0, 1)]
-    sample = checkpointed(picked[0].union(picked[1]))  # its bound makes it fit to broadcast
-    sizes = dict(sample.groupBy("toxic").count().collect())
+    sizes = dict(given.groupBy("toxic").count().collect())
     n_other, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_other or not n_toxic:
         return texts.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(1.0 if n_toxic else 0.0).alias("score"), F.lit(1 if n_toxic else 0).alias("predicted"))
-    terms, lexicon = mine_terms(texts.join(F.broadcast(sample), "doc_id"), n_toxic, n_other)
+    terms, lexicon = mine_terms(texts.filter(~held_out(F.col("doc_id"))).join(given.hint("merge"), "doc_id"), n_toxic, n_other)
     found = written(features(texts, terms), "features").withColumn("votes", votes(lexicon))
     patterns = found.filter(~F.col("held_out")).select("doc_id", "votes").join(given, "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("toxic")).count().collect()
     table = np.array(sorted(tuple(r) for r in patterns), dtype=np.int64).reshape(-1, 3)
     label_model = LabelModel(table[:, 0], table[:, 1], table[:, 2])
-    rows = found.join(F.broadcast(sample), "doc_id").select("doc_id", "terms", "counts", "marks", "votes", "toxic").limit(4 * SAMPLE_ROWS).toPandas()
+    labelled = found.filter(~F.col("held_out")).join(given, "doc_id").select("doc_id", "terms", "counts", "marks", "votes", "toxic")
+    training = written(labelled.sortWithinPartitions("doc_id", "votes"), "training")
+    sizes = dict(training.groupBy("toxic").count().collect())
+    least = F.when(F.col("toxic") == 1, SAMPLE_ROWS / sizes.get(1, SAMPLE_ROWS)).otherwise(SAMPLE_ROWS / sizes.get(0, SAMPLE_ROWS))
+    rows = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < least * (1 << 20)).limit(4 * SAMPLE_ROWS).toPandas()
     rows = rows.sort_values(["doc_id", "votes"], kind="stable")  # sums in one order on every run
     x = _matrix(rows["terms"], rows["counts"], np.array(rows["marks"].tolist()).reshape(-1, PATTERNS), len(terms))
-    gold = np.log(LABEL_TRUST / (1 - LABEL_TRUST)) * (2 * rows["toxic"].to_numpy() - 1)
-    soft = 1 / (1 + np.exp(-np.clip(label_model.logit(rows["votes"].to_numpy().astype(np.int64)) + gold, -30, 30)))
-    weights, bias = fit_linear(x, soft, np.ones(len(x)))
+    logits, toxic = label_model.logit(np.arange(1 << VOTERS)), rows["toxic"].to_numpy().astype(np.int64)
+    taken = np.bincount(toxic, minlength=2)
+    weight = np.array([sizes.get(c, 0) / max(taken[c], 1) for c in (0, 1)])[toxic]
+    weights = fit_linear(x, _soft(logits, rows["votes"].to_numpy().astype(np.int64), toxic), weight)
+    if len(rows) < sum(sizes.values()):
+        weights = fit_all(training, logits, weights)
+    weights, bias = weights[:-1], float(weights[-1])
     model = Model(terms, lexicon, weights, bias)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,3 +61,19 @@ def test_odd_texts_get_scores(spark):
     assert len(rows) == len(docs) and all(0 <= r["score"] <= 1 for r in rows)
     assert next(r for r in rows if r["doc_id"] is None)["predicted"] == 1
     assert toxicity.scored(spark.createDataFrame([], "doc_id long, text string"), labels).count() == 0
+
+
+def test_scores_do_not_depend_on_the_size_of_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vile, kind = [f"vile{i}" for i in range(5)], [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(3000):
+        toxic = int(rng.random() < 0.13)
+        said = rng.choice(kind, 8).tolist() + rng.choice(vile, 2).tolist() * int(rng.random() < (0.7 if toxic else 0.05))
+        rows.append((i, " ".join(said), toxic))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    scores = []
+    for n in (toxicity.SAMPLE_ROWS, 60):
+        monkeypatch.setattr(toxicity, "SAMPLE_ROWS", n)
+        scores.append([r["score"] for r in toxicity.scored(docs, labels).orderBy("doc_id").collect()])
+    assert np.allclose(*scores, atol=1e-6) and max(scores[0]) > 0.5
