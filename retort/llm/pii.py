@@ -38,14 +38,28 @@ class Kind:
 
 
 _LOCAL = "A-Za-z0-9._%+-"
+#: Countries by the length of their account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Account numbers of the length of their country; of countries that are not listed, the longest run of at most 34 characters."""
+    known = "|".join(rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
+    listed = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    return rf"(?<![A-Za-z0-9])(?:{known}|(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+
+
 BASE_KINDS = (
     Kind("email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.95, r"(?i)\b(?:e-?mail|contact|write)\b"),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", r"[0-9]\.[0-9]", 0.8, r"(?i)\b(?:ip|host|server|address)\b"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]{2}", 0.9, r"(?i)\b(?:card|visa|credit|debit|payment)\b"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", 0.9, r"(?i)\b(?:card|visa|credit|debit|payment)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.8, r"(?i)\b(?:phone|tel|call|mobile|fax)\b"),
 )
 ADDED_KINDS = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.6, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b"),
+    Kind("iban", _iban_pattern(), "[A-Z]{2}[0-9]{2}", 0.6, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-", 0.3, r"(?i)\b(?:ssn|social security)\b"),
 )
 KINDS = BASE_KINDS + ADDED_KINDS

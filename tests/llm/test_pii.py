@@ -73,3 +73,18 @@ def test_query_columns(spark, sf_small, name):
     for r in out.collect():
         listed = ",".join(f"{k}:{s}:{e}" for s, _, e, k in plain_base(text[r["doc_id"]]))
         assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+
+
+def test_cards_of_single_digits_and_ibans_before_capitals(spark):
+    texts = [
+        "pay 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 now", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "to NO93 8601 1117 947 NOK 5 and GB29NWBK60161331926819 OK",
+        "DE89 3704 0044 0532 0130 0 BIC", "ZZ",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = pii.with_spans(frame).select("text", "_spans", pii.listed(pii.F.filter("_spans", lambda x: x["kind"] == "iban")).alias("ibans")).collect()
+    for text, spans, _ in rows:
+        assert [(s["start"], s["no"], s["end"], s["kind"]) for s in spans if s["no"] < 4] == plain_base(text)
+    assert [len(plain_base(t)) for t in texts[:2]] == [1, 1]
+    assert {r[0]: r[2] for r in rows} == dict(zip(texts, ["", "", "iban:0:27", "iban:3:21,iban:32:54", "", ""], strict=True))
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(frame).collect()}
+    assert clean[0] == "pay <CARD> now" and clean[1] == "<CARD>" and clean[2] == "<IBAN> BIC COBADEFFXXX"
