@@ -6,8 +6,8 @@ block, and a fixed tail that says where the index begins. The start of a documen
 earlier files (a running sum over the table of files) plus its start in its own file.
 
 A text is cut where a space follows a character that is not white space: the tokenizer's own pattern always starts a new
-piece there, so that pieces are encoded once each and looked up afterwards. Texts in which a space follows white space are
-encoded whole. Both give the tokenizer's ids for the whole text.
+piece there, so that pieces are encoded once each and looked up afterwards. Texts in which a space follows white space or
+that hold the name of an added token, which the tokenizer takes as that token, are encoded whole. Both give the tokenizer's ids for the whole text.
 
 Defined cases: a null text is an empty one and has only the end id; null ids come first; rows with equal ids follow each
 other by text; an empty table gives an empty result.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -50,9 +51,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class _Memory:
@@ -99,6 +98,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.memory = _tokenizer(path), _memory(path)
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, end to end, and their counts. Marks after a letter or digit are pieces of their own to the tokenizer, so they are split off."""
@@ -128,8 +128,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, each with the end id after it, and the counts."""
-        plain = pc.invert(pc.match_substring_regex(texts, _WIDE_SPACE))
-        # a text with wide white space is one piece, looked up like a first piece but not remembered
+        plain = pc.invert(pc.match_substring_regex(texts, f"{_WIDE_SPACE}|{self.added}" if self.added else _WIDE_SPACE))
+        # a text with wide white space or an added token is one piece, looked up like a first piece but not remembered
         split = pc.split_pattern(pc.if_else(plain, texts, pa.scalar("", texts.type)), " ")
         offsets = np.asarray(split.offsets)
         pieces = pc.dictionary_encode(split.flatten())

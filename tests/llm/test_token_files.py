@@ -78,3 +78,15 @@ def test_read_file_in_small_groups(tmp_path):
     for group in (1, 2, 100):
         docs = list(token_files.read_file(uri, group))
         assert [d[0] for d in docs] == [5, 6, None, 8, 9] and np.array_equal(np.concatenate([d[2] for d in docs]), ids)
+
+
+def test_added_tokens_are_the_librarys():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    texts = ["<|endoftext|>", "one text.<|endoftext|>Another, <|endoftext|> and more <|endoftext|>.", "<| endoftext |> not one", "a b", ""]
+    ids, counts = token_files.Encoder(TOKENIZER).encode(pa.array(texts))
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [list(p) for p in parts] == [[*plain.encode(t, add_special_tokens=False).ids, token_files.END_ID] for t in texts]
+    assert 50256 in parts[0] and list(parts[1]).count(50256) == 3
