@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import base64
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,17 @@ def exclude_molecules(df: DataFrame, excluded: DataFrame, key: str = "smiles") -
     return df.join(excluded.select(key).distinct(), key, "left_anti")
 
 
+def _joined_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count and base64 sha256 of texts joined by ``;``."""
+    digest, n = hashlib.sha256(), 0
+    for batch in batches:
+        for text in batch.column(0):
+            digest.update((b";" if n else b"") + text.as_py().encode())
+            n += 1
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([base64.b64encode(digest.digest()).decode()])], ["matched", "key"])
+
+
 def match_key_molecules(df: DataFrame, hints: DataFrame, csmiles: str = "csmiles") -> DataFrame:
     """The one-row result of matching md5 ``hints`` (column ``hint``, hexadecimal): ``matched, wanted, key``.
 
@@ -60,9 +74,11 @@ def match_key_molecules(df: DataFrame, hints: DataFrame, csmiles: str = "csmiles
     """
     wanted = hints.select("hint").distinct()
     matched = df.select(csmiles).distinct().join(wanted, F.md5(csmiles) == F.col("hint"), "left_semi")
-    found = matched.agg(F.count("*").alias("matched"), F.array_join(F.sort_array(F.collect_list(csmiles)), ";").alias("joined"))
+    # a sha256 is taken from front to back: one task reads the sorted rows as a stream, whatever their number and size
+    digested = matched.select(F.col(csmiles).alias("text")).repartition(1).sortWithinPartitions("text").mapInArrow(_joined_digest, "matched long, key string")
+    found = digested.agg(F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"), F.coalesce(F.max("key"), F.base64(F.unhex(F.sha2(F.lit("").cast("binary"), 256)))).alias("digest"))
     count = wanted.agg(F.count("*").alias("wanted"))
-    return found.crossJoin(count).select("matched", "wanted", F.when(F.col("matched") == F.col("wanted"), F.base64(F.unhex(F.sha2("joined", 256)))).alias("key"))
+    return found.crossJoin(count).select("matched", "wanted", F.when(F.col("matched") == F.col("wanted"), F.col("digest")).alias("key"))
 
 
 def suitable(molecules: DataFrame, atoms: DataFrame, bonds: DataFrame, least: tuple[int, int, int] = (15, 15, 2), components: DataFrame | None = None) -> DataFrame:

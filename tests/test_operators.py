@@ -235,3 +235,19 @@ def test_goal_report_drops_nulls_and_property_scores(spark):
     projected = spark.createDataFrame([("m", "x", 0.5, 0), ("m", "y", 0.7, 1), ("m", None, 0.9, 2)], "original_smiles string, smiles string, morgan_sim double, pseq int")
     row = evaluation.goal_directed_report(source, projected, F.col("objective"), F.col("morgan_sim")).first()
     assert row["n"] == 1 and row["max_projected"] == 0.7
+
+
+def test_key_is_digested_as_a_stream(spark):
+    import base64
+    import hashlib
+
+    texts = ["b", "\u00e9", "a;c", "B", "b", "\U0001f600", "\uffee", "left out"]
+    df = spark.createDataFrame([(t,) for t in texts], "csmiles string")
+    hints = df.filter("csmiles <> 'left out'").select(F.md5("csmiles").alias("hint"))
+    out = molecules.match_key_molecules(df, hints)
+    joined = b";".join(sorted({t.encode() for t in texts[:-1]}))
+    assert [tuple(r) for r in out.collect()] == [(6, 6, base64.b64encode(hashlib.sha256(joined).digest()).decode())]
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    none = molecules.match_key_molecules(df, hints.limit(0)).first()
+    assert tuple(none) == (0, 0, base64.b64encode(hashlib.sha256(b"").digest()).decode())
+    assert tuple(molecules.match_key_molecules(df.limit(0), hints).first()) == (0, 6, None)
