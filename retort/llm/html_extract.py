@@ -5,7 +5,8 @@ text length with punctuation to number of nodes. Both are spread over the nodes
 score, and averaged for each path; paths that reach a threshold from the spread of the scores are content. The innermost
 element that holds nearly all text of content paths is the article, and within it short blocks (headings, list items,
 captions) stay with it unless they are mostly links. Elements that name themselves as something else (menus, page headers
-and footers, sidebars, notices, adverts, forms, reader comments) are left out beforehand.
+and footers, sidebars, notices, adverts, forms, reader comments) are left out beforehand; forms and classes and ids that only
+mention such a part are not trusted on an element that wraps the page.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; unclosed and crossed tags are closed as
 browsers do for paragraphs, list items and table cells, other open elements end with their parent; a page cut off inside a
@@ -38,7 +39,7 @@ _CLOSES = {
 #: Elements before which an open paragraph ends.
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _P_HOLDERS = {"article", "aside", "blockquote", "body", "div", "figure", "footer", "form", "header", "li", "main", "nav", "section", "table", "td", "th", "dd"}
-_LEFT_OUT = {"aside", "button", "canvas", "dialog", "footer", "form", "head", "input", "math", "menu", "nav", "object", "select", "svg", "video", "audio"}
+_LEFT_OUT = {"aside", "button", "canvas", "dialog", "footer", "head", "input", "math", "menu", "nav", "object", "select", "svg", "video", "audio"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 _NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|adbox|adslot|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|subscribe|subscription|"
@@ -50,37 +51,68 @@ _CONTENT_TAGS = {"html", "body", "article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+#: An element that is surely not the article's text, and one that is not unless it wraps the page.
+_SURE, _LIKELY = 2, 1
+
+
 class _Element:
-    __slots__ = ("tag", "name", "parent", "left_out", "depth", "number")
+    __slots__ = ("tag", "name", "parent", "veto", "left_out", "depth", "number")
 
-    def __init__(self, tag: str, name: str, parent: _Element | None, left_out: bool, number: int):
-        self.tag, self.name, self.parent, self.left_out, self.number = tag, name, parent, left_out, number
+    def __init__(self, tag: str, name: str, parent: _Element | None, veto: int, number: int):
+        self.tag, self.name, self.parent, self.veto, self.left_out, self.number = tag, name, parent, veto, False, number
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _left_out(tag: str, attributes: str, parent: _Element) -> bool:
-    """True for an element that names itself as something other than the article's text."""
-    inside = parent
+def _veto(tag: str, attributes: str, parent: _Element) -> int:
+    """``_SURE`` or ``_LIKELY`` for an element that names itself as something other than the article's text, else 0."""
+    inside, found = parent, _LIKELY if tag == "form" else 0
     if tag in _LEFT_OUT:
-        return True
+        return _SURE
     if tag == "header":
         while inside is not None and inside.tag not in ("article", "main"):
             inside = inside.parent
-        return inside is None
+        return _SURE if inside is None else 0
     if not attributes or tag in _CONTENT_TAGS and "comment" not in attributes.lower():
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key == "role" and value.lower() in _ROLES or key in ("class", "id") and tag not in _HEADINGS and _NAMES.search(value):
-            return True
-    return False
+            return _SURE
+        if key == "role" and value.lower() in _ROLES and not (found and value.lower() == "form"):
+            return _SURE
+        if key in ("class", "id") and tag not in _HEADINGS and _NAMES.search(value):
+            found = _LIKELY
+    return found
+
+
+def _leave_out(nodes: list[tuple[str, _Element, int]], elements: list[_Element]) -> None:
+    """Mark what is left out. A likely veto does not count for a wrapper of the page: an element with half of the text or more
+    that holds the article's elements, or beside which hardly any text is left."""
+    sure, likely = [False] * len(elements), [False] * len(elements)
+    own, articles, free = [0] * len(elements), [0] * len(elements), 0
+    for e in elements[1:]:
+        sure[e.number] = sure[e.parent.number] or e.veto == _SURE
+        likely[e.number] = likely[e.parent.number] or e.veto > 0
+        articles[e.number] = int(not e.veto and e.tag in ("h1", "article", "main"))
+    for raw, e, _ in nodes:
+        if not sure[e.number]:
+            n = len(raw.strip())
+            own[e.number] += n
+            free += 0 if likely[e.number] else n
+    for e in reversed(elements[1:]):
+        own[e.parent.number] += own[e.number]
+        articles[e.parent.number] += articles[e.number]
+    for e in elements[1:]:
+        wrapper = e.veto == _LIKELY and 2 * own[e.number] >= own[0] and (articles[e.number] > 0 or 10 * free < own[e.number])
+        e.left_out = e.parent.left_out or e.veto > 0 and not wrapper
+    if own[0] and all(e.left_out or not raw.strip() for raw, e, _ in nodes):  # nothing but likely vetoes: none of them counts
+        for e in elements[1:]:
+            e.left_out = sure[e.number]
 
 
 def text_nodes(page: str) -> tuple[list[tuple[str, _Element, int]], list[_Element]]:
     """Text nodes of a page in order, each with its element and the number of its block, and all elements."""
-    root = _Element("#", "#", None, False, 0)
+    root = _Element("#", "#", None, 0, 0)
     nodes, elements, at, block, here = [], [root], 0, 0, root
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -123,8 +155,9 @@ def text_nodes(page: str) -> tuple[list[tuple[str, _Element, int]], list[_Elemen
         if attributes.endswith("/") and tag in ("path", "circle", "rect", "use"):
             continue
         kind = re.search(r"""class\s*=\s*["']?\s*([-\w]+)""", attributes) if "class" in attributes else None
-        here = _Element(tag, f"{tag}.{kind[1]}" if kind else tag, here, here.left_out or _left_out(tag, attributes, here), len(elements))
+        here = _Element(tag, f"{tag}.{kind[1]}" if kind else tag, here, _veto(tag, attributes, here), len(elements))
         elements.append(here)
+    _leave_out(nodes, elements)
     return nodes, elements
 
 

@@ -64,3 +64,14 @@ def test_paths_with_short_and_long_nodes():
 
     paths = [("body", "div"), ("body", "p"), ("body", "p"), ("body", "p"), ("body", "div")]
     assert content_paths(paths, np.array([5.0, 300, 4, 200, 6]), np.array([0.0, 9, 1, 5, 0])) == {("body", "p")}
+
+
+def test_wrappers_that_mention_a_part_are_kept():
+    story = "".join(f"<p>Paragraph {i} of the story, with words, commas, and a full stop at its end.</p>" for i in range(8))
+    for wrap in ('<div class="has-sidebar">{}</div>', '<div id="content-sidebar-wrap"><div class="no-sidebar">{}</div></div>', "<form action=x>{}</form>", '<div class="post tags"><h1>Title</h1>{}</div>'):
+        page = "<html><body>" + wrap.format(f'<div class="sidebar"><p>Other things to see.</p></div><div>{story}</div>') + '<div class="x">Small print.</div></body></html>'
+        found = main_text(page)
+        assert "Paragraph 0" in found and "Paragraph 7" in found and "Other things" not in found
+    comments = '<div class="comments">' + "<p>I think so too, and wrote it down, at length, again.</p>" * 14 + "</div>"
+    found = main_text(f"<html><body><div>{story}</div>{comments}</body></html>")
+    assert "Paragraph 0" in found and "I think so" not in found
