@@ -17,11 +17,12 @@ def token_pattern(tokens: Sequence[str]) -> str:
     return "(" + "|".join(re.sub(r"([^\w])", r"\\\1", t) for t in sorted(tokens, reverse=True)) + ")"
 
 
-def tokenize_smiles(smiles: Column, tokens: Sequence[str], most: int = 192) -> Column:
-    """Token ids from 1 of a SMILES; characters outside the vocabulary are passed over; cut to ``most``."""
+def tokenize_smiles(smiles: Column, tokens: Sequence[str], most: int | None = None) -> Column:
+    """Token ids from 1 of a SMILES; characters outside the vocabulary are passed over; cut to ``most`` if given."""
     found = F.regexp_extract_all(smiles, F.lit(token_pattern(tokens)), F.lit(1))
     names = F.array(*[F.lit(t) for t in tokens])
-    return F.slice(F.transform(found, lambda t: F.array_position(names, t).cast("int")), 1, most)
+    ids = F.transform(found, lambda t: F.array_position(names, t).cast("int"))
+    return ids if most is None else F.slice(ids, 1, most)
 
 
 def route_arrays(steps: DataFrame) -> DataFrame:

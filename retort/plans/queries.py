@@ -474,7 +474,7 @@ VOCABULARY = ("th", "an", "en", "er", "t", "h", "e", "a", "n", "tion", "tio", "o
 @query("""SELECT doc_id AS mol_id, array_to_string(list_transform(regexp_extract_all(text, '(tion|tio|th|t|on|n|h|er|en|e|an|a|\\]|\\[|\\.|,|\\)|\\()')[1:192],
 lambda x: list_position(['th', 'an', 'en', 'er', 't', 'h', 'e', 'a', 'n', 'tion', 'tio', 'on', '[', ']', '(', ')', '.', ','], x)), ',') AS ids FROM documents""")
 def smiles_tokens(spark, d):
-    return mols(spark, d).select("mol_id", F.array_join(features.tokenize_smiles(F.col("smiles"), VOCABULARY), ",").alias("ids"))
+    return mols(spark, d).select("mol_id", F.array_join(features.tokenize_smiles(F.col("smiles"), VOCABULARY, 192), ",").alias("ids"))
 
 
 @query(f"""WITH {STEPS_SQL} SELECT route_id, string_agg(CASE WHEN n_reactants > 0 THEN 'R' || ref_idx ELSE smiles END, ';' ORDER BY pos) AS actions, sum(CAST(n_reactants > 0 AS INT)) AS n_reactions FROM steps GROUP BY 1""")

@@ -251,3 +251,8 @@ def test_key_is_digested_as_a_stream(spark):
     none = molecules.match_key_molecules(df, hints.limit(0)).first()
     assert tuple(none) == (0, 0, base64.b64encode(hashlib.sha256(b"").digest()).decode())
     assert tuple(molecules.match_key_molecules(df.limit(0), hints).first()) == (0, 6, None)
+
+
+def test_all_tokens_of_long_smiles(spark):
+    row = spark.createDataFrame([("CCl" * 150,)], "s string").select(features.tokenize_smiles(F.col("s"), ("C", "Cl")).alias("all"), features.tokenize_smiles(F.col("s"), ("C", "Cl"), 192).alias("cut")).first()
+    assert row["all"] == [1, 2] * 150 and row["cut"] == row["all"][:192]
