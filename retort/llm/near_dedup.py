@@ -4,16 +4,18 @@ Two permutations give every signature coordinate: the first scatters shingles ov
 the second is a table of ranks, and coordinate ``k`` is the least rank after shifting the table circularly by ``k``; a
 shingle's ranks for all shifts are one slice of the table. Bands of the signature are bucket keys.
 
-Texts with equal shingle sets form a class, and only class representatives go on. Within a bucket all are checked
-against one hub; a member that lies in another component than the hub is checked against further hubs, drawn anew each
-round, until few enough pairs are left between different components of a bucket; those are compared one by one on the
-last four bits of their signature coordinates, inside the join, and the likely ones checked. Pairs inside one component
-need no check, for they cannot change it. So a group of near copies of any size costs about its size, and no partner is
-capped. Links are confirmed on the full shingle sets.
+Texts with equal shingle sets form a class, and only one text of each goes on. Within a bucket all classes are first checked
+against one hub, the class that shares most buckets with others; as long as that joins many of them, further hubs follow from
+outside the bucket's main component. Then all pairs of a bucket that still lie in different components are met in blocks. A
+pair is dropped unchecked only if it cannot be alike: by the sizes of its sets, or by a bound of the intersection from one
+bit for each place that shingles fall on, which never is too low. The others are checked on the full shingle sets, as are
+those of the hubs. Pairs inside one component need no check, for they cannot change it. So a group of near copies costs about
+its size, no partner is capped, and no link between two classes of a bucket is lost.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a text of fewer
-than five words is one shingle; a null id is never linked; rows that repeat an id are one document if their texts are equal;
-an empty table gives an empty result.
+than five words is one shingle; a null id is never linked; rows that repeat an id are documents of their own, linked by their
+own texts (those of one set with the same id are copies like any others, of which one stays); names of further columns do not
+matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,19 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import checkpointed, written
+from retort.llm.common import checkpointed, unused, written
 from retort.llm.hashing import mixed, shingle_sets
 
 BANDS, ROWS = 40, 5
 UNIVERSE = 1 << 20
 #: Percent of the union that the intersection must reach.
 PERCENT = 75
-#: Rounds of hubs before the rest is checked pair by pair.
-HUB_ROUNDS = 6
-#: What is left is compared pair by pair as soon as it is at most so many pairs for each row in an open bucket.
-PAIRS_A_ROW = 64.0
-#: Coordinates that may differ in their last four bits, of BANDS * ROWS: 4.2 standard deviations beyond what is expected at PERCENT.
-MOST_DIFFERING = 72
+#: Another round of hubs follows if so many times its links are at least its checked pairs.
+PRODUCTIVE = 10
+#: Bits of the bound of an intersection.
+BITS = 2048
+#: Rows of a bucket that meet in one task, on either side.
+BLOCK = 1024
 
 
 @lru_cache(maxsize=1)
@@ -64,22 +66,11 @@ def _band_keys(signatures: np.ndarray) -> np.ndarray:
     return mixed((parts * weights).sum(axis=2, dtype=np.uint64) + mixed(np.arange(BANDS, dtype=np.uint64))).view(np.int64)
 
 
-def _sketches(signatures: np.ndarray) -> np.ndarray:
-    """The last four bits of each coordinate, sixteen to a 64-bit value."""
-    bits = np.zeros((len(signatures), -(-BANDS * ROWS // 16) * 16), dtype=np.uint64)
-    bits[:, : BANDS * ROWS] = signatures & np.uint32(15)
-    return (bits.reshape(len(signatures), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
-
-
-def _differing(a: str, b: str) -> Column:
-    """Number of coordinates in which two sketches differ."""
-    total = F.lit(0)
-    for i in range(-(-BANDS * ROWS // 16)):
-        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
-        x = x.bitwiseOR(F.shiftright(x, 1))
-        x = x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(x)
-    return total
+def _bits(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each place of ``BITS`` that a shingle of the set falls on, as 64-bit values."""
+    out = np.zeros(BITS, dtype=np.uint8)
+    out[(mixed(shingles ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,17 +89,16 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths[np.array(filled, dtype=np.int64) + 1] = BANDS
         keys = _band_keys(np.array(signatures)).ravel() if filled else np.empty(0, np.int64)
         bands = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(keys))
-        lengths[lengths > 0] = -(-BANDS * ROWS // 16)
-        packed = _sketches(np.array(signatures)).ravel() if filled else np.empty(0, np.int64)
-        sketch = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(packed))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(one), pa.array(two), bands, sketch], ["doc_id", "n", "one", "two", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(size), pa.array(one), pa.array(two), bands], ["doc_id", "digest", "n", "one", "two", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        sets = [s.view(np.int64) for _, s in shingle_sets(batch.column("text"))]
+        sets = [s for _, s in shingle_sets(batch.column("text"))]
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "shingles"])
+        shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate([_bits(s) for s in sets])))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), shingles, bits], ["id", "shingles", "bits"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -145,83 +135,133 @@ def _joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
     return checkpointed(known.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
+def _enough(both: Column, n_a: Column, n_b: Column) -> Column:
+    """True where an intersection of ``both`` shingles, or a bound of it, reaches ``PERCENT`` of the union."""
+    return 100 * both >= PERCENT * (n_a + n_b - both)
+
+
+def _fitting(n_a: Column, n_b: Column) -> Column:
+    """Sizes of sets that can be alike enough."""
+    return _enough(F.least(n_a, n_b), n_a, n_b)
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs (a, b)`` whose full shingle sets are alike enough."""
     first, second = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     joined = pairs.join(first, "a").join(second, "b")
-    shared = joined.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
-    return shared.filter(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
+    return joined.filter(_enough(F.size(F.array_intersect("of_a", "of_b")), F.size("of_a"), F.size("of_b"))).select("a", "b")
 
 
-def _fitting(n_a: Column, n_b: Column) -> Column:
-    """Sizes of sets that can be alike enough."""
-    return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
+def _most_shared(a: str, b: str) -> Column:
+    """What the intersection of two sets holds at most: every common shingle sets a bit of both, and those that share a bit
+    with another shingle of their set are at most the spare ones of either."""
+    return sum((F.bit_count(F.get(F.col(f"{a}bits"), F.lit(i)).bitwiseAND(F.get(F.col(f"{b}bits"), F.lit(i)))) for i in range(BITS // 64)), F.least(F.col(f"{a}spare"), F.col(f"{b}spare")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs (doc_id, text)``."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = written(texts.mapInArrow(_signed, "doc_id long, n long, one long, two long, bands array<long>, sketch array<long>"), "signatures")
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    buckets = classes.select("id", "n", F.posexplode("bands").alias("no", "band"))
-    shared = buckets.groupBy("band").agg(F.count("*").cast("double").alias("size"), F.min(F.struct("id", "n")).alias("hub")).filter("size > 1")
-    members = written(buckets.join(shared, "band").select("id", "n", "no", "band", "size", F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b")), "buckets")
-    sets = tried = labels = None
-    for round_no in range(HUB_ROUNDS + 1):
-        if labels is None:
-            left = members.withColumns({"component": F.col("id"), "main": F.col("b"), "of_b": F.col("b")})
-            pairs_open, rows_open = left.agg(F.coalesce(F.sum((F.col("size") - 1) / 2), F.lit(0.0)), F.count("*")).first()  # the first hub comes before any pairs
-        else:
-            placed = checkpointed(members.select("id", "n", "no", "band").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
-            parts = placed.groupBy("band", "component").agg(F.count("*").cast("double").alias("size"))
-            totals = parts.groupBy("band").agg(F.sum("size").alias("size"), ((F.sum("size") * F.sum("size") - F.sum(F.col("size") * F.col("size"))) / 2).alias("open"), F.max_by("component", "size").alias("main"))
-            open_bands = checkpointed(totals.filter("open > 0"))
-            pairs_open, rows_open = open_bands.agg(F.coalesce(F.sum("open"), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
-            left = placed.join(open_bands.select("band", "main"), "band")
-        if not pairs_open:
-            break
-        last = round_no == HUB_ROUNDS or round_no > 0 and pairs_open <= PAIRS_A_ROW * rows_open
-        if last:
-            left = left.select("id", "n", "no", "band", "component", "main").join(classes.select("id", "bands", "sketch"), "id")
-            right = left.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "bands", "sketch")])
-            likely = _fitting(F.col("n"), F.col("n_b")) & (_differing("sketch", "sketch_b") <= MOST_DIFFERING)
-            upto = F.col("no") + 1  # a pair is met in its first common band only
-            first = F.size(F.array_intersect(F.slice("bands", 1, upto), F.slice("bands_b", 1, upto))) == 1
-            # each pair has a member outside the bucket's largest component, so only those look for partners
-            once = (F.col("component_b") == F.col("main")) | (F.col("component") < F.col("component_b"))
-            met = left.filter("component != main").alias("l").join(right, (F.col("l.band") == right.band) & (F.col("component") != F.col("component_b")) & once & likely & first).select("id", F.col("id_b").alias("b"), "n", F.col("n_b"))
-        elif labels is None:
-            met = left.filter("id != b")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` of ``id, b``."""
+    return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
+def _hub_pairs(open_rows: DataFrame) -> DataFrame:
+    """Each row of a bucket with the bucket's hub, where they lie in different components and their sizes fit.
+
+    The hub is the row that shares most buckets with others, outside the bucket's main component if there is one: copies of one
+    text are closer to it than to each other, and share more buckets with it.
+    """
+    hub = F.max(F.struct((F.col("component") != F.col("main")).alias("aside"), "mates", "id", "n", "component"))
+    hubs = open_rows.groupBy("band").agg(hub.alias("hub")).select("band", F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("of_b"))
+    met = open_rows.join(checkpointed(hubs), "band").filter((F.col("component") != F.col("of_b")) & _fitting(F.col("n"), F.col("n_b")))
+    return _ordered(met)
+
+
+def _block_pairs(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of a bucket in different components whose bits leave it open whether they are alike.
+
+    Each such pair has a row outside the bucket's main component, so that these meet all rows. Both sides are cut by hash into
+    blocks of about ``BLOCK`` rows, and every pair of blocks is a join key of its own: a bucket of any size is spread.
+    """
+    bits = sets.select("id", "bits", (F.size("shingles") - F.aggregate("bits", F.lit(0), lambda a, x: a + F.bit_count(x))).alias("spare"))
+    rows = open_rows.join(bits, "id")
+    block = lambda count, side: F.pmod(F.xxhash64("id", F.lit(side)), F.ceil(F.col(count) / BLOCK)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / BLOCK).cast("int") - 1))
+    own = ["id", "n", "component", "bits", "spare"]
+    aside = rows.filter("component != main").select("band", "main", *own, block("n_aside", 1).alias("i"), every("size").alias("j"))
+    whole = rows.select("band", *[F.col(c).alias(f"b_{c}") for c in own], block("size", 2).alias("j"), every("n_aside").alias("i"))
+    once = (F.col("b_component") == F.col("main")) | (F.col("component") < F.col("b_component"))
+    likely = _fitting(F.col("n"), F.col("b_n")) & _enough(_most_shared("", "b_"), F.col("n"), F.col("b_n"))
+    met = aside.join(whole, ["band", "i", "j"]).filter((F.col("component") != F.col("b_component")) & once & likely)
+    return _ordered(met.select("id", F.col("b_id").alias("b")))
+
+
+def _open_rows(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the buckets with classes of different components: with ``component``, the bucket's main component, its size, and how many rows lie outside that."""
+    if labels is None:
+        placed = members.withColumn("component", F.col("id"))
+    else:
+        placed = checkpointed(members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("part"))
+    largest = F.max(F.struct("part", "component")).alias("largest")
+    totals = parts.groupBy("band").agg(F.sum("part").alias("size"), largest).filter("size > largest.part")
+    return placed.join(checkpointed(totals.selectExpr("band", "size", "largest.component main", "size - largest.part n_aside")), "band")
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """Sets of shingles, numbered: ``n, one, two, id``, the least document ``doc_id`` with its ``digest``, and ``bands``."""
+    grouped = signed.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min(F.struct("doc_id", "digest")).alias("of"), F.first("bands").alias("bands"))
+    return written(grouped.select("n", "one", "two", "of.doc_id", "of.digest", "bands", F.monotonically_increasing_id().alias("id")), "classes")
+
+
+def _labels(texts: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """``id, component`` of the linked classes; None where no class is linked."""
+    buckets = classes.select("id", "n", F.explode("bands").alias("band"))
+    shared = checkpointed(buckets.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
+    members = written(buckets.join(shared, "band"), "buckets")
+    mates = members.groupBy("id").agg(F.sum("size").alias("mates"))
+    members = written(members.drop("size").join(mates, "id"), "members")
+    wanted = members.select("id").distinct().join(classes.select("id", "doc_id", "digest"), "id")
+    sets = written(texts.join(wanted, ["doc_id", "digest"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets, "id long, shingles array<long>, bits array<long>"), "sets")
+    labels, productive = None, True
+    while True:
+        if labels is None and productive:  # the first hubs come before any components
+            open_rows = members.withColumns({"component": F.col("id"), "main": F.lit(None).cast("long")})
         else:
-            order = F.struct(F.xxhash64(F.lit(round_no), "id").alias("key"), "id", "n", "component")
-            hubs = left.groupBy("band").agg(F.min(order).alias("hub")).select("band", F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("of_b"))
-            met = left.join(hubs, "band").filter(F.col("component") != F.col("of_b"))
-        pairs = met.filter(_fitting(F.col("n"), F.col("n_b"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
-        if not pairs.isEmpty():
-            if sets is None:
-                wanted = members.select(F.col("id").alias("doc_id")).distinct()
-                sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-            fresh = checkpointed(_alike(pairs, sets))
-            tried = pairs if tried is None else tried.union(pairs)
-            if not fresh.isEmpty():
-                labels = _joined(labels, fresh)
-        if labels is None:
-            labels = members.select("id", F.col("id").alias("component")).limit(0)
-        if last:
-            break
-    named = classes.select("n", "one", "two", "id", F.col("id").alias("component_id"))
+            open_rows = _open_rows(members, labels)
+        pairs = checkpointed(_hub_pairs(open_rows) if productive else _block_pairs(open_rows, sets))
+        fresh = checkpointed(_alike(pairs, sets))
+        n_links = fresh.count()
+        if n_links:
+            labels = _joined(labels, fresh)
+        if not productive:
+            return labels
+        productive = n_links > 0 and PRODUCTIVE * n_links >= pairs.count()
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest, n, one, two, component_id`` for each row of ``docs (doc_id, text)``: a hash of the text, the size of its set, two hashes of that, and its component, if it can have one."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    signed = written(texts.mapInArrow(_signed, "doc_id long, digest long, n long, one long, two long, bands array<long>"), "signatures")
+    classes = _classes(signed)
+    labels = _labels(texts, classes)
+    named = classes.select("n", "one", "two", "id", F.col("doc_id").alias("component_id"))
     if labels is not None:
-        named = named.drop("component_id").join(labels, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    named = named.select("n", "one", "two", "component_id")
-    out = signed.select("doc_id", "n", "one", "two").join(named, ["n", "one", "two"], "left")
-    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+        least = named.join(labels, "id").groupBy("component").agg(F.min("component_id").alias("least"))
+        known = checkpointed(labels.join(least, "component").select("id", "least"))
+        named = named.join(known, "id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
+    out = signed.select("doc_id", "digest", "n", "one", "two").join(checkpointed(named.select("n", "one", "two", "component_id")), ["n", "one", "two"], "left")
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs (doc_id, text)``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _verdicts(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of ``docs``; of rows that repeat an id one stays, rows with a null id all stay."""
-    verdicts = near_duplicates(docs)
-    kept = verdicts.filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each component, with the columns of ``docs``; of rows with equal id and set one stays, rows with a null id all stay."""
+    kept = _verdicts(docs).filter("doc_id = component_id").groupBy("doc_id", "n", "one", "two").agg(F.min("digest").alias("digest"))
+    key = unused("key", docs.columns)
+    keyed = docs.filter(F.col("doc_id").isNotNull()).withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest")))
+    chosen = keyed.join(kept.select(F.struct("doc_id", "digest").alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)
+    return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from retort.llm import near_dedup
@@ -42,10 +43,10 @@ def test_matches_all_pairs_on_documents(spark, sf_small):
     assert got(op8_near_duplicates(spark, sf_small)) == plain(rows)
 
 
-@pytest.mark.parametrize("direct", [True, False])
-def test_chains_groups_and_odd_texts(spark, monkeypatch, direct):
-    if not direct:
-        monkeypatch.setattr(near_dedup, "PAIRS_A_ROW", 0.0)  # rounds of hubs first
+@pytest.mark.parametrize("productive, block", [(10, 1024), (0, 4), (10**9, 4)])
+def test_chains_groups_and_odd_texts(spark, monkeypatch, productive, block):
+    monkeypatch.setattr(near_dedup, "PRODUCTIVE", productive)  # none or many further rounds of hubs
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     draw = random.Random(5)
     base = [f"w{draw.randrange(400)}" for _ in range(120)]
     rows = [(i, t) for i, t in enumerate(["", "   ", "one", "One", "one two three four", "ONE TWO three four", None, "é ü ö ß ñ", "É ü ö ß ñ"])]
@@ -61,6 +62,43 @@ def test_chains_groups_and_odd_texts(spark, monkeypatch, direct):
     assert got(near_dedup.near_duplicates(frame)) == plain(rows)
 
 
+def test_large_group_just_below_and_above(spark):
+    """Copies of one text that is not there itself, two at a time mostly a little below 0.75; every replacement is new, so that sets share shingles of the text only."""
+    draw, new = random.Random(9), itertools.count()
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(2500):
+        text = base[:]
+        for at in draw.sample(range(2, 148), draw.choice((1, 2, 2, 3, 3, 3, 3))):
+            text[at] = f"n{next(new)}"
+        rows.append((i, " ".join(text)))
+    bare = [tuple(base[i : i + 5]) for i in range(146)]
+    holds = np.array([[s in own for s in bare] for own in (shingles(t) for _, t in rows)], dtype=np.float32)
+    both = holds @ holds.T
+    linked = 100 * both >= 75 * (2 * 146 - both)
+    assert 0.02 < linked.mean() < 0.5
+    want, left = {}, set(range(len(rows)))
+    for i in range(len(rows)):
+        if i in left:
+            reached, fresh = {i}, [i]
+            while fresh:
+                more = set(np.flatnonzero(linked[fresh].any(axis=0)).tolist()) - reached
+                reached |= more
+                fresh = sorted(more)
+            left -= reached
+            want |= dict.fromkeys(reached, i)
+    assert {i: c[1] for i, c in got(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))).items()} == want
+
+
+def test_repeated_ids_with_texts_of_their_own(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (1, two), (2, one), (3, two), (4, one + " z"), (5, two + " z"), (1, one)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(tuple(r) for r in near_dedup.near_duplicates(frame).select("doc_id", "component_id", "kept").collect())
+    assert found == [(1, 1, True)] * 3 + [(i, 1, False) for i in (2, 3, 4, 5)]
+    assert sorted(tuple(r) for r in near_dedup.deduplicated(frame).collect()) == [(1, one), (1, two)]
+
+
 def test_empty_null_ids_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(empty).count() == 0
