@@ -6,11 +6,12 @@ block, and a fixed tail that says where the index begins. The start of a documen
 earlier files (a running sum over the table of files) plus its start in its own file.
 
 A text is cut where a space follows a character that is not white space: the tokenizer's own pattern always starts a new
-piece there, so that pieces are encoded once each and looked up afterwards. Texts in which a space follows white space or
-that hold the name of an added token, which the tokenizer takes as that token, are encoded whole. Both give the tokenizer's ids for the whole text.
+piece there, so that each distinct piece of some megabytes of text is encoded once and its ids are gathered where it occurs.
+Texts in which a space follows white space or that hold the name of an added token, which the tokenizer takes as that token,
+are encoded whole. Both give the tokenizer's ids for the whole text, and a piece may have any number of ids.
 
 Defined cases: a null text is an empty one and has only the end id; null ids come first; rows with equal ids follow each
-other by text; an empty table gives an empty result.
+other by text; names of further columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,16 @@ from retort.llm.shared_files import new_file, opened, partition
 MAGIC = b"IDS8B\x00\x00\x01"
 #: A file is closed at the first document end after so many ids.
 FILE_IDS = 4_000_000
-#: Texts are tokenized together up to so many bytes.
-CHUNK_BYTES = 4 << 20
-#: Pieces that a task remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
+#: Texts are tokenized together up to so many bytes; a longer text is taken alone.
+CHUNK_BYTES = 16 << 20
+#: The library gets so many bytes at a time, or one text.
+LIBRARY_BYTES = 1 << 18
+#: Pieces whose ids are gathered at once, and words that go to the library end to end.
+SLOTS, RUN = 1 << 19, 1000
 END_ID = 0
 _MARKS = ".,;:!?"
-_WIDE_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}] "
+_ANY_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_WIDE_SPACE = f"{_ANY_SPACE} "
 _FILES = "shard int, part int, path string, n_docs long, n_ids long"
 
 
@@ -54,108 +59,128 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Memory:
-    """Pieces that a worker has encoded: each piece's place in one array of ids, as start * 2**24 + length; and which ids begin with a space."""
+@lru_cache(maxsize=2)
+def _spaced(path: str) -> np.ndarray:
+    """Which ids begin with a space."""
+    tokenizer = _tokenizer(path)
+    heads = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    heads[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+    return heads
+
+
+@dataclass
+class _Units:
+    """Sequences of ids, end to end, each with its start and its count."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> _Units:
+        """From pairs of ids, end to end, and counts."""
+        counts = np.concatenate([np.asarray(c, np.int64) for _, c in parts])
+        return _Units(np.concatenate([np.asarray(i, np.uint32) for i, _ in parts]), np.cumsum(counts) - counts, counts)
+
+    def taken(self, which: np.ndarray) -> np.ndarray:
+        """Ids of the units ``which``, end to end."""
+        out = []
+        for at in range(0, len(which), SLOTS):
+            block = which[at : at + SLOTS]
+            counts = self.counts[block]
+            upto = np.cumsum(counts)
+            out.append(self.ids[np.repeat(self.starts[block] - (upto - counts), counts) + np.arange(upto[-1])])
+        return np.concatenate(out) if out else np.empty(0, np.uint32)
+
+
+def _cuts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of pieces of at most ``most`` bytes, or of one row."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    upto, at = np.concatenate([[0], np.cumsum(lengths)]), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)
+        yield at, end - at
+        at = end
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.places: dict[str, int] = {}
-        self.ids = array("I")
-        self.heads = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.heads[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-
-    def clear(self) -> None:
-        self.places, self.ids = {}, array("I")
-
-    def add(self, pieces: list[str], ids, starts: np.ndarray, counts: np.ndarray) -> None:
-        """Pieces whose ids lie end to end in ``ids``."""
-        self.places.update(zip(pieces, ((starts + len(self.ids) << 24) + counts).tolist(), strict=True))
-        self.ids.extend(ids)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces. Those that are one word after one space go to the library end to end, and come apart where an id begins with a space."""
-        words, others = [], []
-        for p in pieces:
-            parts = p.split()
-            (words if p[:1] == " " and len(parts) == 1 and len(parts[0]) == len(p) - 1 else others).append(p)
-        runs = [words[at : at + 1000] for at in range(0, len(words), 1000)]
-        for run, encoded in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = encoded.ids
-            starts = np.flatnonzero(self.heads[ids])
-            if len(starts) == len(run):
-                self.add(run, ids, starts, np.diff(starts, append=len(ids)))
-            else:
-                others += run
-        for p, encoded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.add([p], encoded.ids, np.zeros(1, np.int64), np.array([len(encoded.ids)]))
-
-
-_memory = lru_cache(maxsize=2)(_Memory)
+
+def _parts(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    for at, n in _cuts(texts, most):
+        yield texts.slice(at, n)
 
 
 class Encoder:
-    """Token ids of string columns, with a memory of pieces for the life of the worker."""
+    """Token ids of string columns. Each distinct piece of a column is encoded once."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.memory = _tokenizer(path), _memory(path)
+        self.tokenizer, self.spaced = _tokenizer(path), _spaced(path)
         self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
 
-    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces, end to end, and their counts. Marks after a letter or digit are pieces of their own to the tokenizer, so they are split off."""
-        memory = self.memory
-        if len(memory.places) > REMEMBERED:
-            memory.clear()
-        bare, whole = [], {}
-        for p in pieces:
-            if p not in memory.places:
-                stem = p.rstrip(_MARKS)
-                if len(stem) < len(p) and stem[-1:].isalnum():
-                    whole[p] = stem
-                    bare += (stem, p[len(stem) :])
-                else:
-                    bare.append(p)
-        memory.learn([p for p in dict.fromkeys(bare) if p not in memory.places])
-        # a piece with marks is two places
-        both = [q for p in pieces for q in ((whole[p], p[len(whole[p]) :]) if p in whole else (p,))]
-        place = np.fromiter(map(memory.places.__getitem__, both), np.int64, len(both))
-        counts, starts = place & 0xFFFFFF, place >> 24
-        upto = np.cumsum(counts)
-        ids = np.frombuffer(memory.ids, np.uint32)[np.repeat(starts - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)].astype(np.int64)
-        if whole:
-            firsts = np.cumsum([0] + [2 if p in whole else 1 for p in pieces])
-            counts = np.diff(np.concatenate([[0], upto])[firsts])
-        return ids, counts
+    def _each(self, texts: pa.Array, before: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, each after ``before``, end to end, and their counts. What the library returns is large, so that it gets a part of them at a time."""
+        ids, counts = [], []
+        for part in _parts(texts, LIBRARY_BYTES):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([before + t for t in part.to_pylist()], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            counts.append(np.array([len(x) for x in found], dtype=np.int64))
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after a space. They go to the library end to end, a run at a time, and come apart where an id begins with a space;
+        words with white space of their own go one by one."""
+        wide = np.asarray(pc.or_(pc.match_substring_regex(words, _ANY_SPACE), pc.equal(words, "")).to_numpy(zero_copy_only=False), dtype=bool)
+        plain = np.flatnonzero(~wide)
+        bounds = np.append(np.arange(0, len(plain), RUN), len(plain)).astype(np.int32)
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words.take(pa.array(plain))), " ")
+        ids, lengths = self._each(runs, " ")
+        # a run of as many spaces as words comes apart; the words of others go one by one
+        ends = np.cumsum(lengths)
+        spaced = np.concatenate([[0], np.cumsum(self.spaced[ids])])[np.concatenate([[0], ends])]
+        whole = np.diff(spaced) == np.diff(bounds)
+        in_whole = np.repeat(whole, lengths)
+        ids = ids[in_whole]
+        starts = np.flatnonzero(self.spaced[ids])
+        apart = plain[np.repeat(whole, np.diff(bounds))]
+        rest = np.concatenate([np.flatnonzero(wide), plain[np.repeat(~whole, np.diff(bounds))]])
+        units = _Units.of([(ids, np.diff(starts, append=len(ids))), self._each(words.take(pa.array(rest)), " ")])
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([apart, rest])] = np.arange(len(words))
+        return units.taken(place), units.counts[place]
+
+    def _pieces(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces after a space. Marks after a letter or digit are pieces of their own to the tokenizer, so that they are split off and the rest is encoded once."""
+        marked = np.asarray(pc.match_substring_regex(names, rf"[\p{{L}}\p{{N}}][{_MARKS}]+$").to_numpy(zero_copy_only=False), dtype=bool)
+        split = pc.dictionary_encode(pc.if_else(pa.array(marked), pc.utf8_rtrim(names, _MARKS), names))
+        marks = pc.dictionary_encode(pc.extract_regex(names.filter(pa.array(marked)), f"(?P<marks>[{_MARKS}]+)$").field("marks"))
+        units = _Units.of([self._words(split.dictionary), self._each(marks.dictionary)])
+        which = np.zeros(2 * len(names), np.int64)
+        which[::2] = np.asarray(split.indices)
+        used = np.ones(2 * len(names), dtype=bool)
+        used[1::2] = marked
+        which[1::2][marked] = len(split.dictionary) + np.asarray(marks.indices)
+        counts = np.where(used, units.counts[which] if len(units.counts) else 0, 0).reshape(-1, 2).sum(axis=1)
+        return units.taken(which[used]), counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, each with the end id after it, and the counts."""
         plain = pc.invert(pc.match_substring_regex(texts, f"{_WIDE_SPACE}|{self.added}" if self.added else _WIDE_SPACE))
-        # a text with wide white space or an added token is one piece, looked up like a first piece but not remembered
+        # a text with wide white space or an added token is one piece
         split = pc.split_pattern(pc.if_else(plain, texts, pa.scalar("", texts.type)), " ")
         offsets = np.asarray(split.offsets)
         pieces = pc.dictionary_encode(split.flatten())
-        number = np.asarray(pieces.indices).astype(np.int64)
-        names = pieces.dictionary.to_pylist()
-        is_first = np.zeros(len(number), dtype=bool)
-        is_first[offsets[:-1]] = True
+        number = np.asarray(pieces.indices)
         firsts, first_at = np.unique(number[offsets[:-1]], return_inverse=True)
-        ids, counts = self._ids_of([" " + p for p in names] + [names[i] for i in firsts])
-        slot = number.copy()
-        slot[offsets[:-1]] = len(names) + first_at
         whole_rows = np.flatnonzero(~np.asarray(plain.to_numpy(zero_copy_only=False), dtype=bool))
-        if len(whole_rows):
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts.take(pa.array(whole_rows)).to_pylist(), add_special_tokens=False)]
-            slot[offsets[whole_rows]] = len(counts) + np.arange(len(encoded))
-            ids = np.concatenate([ids, *[np.array(e, dtype=np.int64) for e in encoded]])
-            counts = np.concatenate([counts, [len(e) for e in encoded]])
-        # the end id is one more piece after the last of each text
-        slot = np.insert(slot, offsets[1:], len(counts))
-        ids, counts = np.append(ids, END_ID), np.append(counts, 1)
-        starts = np.cumsum(counts) - counts
-        each = counts[slot]
-        upto = np.cumsum(each)
-        out = ids[np.repeat(starts[slot] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = upto[offsets[1:] + np.arange(len(texts))]
-        return out, np.diff(ends, prepend=0)
+        parts = [self._pieces(pieces.dictionary), self._each(pieces.dictionary.take(pa.array(firsts))), self._each(texts.take(pa.array(whole_rows)))]
+        units = _Units.of([*parts, (np.array([END_ID]), np.array([1]))])
+        # the end id is one more unit after the last of each text
+        lengths = np.diff(offsets)
+        slots = np.full(len(number) + len(texts), len(units.counts) - 1, dtype=np.int64)
+        slots[np.arange(len(number)) + np.repeat(np.arange(len(texts)), lengths)] = number
+        heads = offsets[:-1] + np.arange(len(texts))
+        slots[heads] = len(parts[0][1]) + first_at
+        slots[heads[whole_rows]] = len(parts[0][1]) + len(parts[1][1]) + np.arange(len(whole_rows))
+        upto = np.concatenate([[0], np.cumsum(units.counts[slots])])
+        return units.taken(slots), np.diff(upto[np.append(heads, len(slots))])
 
 
 def write_file(folder: str, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> str:
@@ -206,12 +231,8 @@ def read_file(uri: str, group: int = 4096) -> Iterator[tuple[int | None, int, np
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of at most ``CHUNK_BYTES`` of text each, or one row."""
-    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64)
-    upto, at = np.concatenate([[0], np.cumsum(lengths)]), 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(upto, upto[at] + CHUNK_BYTES, side="right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
+    for at, n in _cuts(batch.column("text"), CHUNK_BYTES):
+        yield batch.slice(at, n)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, partitions: int | None = None) -> DataFrame:
@@ -231,7 +252,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, partitions: int |
         for batch in batches:
             for chunk in _chunks(batch):
                 ids, counts = encoder.encode(chunk.column("text").cast(pa.string()).fill_null(""))
-                held.append((chunk.column("doc_id"), counts, ids.astype(np.uint32)))
+                held.append((chunk.column("doc_id"), counts, ids))
                 n += len(ids)
                 if n >= FILE_IDS:
                     yield flush()
