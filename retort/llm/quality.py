@@ -1,14 +1,20 @@
 """Quality rules with thresholds that follow the data, with DataFrame functions only.
 
-Each document gets a few measures. A mergeable quantile sketch is kept for each language, source and measure: values
-fall in buckets that grow by a constant factor, and a sketch is the count of each bucket, so that sketches of parts
-merge by adding counts (a plain ``groupBy`` with map-side combination, whatever the size of a group) and every
-quantile is within a fixed relative error. The upper fence of a group and measure is its third quartile plus ``reach``
-times the distance to the median, held between a floor and a ceiling for that measure; the lower fence of the word
-count follows the same way. A document that fails a base rule or lies beyond a fence is rejected.
-
-Defined cases: a null text is a text without words, which the base rule rejects; null languages and sources form
-groups of their own; equal rows get equal verdicts; an empty table gives an empty result.
+Each document gets a few measures, all of them positive: shares are taken with a little of everything added to the count and to
+the whole, so that short texts do not give wild ones and a text without a single symbol still has a place on the scale. A
+mergeable quantile sketch is kept for each language, source and measure: values fall in buckets that grow by a constant
+factor, and a sketch is the count of each bucket, so that sketches of parts merge by adding counts (a plain ``groupBy`` with
+map-side combination, whatever the size of a group) and every quantile is within a fixed relative error.
+
+The fence of a group and measure lies above the median by ``REACH`` times the distance from the lower quartile to the median, on
+the scale of the buckets, which is that of the logarithm. Poor texts stretch the upper side only, so they hardly move it. Groups
+are pooled with the whole: median and quartile are the means of the group's and of all documents', weighed by the group's
+documents and by ``PRIOR_ROWS``. No fixed cutoff holds a fence. A document that fails a base rule or lies beyond a fence is
+rejected.
+
+Defined cases: a null text is a text without words, which the base rule rejects and the sketches leave out; null languages and
+sources form groups of their own; equal rows get equal verdicts; a text that is one word of any length is measured like others;
+names of further columns do not matter, as the given row travels in a column of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,98 +26,107 @@ from pyspark.sql import functions as F
 
 from retort.llm.common import SPACE_CHARS, checkpointed, joined_hashes, words, written
 
-#: Ratio of neighbouring bucket bounds of the sketch: quantiles are right to 1 %.
+#: Ratio of neighbouring bucket bounds of the sketch: quantiles are right to 2 %.
 GROWTH = 1.02
-#: Bucket of values that count as 0.
-ZERO_BUCKET = -100000
-#: Measures with the least and the greatest upper fence. A fence within these bounds follows the group's quantiles.
-FENCES = {"symbol_share": (0.02, 0.08), "dup_line_share": (0.4, 0.7), "repeat_share": (0.3, 0.4), "word_length": (8.0, 15.0), "shout_share": (0.1, 0.4)}
-#: A fence is the third quartile and ``REACH`` times its distance to the median.
-REACH = 3.0
-#: Fences of at most so many groups (under 100 bytes each) go to every task; beyond, they are joined by a shuffle.
-MOST_BROADCAST_GROUPS = 50_000
+#: How far above the median the fence of a measure lies, in distances from the lower quartile to the median.
+REACH = {"symbol_share": 5.0, "dup_line_share": 5.0, "repeat_share": 4.5, "word_length": 10.0, "shout_share": 5.0}
+#: Part and whole of each measure, and what is added to either.
+SHARES = {"symbol_share": ("n_symbols", 1, "word_chars", 100), "dup_line_share": ("n_dup_lines", 1, "n_lines", 10), "repeat_share": ("n_repeat_words", 8, "n_words", 80), "word_length": ("word_chars", 0, "n_words", 0), "shout_share": ("n_shout", 1, "n_words", 20)}
+#: All documents count as so many in each group's quantiles.
+PRIOR_ROWS = 50
+#: Fences of at most so many groups (under 100 bytes each) go to every task; beyond, they are joined by a shuffle, each group on ``SALTS`` keys.
+MOST_BROADCAST_GROUPS, SALTS = 50_000, 32
 BASE_LEAST_WORDS, BASE_MOST_REPEATED = 20, 30
 
 
-def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (its columns ``keep``, else all) with the counts ``_n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words`` and a column a measure."""
-    keep = docs.columns if keep is None else keep
+def measured(docs: DataFrame, keep: list[str] | None = None, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """For each row of ``docs``: ``row`` with its columns ``keep``, else all; ``by_<name>`` for each of ``by``; the counts; and a column a measure."""
     text = F.coalesce(F.col("text"), F.lit(""))
     solid = text
     for space in SPACE_CHARS:
         solid = F.replace(solid, F.lit(space), F.lit(""))
-    lines = docs.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
+    groups = {f"by_{c}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by}
+    kept = ["row", *groups]
+    given = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), "text", *[c.alias(name) for name, c in groups.items()])
+    lines = given.withColumn("lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
     counts = lines.select(
-        *keep,
-        F.char_length(solid).cast("long").alias("_word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("_n_symbols"),
-        F.regexp_count(text, F.lit(r"[A-Z]{2,}")).cast("long").alias("_n_shout"),
-        F.size("_lines").cast("long").alias("_n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
-        F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h1"),
+        *kept,
+        F.char_length(solid).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(r"[A-Z]{2,}")).cast("long").alias("n_shout"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h1"),
     )
     # windows of 4 words come first: a text without an equal pair of those has no equal pair of 8 words
-    by_two = counts.withColumns({"_n_words": F.size("_h1").cast("long"), "_h2": joined_hashes(F.col("_h1"), 1)}).drop("_h1")
-    by_four = by_two.withColumn("_h4", joined_hashes(F.col("_h2"), 2)).drop("_h2")
-    eight = F.when(F.size(F.array_distinct("_h4")) < F.size("_h4"), joined_hashes(F.col("_h4"), 4)).otherwise(F.array().cast("array<bigint>"))
-    by_eight = by_four.withColumn("_h8", eight).drop("_h4")
-    placed = F.sort_array(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    by_two = counts.withColumns({"n_words": F.size("h1").cast("long"), "h2": joined_hashes(F.col("h1"), 1)}).drop("h1")
+    by_four = by_two.withColumn("h4", joined_hashes(F.col("h2"), 2)).drop("h2")
+    eight = F.when(F.size(F.array_distinct("h4")) < F.size("h4"), joined_hashes(F.col("h4"), 4)).otherwise(F.array().cast("array<bigint>"))
+    by_eight = by_four.withColumn("h8", eight).drop("h4")
+    placed = F.sort_array(F.transform("h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    pairs = by_eight.withColumn("_pairs", F.when(F.size(F.array_distinct("_h8")) < F.size("_h8"), placed).otherwise(none)).drop("_h8")
-    twice = F.filter("_pairs", lambda p, k: (p["h"] == F.get("_pairs", k - 1)["h"]) | (p["h"] == F.get("_pairs", k + 1)["h"]))
-    places = pairs.withColumn("_places", F.sort_array(F.transform(twice, lambda p: p["i"]))).drop("_pairs")
+    pairs = by_eight.withColumn("pairs", F.when(F.size(F.array_distinct("h8")) < F.size("h8"), placed).otherwise(none)).drop("h8")
+    twice = F.filter("pairs", lambda p, k: (p["h"] == F.get("pairs", k - 1)["h"]) | (p["h"] == F.get("pairs", k + 1)["h"]))
+    places = pairs.withColumn("places", F.sort_array(F.transform(twice, lambda p: p["i"]))).drop("pairs")
     covered = F.aggregate(
-        F.transform("_places", lambda p, k: F.least(F.lit(8), F.coalesce(F.get("_places", k + 1), p + 8) - p).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x
+        F.transform("places", lambda p, k: F.least(F.lit(8), F.coalesce(F.get("places", k + 1), p + 8) - p).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x
     )
-    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
-    return places.withColumn("_n_repeat_words", covered).drop("_places").withColumns({
-        "_symbol_share": share("_n_symbols", "_word_chars"),
-        "_dup_line_share": share("_n_dup_lines", "_n_lines"),
-        "_repeat_share": share("_n_repeat_words", "_n_words"),
-        "_word_length": share("_word_chars", "_n_words"),
-        "_shout_share": share("_n_shout", "_n_words"),
-    })
+    share = lambda part, more, whole, added: F.when(F.col("n_words") > 0, (F.col(part) + more) / (F.col(whole) + added))
+    return places.withColumn("n_repeat_words", covered).drop("places").withColumns({m: share(*parts) for m, parts in SHARES.items()})
 
 
 def base_failed() -> Column:
     """True for a text with too few words or too many of them in repeated windows of eight words."""
-    return (F.col("_n_words") < BASE_LEAST_WORDS) | (100 * F.col("_n_repeat_words") > BASE_MOST_REPEATED * F.col("_n_words"))
+    return (F.col("n_words") < BASE_LEAST_WORDS) | (100 * F.col("n_repeat_words") > BASE_MOST_REPEATED * F.col("n_words"))
 
 
-def sketches(measures: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Quantile sketches: ``by..., _measure, _bucket, _count``. Sketches of parts merge by adding the counts of equal buckets."""
-    values = F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"_{m}").alias("v")) for m in FENCES])
-    each = measures.filter(F.col("_n_words") > 0).select(*by, F.explode(values).alias("_x"))
-    bucket = F.when(F.col("_x.v") > 1e-6, F.ceil(F.ln("_x.v") / float(math.log(GROWTH))).cast("int"))
-    return each.groupBy(*by, F.col("_x.m").alias("_measure"), F.coalesce(bucket, F.lit(ZERO_BUCKET)).alias("_bucket")).agg(F.count("*").alias("_count"))
+def sketches(measures: DataFrame, by: list[str]) -> DataFrame:
+    """Quantile sketches: ``by..., measure, bucket, count``. Sketches of parts merge by adding the counts of equal buckets."""
+    values = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in SHARES])
+    each = measures.filter("n_words > 0").select(*by, F.explode(values).alias("x"))
+    bucket = F.ceil(F.ln("x.v") / float(math.log(GROWTH))).cast("int")
+    return each.groupBy(*by, F.col("x.m").alias("measure"), bucket.alias("bucket")).agg(F.count("*").alias("count"))
 
 
-def fences(sketch: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Upper fences from sketches, a row a group with a column ``_fence_<measure>`` each."""
-    group = [*by, "_measure"]
-    so_far = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    counted = sketch.withColumns({"_upto": F.sum("_count").over(so_far), "_all": F.sum("_count").over(Window.partitionBy(*group))})
-    value = F.when(F.col("_bucket") == ZERO_BUCKET, 0.0).otherwise(2 * F.pow(F.lit(GROWTH), F.col("_bucket")) / (1 + GROWTH))
-    at = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), value))
-    quartiles = counted.groupBy(*group).agg(at(0.5).alias("_mid"), at(0.75).alias("_high"))
-    raw = F.col("_high") + REACH * (F.col("_high") - F.col("_mid"))
-    one = lambda m, low, high: F.max(F.when(F.col("_measure") == m, F.least(F.lit(high), F.greatest(F.lit(low), raw)))).alias(f"_fence_{m}")
-    return quartiles.groupBy(*by).agg(*[one(m, low, high) for m, (low, high) in FENCES.items()])
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Lower quartile and median of each group and measure as buckets, and the rows behind them: ``by..., measure, low, mid, rows``."""
+    group = [*by, "measure"]
+    so_far = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    counted = sketch.withColumns({"upto": F.sum("count").over(so_far), "rows": F.sum("count").over(Window.partitionBy(*group))})
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("bucket")))
+    return counted.groupBy(*group).agg(at(0.25).alias("low"), at(0.5).alias("mid"), F.max("rows").alias("rows"))
+
+
+def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """The upper fence of each group, with a column ``fence_<measure>`` each, from its sketches and those of all groups together."""
+    whole = quantiles(sketch.groupBy("measure", "bucket").agg(F.sum("count").alias("count")), []).select("measure", F.col("low").alias("all_low"), F.col("mid").alias("all_mid"))
+    both = quantiles(sketch, by).join(F.broadcast(whole), "measure")  # one row a measure
+    pooled = lambda c: (F.col("rows") * F.col(c) + PRIOR_ROWS * F.col(f"all_{c}")) / (F.col("rows") + PRIOR_ROWS)
+    reach = F.element_at(F.create_map(*[F.lit(x) for pair in REACH.items() for x in pair]), F.col("measure"))
+    fence = F.pow(F.lit(GROWTH), pooled("mid") + reach * (pooled("mid") - pooled("low")))
+    return both.groupBy(*by).agg(*[F.max(F.when(F.col("measure") == m, fence)).alias(f"fence_{m}") for m in SHARES])
 
 
 def judged(docs: DataFrame, keep: list[str] | None = None, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """``docs`` (its columns ``keep``, else all; ``by`` among them) with the counts, ``_base_failed`` and ``_kept``.
+    """For each row of ``docs``: ``row`` with its columns ``keep``, else all; the counts; ``base_failed`` and ``kept``.
 
     The measures are computed once and written; the fences, one row a group, come from them and are joined back.
     """
-    measures = written(measured(docs, keep), "measures")
-    groups = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_by_{c}") for c in by]
-    keys = [f"_by_{c}" for c in by]
-    keyed = measures.select("*", *groups)
-    bounds = checkpointed(fences(sketches(keyed, tuple(keys)), tuple(keys)))
-    few = bounds.count() <= MOST_BROADCAST_GROUPS
-    joined = keyed.join(F.broadcast(bounds) if few else bounds, keys, "left")
+    measures = written(measured(docs, keep, by), "measures")
+    keys = [f"by_{c}" for c in by]
+    bounds = checkpointed(fences(sketches(measures, keys), keys))
+    if bounds.count() <= MOST_BROADCAST_GROUPS:
+        joined = measures.join(F.broadcast(bounds), keys, "left")
+    else:
+        salted = bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = measures.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [*keys, "salt"], "left")
     within = F.lit(True)
-    for m in FENCES:
-        within = within & (F.col(f"_{m}") <= F.coalesce(F.col(f"_fence_{m}"), F.lit(float("inf"))))
-    return joined.withColumn("_base_failed", base_failed()).withColumn("_kept", ~F.col("_base_failed") & within).drop(*keys)
+    for m in SHARES:
+        within = within & F.coalesce(F.col(m) <= F.col(f"fence_{m}"), F.lit(True))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shout"]
+    return joined.select("row", *counts, *SHARES, base_failed().alias("base_failed"), (~base_failed() & within).alias("kept"))
+
+
+def filtered(docs: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns."""
+    return judged(docs, by=by).filter("kept").select("row.*")

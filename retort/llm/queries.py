@@ -49,10 +49,8 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    verdicts = quality.judged(docs, keep=["doc_id", "lang", "source"])
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return verdicts.select("doc_id", *[F.col(f"_{c}").alias(c) for c in counts], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    verdicts = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return verdicts.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

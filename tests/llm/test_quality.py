@@ -3,8 +3,6 @@
 import re
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from retort.llm import quality
 from retort.llm.queries import op7_quality_rules
 
@@ -43,27 +41,56 @@ def test_clean_labels_stay_and_poor_ones_go(spark):
     assert sum(clean) / len(clean) > 0.995 and sum(poor) / len(poor) < 0.05
 
 
+def measures_frame(spark, rows):
+    return spark.createDataFrame(rows, "by_source string, n_words int, " + ", ".join(f"{m} double" for m in quality.SHARES))
+
+
 def test_sketches_merge_and_bound_quantiles(spark):
-    values = [0.01 * i for i in range(1, 1001)]
-    frame = spark.createDataFrame([("l", "s", 30, v, v, v, v, v) for v in values], "lang string, source string, _n_words int, " + ", ".join(f"_{m} double" for m in quality.FENCES))
-    whole = {(r["_measure"], r["_bucket"]): r["_count"] for r in quality.sketches(frame).collect()}
+    frame = measures_frame(spark, [("s", 30, *[0.01 * i] * 5) for i in range(1, 1001)])
+    whole = {(r["measure"], r["bucket"]): r["count"] for r in quality.sketches(frame, ["by_source"]).collect()}
     parts = Counter()
     for part in frame.randomSplit([0.3, 0.7], 1):
-        parts.update({(r["_measure"], r["_bucket"]): r["_count"] for r in quality.sketches(part).collect()})
+        parts.update({(r["measure"], r["bucket"]): r["count"] for r in quality.sketches(part, ["by_source"]).collect()})
     assert whole == dict(parts)
-    row = quality.fences(quality.sketches(frame)).first()
-    raw = 7.5 + quality.REACH * 2.5
-    assert abs(row["_fence_word_length"] - min(15.0, raw)) < 0.05 * raw
+    for r in quality.quantiles(quality.sketches(frame, ["by_source"]), ["by_source"]).collect():
+        assert r["rows"] == 1000 and 0.98 < quality.GROWTH ** r["low"] / 2.5 < 1.03 and 0.98 < quality.GROWTH ** r["mid"] / 5.0 < 1.03
+
+
+def test_fences_follow_the_groups(spark):
+    """A group of values twice as large has fences twice as high, poor texts hardly move them, and small groups lean on the whole."""
+    rows = [(s, 30, *[scale * (1 + i / 2000)] * 5) for s, scale in (("a", 0.1), ("b", 0.2)) for i in range(2000)]
+    rows += [("c", 30, *[0.1 * (1 + i / 2000)] * 5) for i in range(2000)] + [("c", 30, *[5.0] * 5)] * 200 + [("d", 30, *[9.0] * 5)] * 2
+    found = {r["by_source"]: r for r in quality.fences(quality.sketches(measures_frame(spark, rows), ["by_source"]), ["by_source"]).collect()}
+    for m in quality.SHARES:
+        a, b, c, d = (found[s][f"fence_{m}"] for s in "abcd")
+        assert 1.7 < b / a < 2.2 and 1.0 <= c / a < 1.5 and d < 9.0
+
+
+def test_fences_of_documents_differ(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    keys = ["by_lang", "by_source"]
+    rows = quality.fences(quality.sketches(quality.measured(docs, ["doc_id"]), keys), keys).collect()
+    for m in quality.SHARES:
+        assert len({round(r[f"fence_{m}"], 6) for r in rows}) > 0.5 * len(rows)
+
+
+def test_joining_many_groups(spark, sf_small, monkeypatch):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    want = sorted(tuple(r) for r in quality.judged(docs, ["doc_id"]).select("row.doc_id", "kept").collect())
+    monkeypatch.setattr(quality, "MOST_BROADCAST_GROUPS", 0)
+    assert sorted(tuple(r) for r in quality.judged(docs, ["doc_id"]).select("row.doc_id", "kept").collect()) == want
 
 
 def test_odd_rows_and_clashing_columns(spark):
     clean = " ".join(f"word{i} text" for i in range(40))
     rows = [(None, None, None, None), (1, "", "en", "s"), (2, " \n\t ", None, "s"), (3, clean, None, None), (3, clean, None, None), (4, "a b c d e f g h " * 3000, "en", "s"), (5, clean + " | # % " * 60, None, None), (6, "é " * 30, "en", "")]
-    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, lang string, source string, kept int")
+    docs = spark.createDataFrame([(*r, 5, 6, 7) for r in rows], "doc_id long, text string, lang string, source string, kept int, n_words int, row int")
     out = quality.judged(docs).collect()
     assert len(out) == len(rows)
     for r in out:
-        got = tuple(r[c] for c in ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed"))
-        assert got == plain(r["text"]) and r["kept"] == 5
-    assert [r["_kept"] for r in out if r["doc_id"] == 3] == [True, True] and not next(r for r in out if r["doc_id"] == 5)["_kept"]
+        got = tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+        assert got == plain(r["row"]["text"]) and tuple(r["row"])[4:] == (5, 6, 7)
+    assert [r["kept"] for r in out if r["row"]["doc_id"] == 3] == [True, True] and not next(r for r in out if r["row"]["doc_id"] == 5)["kept"]
+    kept = quality.filtered(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r["row"]) for r in out if r["kept"])
     assert quality.judged(docs.limit(0)).count() == 0
