@@ -1,22 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
 Text nodes are grouped by their path of tags from the root. Each path gets two ratios: text length to number of nodes, and
-text length with punctuation to number of nodes. Both are spread over the nodes in page order, smoothed, fused into one
-score, and averaged for each path; paths that reach a threshold from the spread of the scores are content. The innermost
-element that holds nearly all text of content paths is the article, and within it short blocks (headings, list items,
-captions) stay with it unless they are mostly links. Elements that name themselves as something else (menus, page headers
-and footers, sidebars, notices, adverts, forms, reader comments) are left out beforehand; forms and classes and ids that only
-mention such a part are not trusted on an element that wraps the page.
+text length with punctuation to number of nodes. Both are spread over the nodes in page order, smoothed, and fused into one
+score; a path's score is the geometric mean of what it has by itself and of what its neighbourhood has, times a weight. The
+weight is a feature like the others: links lower it, and so do elements that name themselves as something else (menus, page
+headers and footers, sidebars, notices, adverts, forms, reader comments), unless they wrap the page.
+
+Two thresholds, relative to the score that the page's text has on the average (each by its weight), select: paths above ``STRONG`` are content, and
+the innermost element that holds nearly all of their text is the article. Of the blocks in it, those stay whose text lies on
+paths above ``WEAK`` on the average, so that headings, list items and captions stay with their article.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; unclosed and crossed tags are closed as
-browsers do for paragraphs, list items and table cells, other open elements end with their parent; a page cut off inside a
-tag, comment or script ends there; an empty table gives an empty result.
+browsers do for paragraphs, list items and table cells, other open elements end with their parent; what is not shown (scripts,
+hidden elements) is no text; a page cut off inside a tag, comment or script ends there; nesting of any depth takes time in
+proportion; rows that repeat a page each get a row; names of further columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +43,9 @@ _CLOSES = {
 #: Elements before which an open paragraph ends.
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _P_HOLDERS = {"article", "aside", "blockquote", "body", "div", "figure", "footer", "form", "header", "li", "main", "nav", "section", "table", "td", "th", "dd"}
-_LEFT_OUT = {"aside", "button", "canvas", "dialog", "footer", "head", "input", "math", "menu", "nav", "object", "select", "svg", "video", "audio"}
+#: Elements without text of the page.
+_NO_TEXT = {"button", "canvas", "dialog", "head", "input", "math", "object", "select", "svg", "video", "audio"}
+_LEFT_OUT = {"aside", "footer", "menu", "nav"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 _NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|adbox|adslot|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|subscribe|subscription|"
@@ -51,33 +57,41 @@ _CONTENT_TAGS = {"html", "body", "article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-#: An element that is surely not the article's text, and one that is not unless it wraps the page.
-_SURE, _LIKELY = 2, 1
+#: An element without text, one that is surely not the article's text, and one that is not unless it wraps the page.
+_NOTHING, _SURE, _LIKELY = 3, 2, 1
+#: Weight of paths through elements that name themselves as something else.
+ASIDE_WEIGHT = 0.001
+#: Scores, as shares of the page's average, from which paths are content, and from which blocks of the article stay.
+STRONG, WEAK = 0.25, 0.005
+#: Share of the text of content paths that the article holds.
+HELD = 0.95
 
 
 class _Element:
-    __slots__ = ("tag", "name", "parent", "veto", "left_out", "depth", "number")
+    __slots__ = ("tag", "name", "parent", "veto", "aside", "number", "depth", "in_link", "in_article")
 
     def __init__(self, tag: str, name: str, parent: _Element | None, veto: int, number: int):
-        self.tag, self.name, self.parent, self.veto, self.left_out, self.number = tag, name, parent, veto, False, number
+        self.tag, self.name, self.parent, self.veto, self.number, self.aside = tag, name, parent, veto, number, False
         self.depth = parent.depth + 1 if parent else 0
+        self.in_link = tag == "a" or parent is not None and parent.in_link
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
 
 
 def _veto(tag: str, attributes: str, parent: _Element) -> int:
-    """``_SURE`` or ``_LIKELY`` for an element that names itself as something other than the article's text, else 0."""
-    inside, found = parent, _LIKELY if tag == "form" else 0
+    """What an element says of itself: ``_NOTHING``, ``_SURE`` or ``_LIKELY``, or 0 where it may hold the article's text."""
+    found = _LIKELY if tag == "form" else 0
+    if tag in _NO_TEXT:
+        return _NOTHING
     if tag in _LEFT_OUT:
         return _SURE
     if tag == "header":
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        return _SURE if inside is None else 0
+        return 0 if parent.in_article else _SURE
     if not attributes or tag in _CONTENT_TAGS and "comment" not in attributes.lower():
         return found
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return _SURE
+            return _NOTHING
         if key == "role" and value.lower() in _ROLES and not (found and value.lower() == "form"):
             return _SURE
         if key in ("class", "id") and tag not in _HEADINGS and _NAMES.search(value):
@@ -85,9 +99,9 @@ def _veto(tag: str, attributes: str, parent: _Element) -> int:
     return found
 
 
-def _leave_out(nodes: list[tuple[str, _Element, int]], elements: list[_Element]) -> None:
-    """Mark what is left out. A likely veto does not count for a wrapper of the page: an element with half of the text or more
-    that holds the article's elements, or beside which hardly any text is left."""
+def _set_aside(nodes: list[tuple[str, _Element, int]], elements: list[_Element]) -> None:
+    """Mark the elements whose paths weigh little. A likely veto does not count for a wrapper of the page: an element with half of the
+    text or more that holds the article's elements, or beside which hardly any text is left."""
     sure, likely = [False] * len(elements), [False] * len(elements)
     own, articles, free = [0] * len(elements), [0] * len(elements), 0
     for e in elements[1:]:
@@ -104,34 +118,45 @@ def _leave_out(nodes: list[tuple[str, _Element, int]], elements: list[_Element])
         articles[e.parent.number] += articles[e.number]
     for e in elements[1:]:
         wrapper = e.veto == _LIKELY and 2 * own[e.number] >= own[0] and (articles[e.number] > 0 or 10 * free < own[e.number])
-        e.left_out = e.parent.left_out or e.veto > 0 and not wrapper
-    if own[0] and all(e.left_out or not raw.strip() for raw, e, _ in nodes):  # nothing but likely vetoes: none of them counts
+        e.aside = e.parent.aside or e.veto > 0 and not wrapper
+    if own[0] and all(e.aside or not raw.strip() for raw, e, _ in nodes):  # nothing but likely vetoes: none of them counts
         for e in elements[1:]:
-            e.left_out = sure[e.number]
+            e.aside = sure[e.number]
 
 
 def text_nodes(page: str) -> tuple[list[tuple[str, _Element, int]], list[_Element]]:
     """Text nodes of a page in order, each with its element and the number of its block, and all elements."""
     root = _Element("#", "#", None, 0, 0)
     nodes, elements, at, block, here = [], [root], 0, 0, root
+    open_tags: Counter[str] = Counter()
+
+    def close(upto: _Element) -> _Element:
+        """End all open elements up to ``upto`` and that."""
+        last = here
+        while True:
+            open_tags[last.tag] -= 1
+            if last is upto:
+                return last.parent
+            last = last.parent
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             raw = m[0]
-            if raw[0] != "<" or len(raw) == 1:
+            if (raw[0] != "<" or len(raw) == 1) and here.veto != _NOTHING:
                 nodes.append((raw, here, block))
             continue
         tag = tag.lower()
         if tag == "br" or tag not in _INLINE:
             block += 1
         if closing:
-            open_one = here
-            while open_one is not root and open_one.tag != tag:
-                open_one = open_one.parent
-            if open_one is not root:
-                here = open_one.parent
+            if open_tags[tag]:
+                open_one = here
+                while open_one.tag != tag:
+                    open_one = open_one.parent
+                here = close(open_one)
             continue
         if tag in _RAW:
             ends = _RAW[tag].search(page, at)
@@ -140,35 +165,31 @@ def text_nodes(page: str) -> tuple[list[tuple[str, _Element, int]], list[_Elemen
         if tag in _VOID:
             continue
         if tag in _ENDS_P:
-            open_one = here
-            while open_one is not root and open_one.tag != "p" and open_one.tag not in _P_HOLDERS:
-                open_one = open_one.parent
-            if open_one.tag == "p":
-                here = open_one.parent
+            if open_tags["p"]:
+                open_one = here
+                while open_one is not root and open_one.tag != "p" and open_one.tag not in _P_HOLDERS:
+                    open_one = open_one.parent
+                if open_one.tag == "p":
+                    here = close(open_one)
         elif tag in _CLOSES:
             closed, holders = _CLOSES[tag]
-            open_one, outer = here, None
-            while open_one is not root and open_one.tag not in holders:
-                outer = open_one if open_one.tag in closed else outer
-                open_one = open_one.parent
-            here = outer.parent if outer else here
+            if any(open_tags[t] for t in closed):
+                open_one, outer = here, None
+                while open_one is not root and open_one.tag not in holders:
+                    outer = open_one if open_one.tag in closed else outer
+                    open_one = open_one.parent
+                here = close(outer) if outer else here
         if attributes.endswith("/") and tag in ("path", "circle", "rect", "use"):
             continue
         kind = re.search(r"""class\s*=\s*["']?\s*([-\w]+)""", attributes) if "class" in attributes else None
-        here = _Element(tag, f"{tag}.{kind[1]}" if kind else tag, here, _veto(tag, attributes, here), len(elements))
+        veto = _NOTHING if here.veto == _NOTHING else _veto(tag, attributes, here)
+        here = _Element(tag, f"{tag}.{kind[1]}" if kind else tag, here, veto, len(elements))
+        open_tags[tag] += 1
         elements.append(here)
-    _leave_out(nodes, elements)
+    _set_aside(nodes, elements)
     return nodes, elements
 
 
-def _path(element: _Element) -> tuple[str, ...]:
-    names = []
-    while element.parent is not None:
-        names.append(element.name)
-        element = element.parent
-    return tuple(reversed(names))
-
-
 def _smoothed(values: np.ndarray) -> np.ndarray:
     """Gaussian smoothing over neighbours in page order."""
     if len(values) < 3:
@@ -178,65 +199,64 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(values, 2, mode="edge"), kernel, mode="valid")
 
 
-def content_paths(paths: list, lengths: np.ndarray, marks: np.ndarray, threshold: float = 0.4) -> set:
-    """The paths whose fused score reaches ``threshold`` times the spread of the scores."""
-    names, which = {}, np.empty(len(paths), dtype=np.int64)
-    for i, p in enumerate(paths):
-        which[i] = names.setdefault(p, len(names))
+def path_scores(which: np.ndarray, lengths: np.ndarray, marks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The score of each path from the path, text length, punctuation marks and weight of each text node, in page order."""
     count = np.bincount(which)
     text_ratio = np.bincount(which, weights=lengths) / count
     mark_ratio = np.bincount(which, weights=lengths * np.sqrt(marks)) / count
     fused = np.sqrt(_smoothed(text_ratio[which]) * (1 + _smoothed(mark_ratio[which])))
     own = np.sqrt(text_ratio * (1 + mark_ratio))
-    # the geometric mean of a path's own score and its neighbourhood's: smoothing alone lifts no path
-    score = np.sqrt(np.bincount(which, weights=fused) / count * own)
-    bar = min(threshold * float(np.std(fused)) if len(paths) > 2 else 0.0, float(score.max()))
-    return {p for p, i in names.items() if score[i] >= bar}
+    weight = np.bincount(which, weights=lengths * weights) / np.bincount(which, weights=lengths)
+    return np.sqrt(np.bincount(which, weights=fused) / count * own) * weight
+
+
+def _article(elements: list[_Element], nodes: list, strong: np.ndarray, lengths: np.ndarray) -> _Element:
+    """The innermost element that holds nearly all strong text, or the article or main element round it."""
+    held = np.zeros(len(elements))
+    np.add.at(held, [e.number for _, e, _ in nodes], np.where(strong, lengths, 0.0))
+    whole = held.sum()
+    for e in reversed(elements[1:]):
+        held[e.parent.number] += held[e.number]
+    found = max((e for e in elements if held[e.number] >= HELD * whole and e.tag not in _INLINE and e.tag != "p"), key=lambda e: e.depth)
+    while found.in_article and found.tag not in ("article", "main"):
+        found = found.parent
+    return found
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page: blocks joined by one space."""
     if not page:
         return ""
-    nodes, _ = text_nodes(page)
-    kept = [(entities.unescape(raw), e, b) for raw, e, b in nodes if not e.left_out]
-    if not any(t.strip() for t, _, _ in kept):
+    every, elements = text_nodes(page)
+    every = [(entities.unescape(raw), e, b) for raw, e, b in every]
+    nodes = [(t, e, b) for t, e, b in every if t.strip()]
+    if not nodes:
         return ""
-    solid = [(t, e) for t, e, _ in kept if t.strip()]
-    paths = [_path(e) for _, e in solid]
-    lengths = np.array([len(_SPACE.sub(" ", t).strip()) for t, _ in solid], dtype=np.float64)
-    marks = np.array([len(_PUNCTUATION.findall(t)) for t, _ in solid], dtype=np.float64)
-    chosen = content_paths(paths, lengths, marks)
-    # the innermost element that holds nearly all text of the content paths
-    held: dict[int, float] = {}
-    by_number: dict[int, _Element] = {}
-    for (_, e), p, n in zip(solid, paths, lengths, strict=True):
-        while e is not None:
-            by_number[e.number] = e
-            held[e.number] = held.get(e.number, 0.0) + (n if p in chosen else 0.0)
-            e = e.parent
-    whole = max(held.values())
-    article = max((e for k, e in by_number.items() if held[k] >= 0.9 * whole and e.tag not in _INLINE and e.tag != "p"), key=lambda e: e.depth)
-    up = article
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    article = up or article
-    links: dict[int, list[float]] = {}
-    for t, e, b in kept:
-        in_link, up = False, e
-        while up is not None and not in_link:
-            in_link, up = up.tag == "a", up.parent
-        share = links.setdefault(b, [0.0, 0.0])
-        share[in_link] += len(t.strip())
-    blocks: dict[int, list[str]] = {}
-    for t, e, b in kept:
-        up = e
-        while up is not None and up is not article:
-            up = up.parent
-        if up is article and (_path(e) in chosen or links[b][1] <= links[b][0]):
-            blocks.setdefault(b, []).append(t)
-    texts = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
-    return " ".join(t for t in texts if t)
+    # paths by number; elements come after their parents
+    numbers: dict[tuple[int, str, bool], int] = {}
+    path_of = [-1] * len(elements)
+    for e in elements[1:]:
+        key = (path_of[e.parent.number], e.name, e.aside)
+        path_of[e.number] = numbers.setdefault(key, len(numbers))
+    lengths = np.array([len(_SPACE.sub(" ", t).strip()) for t, _, _ in nodes], dtype=np.float64)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for t, _, _ in nodes], dtype=np.float64)
+    blocks = np.array([b for _, _, b in nodes])
+    text_in, link_in = (np.bincount(blocks, weights=x) for x in (lengths, lengths * [e.in_link for _, e, _ in nodes]))
+    weights = np.where([e.aside for _, e, _ in nodes], ASIDE_WEIGHT, 1.0) * (1 - (link_in[blocks] / text_in[blocks]) ** 2)
+    _, which = np.unique([path_of[e.number] for _, e, _ in nodes], return_inverse=True)
+    scores = path_scores(which, lengths, marks, weights)[which]
+    average = (scores * lengths * weights).sum() / max((lengths * weights).sum(), 1e-9)  # of the text that may be the article's
+    article = _article(elements, nodes, scores >= STRONG * average, lengths)
+    inside = [e is article for e in elements]
+    for e in elements[1:]:
+        inside[e.number] = inside[e.number] or inside[e.parent.number]
+    good = np.bincount(blocks, weights=scores * lengths) >= WEAK * average * text_in
+    texts: dict[int, list[str]] = {}
+    for t, e, b in every:
+        if inside[e.number] and b < len(good) and text_in[b] and good[b]:
+            texts.setdefault(b, []).append(t)
+    joined = (_SPACE.sub(" ", "".join(parts)).strip() for parts in texts.values())
+    return " ".join(t for t in joined if t)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

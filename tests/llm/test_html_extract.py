@@ -1,11 +1,15 @@
 """Main text of pages: the given pages, whose article is marked, and pages in other shapes."""
 
 import html
+import math
 import re
+import time
 
+import numpy as np
 import pytest
 
-from retort.llm.html_extract import content_paths, extract, main_text
+from retort.llm import html_extract
+from retort.llm.html_extract import extract, main_text, path_scores
 from retort.llm.queries import op6_main_text
 
 LONG = "A first sentence of the article, with commas. And a second one that goes on for a while; it has marks too. " * 3
@@ -59,13 +63,6 @@ def test_odd_rows(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_paths_with_short_and_long_nodes():
-    import numpy as np
-
-    paths = [("body", "div"), ("body", "p"), ("body", "p"), ("body", "p"), ("body", "div")]
-    assert content_paths(paths, np.array([5.0, 300, 4, 200, 6]), np.array([0.0, 9, 1, 5, 0])) == {("body", "p")}
-
-
 def test_wrappers_that_mention_a_part_are_kept():
     story = "".join(f"<p>Paragraph {i} of the story, with words, commas, and a full stop at its end.</p>" for i in range(8))
     for wrap in ('<div class="has-sidebar">{}</div>', '<div id="content-sidebar-wrap"><div class="no-sidebar">{}</div></div>', "<form action=x>{}</form>", '<div class="post tags"><h1>Title</h1>{}</div>'):
@@ -75,3 +72,42 @@ def test_wrappers_that_mention_a_part_are_kept():
     comments = '<div class="comments">' + "<p>I think so too, and wrote it down, at length, again.</p>" * 14 + "</div>"
     found = main_text(f"<html><body><div>{story}</div>{comments}</body></html>")
     assert "Paragraph 0" in found and "I think so" not in found
+
+
+def test_path_scores_against_plain_sums():
+    which, lengths, marks, weights = [0, 1, 1, 0, 2, 1, 3], [5, 300, 4, 12, 60, 200, 33], [0, 9, 1, 0, 4, 5, 1], [1, 1, 1, 0.5, 0.001, 1, 1]
+    paths, n = sorted(set(which)), len(which)
+    mean = lambda p, values: sum(v for w, v in zip(which, values, strict=True) if w == p) / which.count(p)
+    text, mark = ({p: mean(p, values) for p in paths} for values in (lengths, [a * math.sqrt(b) for a, b in zip(lengths, marks, strict=True)]))
+    kernel = [math.exp(-0.5 * k * k) for k in range(-2, 3)]
+    smooth = lambda of, i: sum(w * of[which[min(max(i + k, 0), n - 1)]] for w, k in zip(kernel, range(-2, 3), strict=True)) / sum(kernel)
+    near = [math.sqrt(smooth(text, i) * (1 + smooth(mark, i))) for i in range(n)]
+    weight = {p: mean(p, [a * b for a, b in zip(lengths, weights, strict=True)]) / mean(p, lengths) for p in paths}
+    want = [math.sqrt(mean(p, near) * math.sqrt(text[p] * (1 + mark[p]))) * weight[p] for p in paths]
+    assert np.allclose(path_scores(np.array(which), np.array(lengths, float), np.array(marks, float), np.array(weights)), want)
+
+
+def test_scores_choose_the_text(spark, sf_small, monkeypatch):
+    pages = [r[0] for r in spark.read.parquet(f"{sf_small}/pages.parquet").select("html").collect()]
+    right = [main_text(p) for p in pages]
+    scores = html_extract.path_scores
+    for other, least in ((lambda *a: scores(*a)[::-1], 0.9), (lambda *a: np.ones_like(scores(*a)), 0.5)):
+        monkeypatch.setattr(html_extract, "path_scores", other)
+        assert sum(main_text(p) != t for p, t in zip(pages, right, strict=True)) > least * len(pages)
+
+
+@pytest.mark.parametrize("n", [2, 5, 20])
+def test_pages_whose_names_say_nothing(n):
+    """Only ``div`` and names without meaning: links, a line of small print, and teasers go by their paths' ratios."""
+    story = "".join(f"<p class=q1>Paragraph {i} of the story, with words, commas, and a full stop at its end; {MORE}</p>" for i in range(n))
+    links = "".join(f"<div class=z8><a href={i}>Item {i}</a></div>" for i in range(12))
+    teasers = "".join(f"<div class=z9><a href={i}>Read this too, {i}</a></div>" for i in range(4))
+    page = f"<html><body><div class=x1><div class=x2>{links}</div><div class=x3><div class=k2>The title, in short</div>{story}</div><div class=x4>{teasers}</div></div><div class=x5>(c) 2024</div></body></html>"
+    assert main_text(page) == joined("The title, in short", *(f"Paragraph {i} of the story, with words, commas, and a full stop at its end; {MORE}" for i in range(n)))
+
+
+def test_any_nesting_takes_time_in_proportion():
+    began = time.process_time()
+    for page in ("<div>" * 60_000 + LONG, "<b>" * 60_000 + LONG, ("<div>" * 20 + "</p></i></table>") * 4_000 + LONG, "<div>" * 20_000 + "</span>" * 60_000 + LONG, "<ul><li>" * 20_000 + "x<li>" * 20_000 + LONG):
+        assert LONG.strip() in main_text(page)
+    assert time.process_time() - began < 30
