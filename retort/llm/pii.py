@@ -6,14 +6,18 @@ span that speak of its kind raise the score, words that speak of something else
 The four base kinds score so high that a confirmed match always stays; the added kinds need a checksum or context.
 
 The patterns are possessive and start at the head of a run, so that they find what the plain patterns find in time
-linear in the text, without recursion on long runs. Positions come from the pieces between matches, in code points.
+linear in the text, without recursion on long runs. Positions, in code points, are running sums over the pieces between
+matches, taken block by block; context comes from the neighbouring pieces, and redacted texts are put together from blocks
+of the text, so that a text with very many matches takes time about in proportion.
 
-Defined cases: a null text is an empty text; spans of different kinds may overlap and all stay; equal rows give equal
-rows; an empty table gives an empty result.
+Defined cases: a null text is an empty text, and stays null when redacted; spans of different kinds may overlap and all stay,
+and of overlapping spans the first gives the mark in a redacted text; equal rows give equal rows; names of further columns do
+not matter, as the given row travels in a column of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 
 #: Spans stay from this score on.
 ACCEPT = 0.5
-#: Characters before and after a span in which context words count.
-CONTEXT = 40
+#: Characters before and after a span in which context words count, and the matches at either side that they may reach over, each of five characters or more.
+CONTEXT, REACHED = 40, 8
+#: Values of which running sums are taken at once, and code points of a text that are cut from at once.
+BLOCK, PART = 128, 1024
 
 
 @dataclass(frozen=True)
@@ -100,40 +106,56 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _starts(gaps: Column, found: Column) -> Column:
-    """Start of each match in code points, from the pieces before the matches and the matches."""
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(
-        steps, first, lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["g"])).alias("starts")), lambda a: a["starts"]
-    )
+def running(values: Column, first: int, op: Callable[[Column, Column], Column]) -> Column:
+    """What ``op`` makes of ``first`` and all values before each: block by block, then within blocks, so that no long array is copied for each value."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def before(array: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(array, none, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(first), op))
+    each = F.flatten(F.zip_with(blocks, before(totals, F.lit(first)), before))
+    return F.when(F.size(values) > 0, each).otherwise(F.array().cast("array<int>"))
 
 
 def with_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with ``_spans``: an array of ``start, no, kind, end, score`` (code points, end exclusive) by start, then kind as listed."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = {k.name: F.when(text.rlike(k.hint), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))) for k in kinds}
-    with_matches = docs.withColumns({f"_found_{name}": F.coalesce(c, F.array().cast("array<string>")) for name, c in found.items()})
-    starts = {f"_starts_{k.name}": F.when(F.size(f"_found_{k.name}") > 0, _starts(F.split(text, k.pattern), F.col(f"_found_{k.name}"))).otherwise(F.array().cast("array<int>")) for k in kinds}
-    placed = with_matches.withColumns(starts)
-    each = [_placed_spans(no, k, text) for no, k in enumerate(kinds)]
-    spans = F.sort_array(F.filter(F.concat(*each), lambda x: x["score"] >= ACCEPT))
-    return placed.withColumn("_spans", spans).drop(*[f"_{what}_{k.name}" for k in kinds for what in ("found", "starts")])
-
-
-def _placed_spans(no: int, kind: Kind, text: Column) -> Column:
+    """For each row of ``docs``: ``row`` with its columns and ``spans``, an array of ``start, no, kind, end, score`` (code points, end exclusive) by start, then kind as listed."""
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    none = F.array().cast("array<string>")
+    given = docs.select(F.struct(*docs.columns).alias("row"))
+    found = given.withColumns({f"found_{k.name}": F.coalesce(F.when(text.rlike(k.hint), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))), none) for k in kinds})
+    gaps = found.withColumns({f"gaps_{k.name}": F.when(F.size(f"found_{k.name}") > 0, F.split(text, k.pattern)).otherwise(none) for k in kinds})
+    lengths = {}
+    for k in kinds:  # of a gap and the match after it
+        lengths[f"lengths_{k.name}"] = F.zip_with(F.slice(f"gaps_{k.name}", 1, F.size(f"found_{k.name}")), f"found_{k.name}", lambda g, m: F.char_length(g) + F.char_length(m))
+    ended = gaps.withColumns(lengths)
+    placed = ended.withColumns({f"from_{k.name}": running(F.col(f"lengths_{k.name}"), 0, lambda a, x: a + x) for k in kinds})
+    each = [_placed_spans(no, k) for no, k in enumerate(kinds)]
+    return placed.select("row", F.sort_array(F.filter(F.concat(*each), lambda x: x["score"] >= ACCEPT)).alias("spans"))
+
+
+def _placed_spans(no: int, kind: Kind) -> Column:
     """The confirmed matches of one kind as spans."""
-    matches = F.zip_with(f"_found_{kind.name}", f"_starts_{kind.name}", lambda m, s: F.struct(m.alias("m"), s.alias("s")))
+    found, gaps = F.col(f"found_{kind.name}"), F.col(f"gaps_{kind.name}")
+    matches = F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
+
+    def around(i: Column) -> Column:
+        """The characters before and after a match, a space between."""
+        first = F.greatest(i - REACHED, F.lit(0))
+        before = F.zip_with(F.slice(gaps, first + 1, i - first + 1), F.slice(found, first + 1, i - first), lambda g, m: F.concat(F.right(g, F.lit(CONTEXT)), F.coalesce(m, F.lit(""))))
+        after = F.zip_with(F.slice(gaps, i + 2, F.lit(REACHED + 1)), F.slice(found, i + 2, F.lit(REACHED)), lambda g, m: F.concat(F.left(g, F.lit(CONTEXT)), F.coalesce(m, F.lit(""))))
+        # a piece that is cut stands at the far end or fills the context alone
+        return F.concat(F.right(F.array_join(before, ""), F.lit(CONTEXT)), F.lit(" "), F.left(F.array_join(after, ""), F.lit(CONTEXT)))
 
     def span(x: Column) -> Column:
-        length = F.char_length(x["m"])
-        return F.struct(x["s"].alias("start"), F.lit(no).alias("no"), F.lit(kind.name).alias("kind"), (x["s"] + length).alias("end"), _score(kind, text, x["s"], length).alias("score"))
+        start = F.get(F.col(f"from_{kind.name}"), x["i"]) + F.char_length(F.get(gaps, x["i"]))
+        return F.struct(start.alias("start"), F.lit(no).alias("no"), F.lit(kind.name).alias("kind"), (start + F.char_length(x["m"])).alias("end"), _score(kind, around(x["i"])).alias("score"))
 
     return F.transform(F.filter(matches, lambda x: confirmed(kind.name, x["m"])), span)
 
 
-def _score(kind: Kind, text: Column, start: Column, length: Column) -> Column:
-    around = F.concat(F.substr(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))), F.lit(" "), F.substr(text, start + length + 1, F.lit(CONTEXT)))
+def _score(kind: Kind, around: Column) -> Column:
     score = F.lit(kind.score) + F.when(around.rlike(kind.near), 0.3).otherwise(0.0) - F.when(around.rlike(kind.against), 0.3).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
@@ -145,14 +167,22 @@ def listed(spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in angle brackets, overlapping spans by the first; same columns."""
-    found = with_spans(docs)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    put = lambda a, x: F.struct(
-        F.greatest(a["at"], x["end"]).alias("at"),
-        F.when(x["start"] >= a["at"], F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(a["out"]).alias("out"),
-    )
-    clean = F.aggregate("_spans", first, put, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)))
-    out = found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")))
+    text = F.col("row.text")
+    found = with_spans(docs).withColumn("ends", running(F.transform("spans", lambda x: x["end"]), 0, lambda a, x: F.greatest(a, x)))
+    found = found.withColumn("parts", F.when(F.size("spans") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))))
+
+    def cut(start: Column, end: Column) -> Column:
+        """The text from ``start`` to ``end``, from the parts that hold it."""
+        first = F.floor(start / PART).cast("int")
+        whole = F.array_join(F.slice("parts", first + 1, F.floor(end / PART).cast("int") - first + 1), "")
+        return F.substr(whole, start - first * PART + 1, end - start)
+
+    pieces = F.zip_with("spans", "ends", lambda x, e: F.when(x["start"] >= e, F.concat(cut(e, x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(""))
+    last = F.greatest(F.element_at("ends", -1), F.element_at("spans", -1)["end"])
+    clean = F.concat(F.array_join(pieces, ""), cut(last, F.char_length(text)))
+    new = F.when(F.size("spans") > 0, clean).otherwise(text)
+    out = found.select(F.col("row").withField("text", new).alias("row"), (F.size("spans") > 0).alias("changed"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        length = F.when(F.col("changed"), F.char_length("row.text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+        out = out.select(F.col("row").withField("n_chars", length).alias("row"))
+    return out.select("row.*")

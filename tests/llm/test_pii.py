@@ -49,7 +49,7 @@ def test_base_spans_match_plain_patterns(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
     more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     for frame in (docs, more):
-        rows = pii.with_spans(frame).select("text", "_spans").collect()
+        rows = pii.with_spans(frame).select("row.text", "spans").collect()
         assert rows
         for text, spans in rows:
             got = [(s["start"], s["no"], s["end"], s["kind"]) for s in spans if s["no"] < 4]
@@ -58,7 +58,7 @@ def test_base_spans_match_plain_patterns(spark, sf_small):
 
 def test_added_spans_and_redaction(spark):
     docs = spark.createDataFrame([(1, TEXTS[7], 3), (2, TEXTS[8], 3), (3, "x 078-05-1120 DE89370400440532013001", 36), (4, None, None)], "doc_id long, text string, n_chars long")
-    spans = {r[0]: r[1] for r in pii.with_spans(docs).select("doc_id", pii.listed(pii.F.col("_spans"))).collect()}
+    spans = {r[0]: r[1] for r in pii.with_spans(docs).select("row.doc_id", pii.listed(pii.F.col("spans"))).collect()}
     assert spans == {1: "iban:5:32", 2: "ssn:4:15,ssn:19:30", 3: "", 4: ""}
     rows = {r["doc_id"]: r for r in pii.redacted(docs).collect()}
     assert rows[1]["text"] == "IBAN <IBAN> account" and rows[1]["n_chars"] == 19
@@ -81,10 +81,50 @@ def test_cards_of_single_digits_and_ibans_before_capitals(spark):
         "DE89 3704 0044 0532 0130 0 BIC", "ZZ",
     ]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    rows = pii.with_spans(frame).select("text", "_spans", pii.listed(pii.F.filter("_spans", lambda x: x["kind"] == "iban")).alias("ibans")).collect()
+    rows = pii.with_spans(frame).select("row.text", "spans", pii.listed(pii.F.filter("spans", lambda x: x["kind"] == "iban")).alias("ibans")).collect()
     for text, spans, _ in rows:
         assert [(s["start"], s["no"], s["end"], s["kind"]) for s in spans if s["no"] < 4] == plain_base(text)
     assert [len(plain_base(t)) for t in texts[:2]] == [1, 1]
     assert {r[0]: r[2] for r in rows} == dict(zip(texts, ["", "", "iban:0:27", "iban:3:21,iban:32:54", "", ""], strict=True))
     clean = {r["doc_id"]: r["text"] for r in pii.redacted(frame).collect()}
     assert clean[0] == "pay <CARD> now" and clean[1] == "<CARD>" and clean[2] == "<IBAN> BIC COBADEFFXXX"
+
+
+def test_context_reaches_over_other_matches(spark):
+    """Words within forty characters count, whatever lies between."""
+    texts = ["SSN " + ", ".join(["078-05-1120"] * 3), "SSN " + "x" * 40 + " 078-05-1120", "078-05-1120 078-05-1120 is an SSN", "078-05-1120 " + "y " * 20 + "SSN", "ssn 1.1.1.1 a@b.cd 078-05-1120", "078-05-1120"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in pii.with_spans(frame).select("row.text", "spans").collect():
+        want = []
+        for m in re.finditer("[0-9]{3}-[0-9]{2}-[0-9]{4}", r["text"]):
+            if re.search(r"(?i)\b(?:ssn|social security)\b", r["text"][max(0, m.start() - 40) : m.start()] + " " + r["text"][m.end() : m.end() + 40]):
+                want.append(m.start())
+        assert [x["start"] for x in r["spans"] if x["kind"] == "ssn"] == want
+
+
+def plain_redacted(text, spans):
+    out, at = "", 0
+    for x in spans:
+        if x["start"] >= at:
+            out += text[at : x["start"]] + f"<{x['kind'].upper()}>"
+        at = max(at, x["end"])
+    return out + text[at:]
+
+
+def test_redaction_of_overlapping_and_very_many_spans(spark):
+    texts = ["+1 017 555 7713 4111 1111 1111 1111 and a@1.2.3.4 ü 1.2.3.4", "é" * 1023 + " 1.2.3.4" + "ü" * 1500 + "a@b.cd", "a@b.cd", " ".join(f"user{i}@mail.example 😀" for i in range(40_000)) + " end", "1.1.1.1 " * 300 + "x" * 5000]
+    frame = spark.createDataFrame([(i, t, len(t), None) for i, t in enumerate(texts)], "doc_id int, text string, n_chars int, spans string").repartition(4)
+    spans = {r[0]: r[1] for r in pii.with_spans(frame).select("row.doc_id", "spans").collect()}
+    out = pii.redacted(frame)
+    assert out.columns == frame.columns and out.schema["n_chars"].dataType == frame.schema["n_chars"].dataType
+    for r in out.collect():
+        assert r["text"] == plain_redacted(texts[r["doc_id"]], spans[r["doc_id"]]) and r["n_chars"] == len(r["text"])
+    assert len(spans[3]) == 40_000
+
+
+def test_odd_tables_and_names(spark):
+    schema = "doc_id long, text string, row int, spans int, found_email string, _spans int"
+    assert pii.redacted(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, "a@b.cd", 1, 2, "x", 3)] * 2 + [(None, None, None, None, None, None), (2, "", 1, 2, "y", 3)]
+    got = sorted(map(tuple, pii.redacted(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == sorted([(1, "<EMAIL>", 1, 2, "x", 3)] * 2 + rows[2:], key=str)
