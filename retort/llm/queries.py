@@ -19,6 +19,8 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.as_text(F.col("_edited_sketch")).alias("edited_fingerprint"),
         F.col("_near_edited").alias("near_edited"),
         F.col("_near_next").alias("near_next"),
+        fingerprints.containment(F.col("_sketch"), F.col("_edited_sketch")).alias("share_in_edited"),
+        fingerprints.distinct_shingles(F.col("_sketch")).alias("distinct_shingles"),
     )
 
 
@@ -27,10 +29,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken")
-    )
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,14 +61,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _count_of(kind: str) -> Column:
-    return F.size(F.filter("_spans", lambda x: x["kind"] == kind)).cast("long")
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("_spans", lambda x: x["no"] < len(pii.BASE_KINDS))
+    base = F.filter("spans", lambda x: x["no"] < len(pii.BASE_KINDS))
     counts = [_count_of(k.name).alias(f"n_{k.name}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("_spans")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
 QUERIES = {

@@ -29,13 +29,14 @@ def plain_targets(totals):
 
 
 def plain(rows, seed="mix-1"):
-    sized = [(i, s, len(WORD.findall(t or ""))) for i, t, s in rows]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sized = [(i, s, len(WORD.findall(t or "")), md5(f"{seed}:{'null' if i is None else i}:{md5(t or '')}")[:16]) for i, t, s in rows]
     totals = {}
-    for _, s, n in sized:
+    for _, s, n, _ in sized:
         totals[s] = totals.get(s, 0) + n
     target, out = plain_targets(totals), []
     for s in totals:
-        mine = sorted((hashlib.md5(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()[:16], i is not None, i or 0, n) for i, t, n in sized if t == s)
+        mine = sorted((key, i is not None, i or 0, n) for i, t, n, key in sized if t == s)
         quota, at = math.floor(target[s] + 1e-9), 0
         full = quota // totals[s] if totals[s] else 0
         rest = quota - full * totals[s]
@@ -59,20 +60,22 @@ def test_query_matches_plain(spark, sf_small):
     same(out.collect(), plain(rows))
 
 
-def test_odd_sources_ties_and_bucket_counts(spark):
+def test_odd_sources_ties_and_bucket_counts(spark, monkeypatch):
     draw = random.Random(2)
     rows = [(i, "w " * draw.randrange(40), draw.choice(["b", "a", None, "", "é", "hot", "hot", "hot", "hot"])) for i in range(300)]
-    rows += [(5, "w w", "a"), (5, "w w", "a"), (None, None, None), (900, "x", "solo"), (901, None, "zero")]
-    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, source string, size int, key string")
-    for buckets in (1, 7, 1024):
-        out = mixing.mix(docs, buckets=buckets).select("doc_id", "_size", "_source_size", "_target", "_taken").collect()
+    rows += [(5, "w w", "a"), (5, "w w", "a"), (None, None, None), (900, "x", "solo"), (901, None, "zero")] + [(None, f"n{i} " * (i % 9), "hot") for i in range(30)] + [(7, f"m{i} " * (i % 9), "hot") for i in range(30)]
+    docs = spark.createDataFrame([(*r, 1, "k", 2, 3) for r in rows], "doc_id long, text string, source string, size int, key string, row int, _size int")
+    for buckets, broadcast in ((1, 0), (7, 9), (1024, 9)):
+        monkeypatch.setattr(mixing, "MOST_BROADCAST_SOURCES", broadcast)
+        out = mixing.mix(docs, buckets=buckets).select("row.doc_id", "size", "source_size", "target", "taken").collect()
         same(out, plain(rows))
+    assert mixing.mixed_documents(docs).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_mixed_documents_follow_the_plan(spark):
     docs = spark.createDataFrame([(i, "  a b\tc d " * (i % 5), "s" if i % 4 else "t", 0) for i in range(40)], "doc_id long, text string, source string, n_chars long")
-    plan = {r["doc_id"]: r["_taken"] for r in mixing.mix(docs).collect()}
+    plan = {r["row"]["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
     got = {}
     for r in mixing.mixed_documents(docs).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
