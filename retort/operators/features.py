@@ -96,12 +96,31 @@ def batches(df: DataFrame, n: int, order: str, drop_last: bool = False) -> DataF
 
 
 def padded_graphs(df: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Molecule graphs padded to the largest of their batch: ``atoms``, ``positions``, ``mask`` by atoms, ``edges`` by edges."""
-    whole = Window.partitionBy(batch)
-    sized = df.withColumns({"_a": F.max(F.size("atoms")).over(whole), "_e": F.max(F.size("edges")).over(whole)})
-    pad = lambda c, n, fill: F.concat(F.col(c), F.array_repeat(fill, (F.col(n) - F.size(c)).cast("int")))
-    zeros = F.transform(F.get(F.col("atoms"), F.lit(0)), lambda x: F.lit(0.0))
-    return sized.withColumns({"atoms": pad("atoms", "_a", zeros), "positions": pad("positions", "_a", F.array(*[F.lit(0.0)] * 3)), "mask": pad("mask", "_a", F.lit(False)), "edges": pad("edges", "_e", F.array(F.lit(0), F.lit(0)))}).drop("_a", "_e")
+    """Molecule graphs padded to the largest of their batch: ``atoms``, ``positions``, ``mask`` and the square ``square_mask`` by atoms, ``edges`` and, if there, ``edge_features`` by edges."""
+    largest = df.groupBy(batch).agg(F.max(F.size("atoms")).alias("_a"), F.max(F.coalesce(F.size("edges"), F.lit(0))).alias("_e"))
+    sized = df.join(largest, batch)
+    pad = lambda c, n, fill: F.concat(c, F.array_repeat(fill, (F.col(n) - F.size(c)).cast("int")))
+    zeros = lambda c: F.transform(F.get(F.col(c), F.lit(0)), lambda x: F.lit(0.0))
+    row = pad(F.col("mask"), "_a", F.lit(False))
+    square = F.transform(row, lambda m: F.transform(row, lambda other: m & other))
+    edges = F.coalesce("edges", F.array().cast(df.schema["edges"].dataType))
+    out = {"atoms": pad(F.col("atoms"), "_a", zeros("atoms")), "positions": pad(F.col("positions"), "_a", F.array(*[F.lit(0.0)] * 3)), "mask": row, "square_mask": square, "edges": pad(edges, "_e", F.array(F.lit(0), F.lit(0)))}
+    if "edge_features" in df.columns:
+        given = F.coalesce("edge_features", F.array().cast(df.schema["edge_features"].dataType))
+        width = F.coalesce(F.size(F.get(given, F.lit(0))), F.lit(0))
+        most = F.max(width).over(Window.partitionBy(batch))
+        sized = sized.withColumn("_w", most)
+        out["edge_features"] = pad(given, "_e", F.array_repeat(F.lit(0.0), F.col("_w")))
+    return sized.withColumns(out).drop("_a", "_e", "_w")
+
+
+def training_samples(routes: DataFrame, fps: DataFrame, dim: int, tokens: Sequence[str], most_tokens: int = 192, seed: int = 0) -> DataFrame:
+    """The training table: a row for each emitted route ``route_id, steps, stack`` with a drawn ``product`` of its top level, its SMILES token ids, the route's token
+    types, reaction and reactant indices and mask, and the fingerprint of each reactant token from ``fps (idx, fp)``."""
+    order = F.transform(F.element_at("stack", -1), lambda p: F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col("route_id"), p)).alias("key"), p.alias("p")))
+    chosen = routes.withColumn("product", F.array_min(order)["p"]).drop("stack")
+    told = route_sequences(chosen.withColumn("smiles_tokens", tokenize_smiles(F.col("product"), tokens, most_tokens)))
+    return told.join(reactant_fingerprints(told, fps, dim), "route_id").drop("steps")
 
 
 def time_shift(values: Column) -> tuple[Column, Column]:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Atomic numbers by element class of the one-hot features. Fixed values.
 ELEMENT_CLASSES = {
@@ -94,6 +95,31 @@ def suitable(molecules: DataFrame, atoms: DataFrame, bonds: DataFrame, least: tu
     return rows.filter((F.col("_atoms") >= least[0]) & (F.col("_bonds") >= least[1]) & (rings >= least[2])).drop("_atoms", "_bonds", "_parts")
 
 
+def ring_components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Connected parts of each molecule's graph: ``mol_id, components``. Rings are bonds - atoms + components. A molecule's graph is small and is walked in one row."""
+    edges = bonds.groupBy("mol_id").agg(F.collect_set(F.struct("a", "b")).alias("edges"))
+    graphs = atoms.groupBy("mol_id").agg(F.collect_set("atom_idx").alias("nodes")).join(edges, "mol_id", "left")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for nodes, pairs in zip(batch.column("nodes").to_pylist(), batch.column("edges").to_pylist(), strict=True):
+                root = {n: n for n in nodes}
+
+                def find(n, root=root):
+                    while root[n] != n:
+                        root[n] = n = root[root[n]]
+                    return n
+
+                for e in pairs or []:
+                    if e["a"] in root and e["b"] in root:
+                        root[find(e["a"])] = find(e["b"])
+                found.append(sum(root[n] == n for n in root))
+            yield pa.RecordBatch.from_arrays([batch.column("mol_id"), pa.array(found, pa.int32())], ["mol_id", "components"])
+
+    return graphs.mapInArrow(count, graphs.select("mol_id").schema.add("components", IntegerType()))
+
+
 def is_flat(atoms: DataFrame) -> DataFrame:
     """``mol_id, is_2d``: true where every z is 0."""
     return atoms.groupBy("mol_id").agg(F.bool_and(F.col("z") == 0).alias("is_2d"))

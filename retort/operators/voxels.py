@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Van der Waals radii by element, in angstrom. Fixed values.
 RADII = {"C": 1.908, "F": 1.75, "Cl": 1.948, "Br": 2.22, "I": 2.35, "N": 1.824, "O": 1.6612, "P": 2.1, "S": 2.0, "H": 1.0}
@@ -47,11 +49,11 @@ def rotation_about(axis: Sequence[float], angle: float) -> np.ndarray:
 
 
 def fine_rotations(sp: int, rp: int) -> list[np.ndarray]:
-    """The identity and, for axes on a grid of ``sp`` x ``sp`` points over three faces of a cube, ``rp - 1`` angles each."""
-    found, steps = [np.eye(3)], np.linspace(-1.0, 1.0, sp, endpoint=False)
-    for face in range(3):
+    """The identity and, for axes through a grid of ``sp`` x ``sp`` points on three faces of a unit cube (x, then z, then y at 0.5), ``rp - 1`` angles each."""
+    found, steps = [np.eye(3)], (np.arange(sp) - sp // 2) / sp
+    for face in (0, 2, 1):
         for a, b in itertools.product(steps, steps):
-            axis = np.insert(np.array([a, b]), face, 1.0)
+            axis = np.insert(np.array([a, b]), face, 0.5)
             found += [rotation_about(axis, 2 * math.pi * k / rp) for k in range(1, rp)]
     return found
 
@@ -94,17 +96,43 @@ def atom_stamps(spark: SparkSession, resolution: float = RESOLUTION, noise: tupl
 def shapes(atoms: DataFrame, stamps: DataFrame, keys: Sequence[str] = ("mol_id",), crop: int | None = None, resolution: float = RESOLUTION, max_dist: float = MAX_DIST) -> DataFrame:
     """Union of the stamps at every atom, within the box or its central ``crop``: keys and ``x, y, z``.
 
-    Offsets that fall outside are dropped before the distinct, and a voxel travels as one number. The stamp table has a fixed
-    size (elements x offsets), so that it goes to every task.
+    Atoms travel, not voxels: the distinct grid places of a molecule's atoms (at most elements x voxels of the box, however many
+    atoms) come together in one row, and a task lays their stamps on one box of bits for each molecule. The stamp table has a fixed
+    size (elements x offsets).
     """
     side = box_side(resolution, max_dist)
     start = side // 2 - crop // 2 if crop else 0
     width = crop or side
-    met = grid_coordinates(atoms, resolution, max_dist).join(F.broadcast(stamps), "element")
-    at = met.select(*keys, *[(F.col(f"g{c}") + F.col(f"d{c}") - start).alias(c) for c in "xyz"])
-    inside = at.filter(" and ".join(f"{c} between 0 and {width - 1}" for c in "xyz"))
-    voxel = inside.select(*keys, ((F.col("x") * width + F.col("y")) * width + F.col("z")).alias("v")).distinct()
-    return voxel.select(*keys, F.expr(f"cast(v div {width * width} as int)").alias("x"), F.expr(f"cast(v div {width} % {width} as int)").alias("y"), F.expr(f"cast(v % {width} as int)").alias("z"))
+    offsets: dict[str, list[tuple[int, int, int]]] = {}
+    for r in stamps.collect():
+        offsets.setdefault(r["element"], []).append((r["dx"], r["dy"], r["dz"]))
+    number = {e: i for i, e in enumerate(sorted(offsets))}
+    laid = [np.array(offsets[e], dtype=np.int64) for e in sorted(offsets)]
+    element = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])[F.col("element")]
+    places = grid_coordinates(atoms, resolution, max_dist).select(*keys, element.alias("e"), *[(F.col(f"g{c}") - start).alias(c) for c in "xyz"]).filter("e is not null").distinct()
+    rows = places.groupBy(*keys).agg(F.collect_list(F.struct("e", "x", "y", "z")).alias("places"))
+    schema = rows.select(*keys).schema.add("voxels", ArrayType(IntegerType()))
+    at_once = max(1, (4 << 20) // width**3)
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, at_once):
+                part = batch.slice(first, at_once)
+                held = part.column("places")
+                row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(held.offsets)))
+                e, *at = (np.asarray(held.flatten().field(c)).astype(np.int64) for c in ("e", "x", "y", "z"))
+                box = np.zeros((part.num_rows, width**3), dtype=bool)
+                for i in np.unique(e):
+                    mine = np.flatnonzero(e == i)
+                    x, y, z = (a[mine][:, None] + laid[i][:, axis] for axis, a in enumerate(at))
+                    inside = (x >= 0) & (x < width) & (y >= 0) & (y < width) & (z >= 0) & (z < width)
+                    box[np.broadcast_to(row[mine][:, None], inside.shape)[inside], ((x * width + y) * width + z)[inside]] = True
+                of, voxel = np.nonzero(box)
+                ends = np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.ListArray.from_arrays(pa.array(ends), pa.array(voxel.astype(np.int32)))], [*keys, "voxels"])
+
+    each = rows.mapInArrow(lay, schema).select(*keys, F.explode("voxels").alias("v"))
+    return each.select(*keys, F.expr(f"cast(v div {width * width} as int)").alias("x"), F.expr(f"cast(v div {width} % {width} as int)").alias("y"), F.expr(f"v % {width}").alias("z"))
 
 
 def rejected(atoms: DataFrame) -> DataFrame:
@@ -160,12 +188,51 @@ def diagonal_overlap(cavity: DataFrame, union: DataFrame, least: int = 2400, mos
     return met.filter(F.col("offset").between(0, most)).groupBy("offset").agg(F.count("*").alias("overlap")).filter(F.col("overlap") > least)
 
 
+def overlap_crop(cavity: DataFrame, union: DataFrame, polar: DataFrame, least: int = 2400, most: int = 121, before: int = 13, after: int = 14) -> tuple[DataFrame, DataFrame] | None:
+    """Cubes of ``before + after + 1`` voxels round the mean of the overlap at the first offset over ``least``: the overlap ``x, y, z`` and the same
+    cube of ``polar (x, y, z, value)``, both moved to the origin; None where no offset is over ``least``. Means are rounded half to even.
+    """
+    found = diagonal_overlap(cavity, union, least, most).agg(F.min("offset")).first()[0]
+    if found is None:
+        return None
+    moved = union.select(*[(F.col(c) + found).alias(c) for c in "xyz"])
+    overlap = cavity.select(*"xyz").join(moved, list("xyz"), "left_semi").distinct()
+    middle = overlap.agg(*[F.bround(F.avg(c)).cast("int") for c in "xyz"]).first()
+
+    def cube(voxels: DataFrame) -> DataFrame:
+        at = voxels.withColumns({c: F.col(c) - (m - before) for c, m in zip("xyz", middle, strict=True)})
+        return at.filter(" and ".join(f"{c} between 0 and {before + after}" for c in "xyz"))
+
+    return cube(overlap), cube(polar)
+
+
+def _draw(seed: int, what: str) -> Column:
+    """A number from 0 to 1 for each molecule and purpose, by hash."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:{what}:"), F.col("mol_id").cast("string"))), 1, 8)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 32)
+
+
+def _with_rotation(rows: DataFrame, rotations: DataFrame, n_rotations: int, most: float, seed: int) -> DataFrame:
+    """Rows with the rotation drawn for their molecule (``rot_id, r00`` to ``r22``) and its translation ``tx, ty, tz``."""
+    drawn = rows.withColumn("rot_id", F.floor(_draw(seed, "rotation") * n_rotations).cast("int")).join(F.broadcast(rotations), "rot_id")
+    return drawn.withColumns({f"t{c}": _draw(seed, c) * most for c in "xyz"})
+
+
+_DRAWN = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["tx", "ty", "tz"]
+
+
 def augmented(atoms: DataFrame, rotations: DataFrame, n_rotations: int, most: float, seed: int = 0) -> DataFrame:
-    """Each molecule under one rotation of the table and one translation of at most ``most`` an axis, drawn by hash of its id."""
-    draw = lambda what: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "mol_id"), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    picked = atoms.withColumn("rot_id", F.floor(draw("rotation") * n_rotations).cast("int")).join(F.broadcast(rotations), "rot_id")
-    turned = {c: sum((F.col(f"r{i}{j}") * F.col(d) for j, d in enumerate("xyz")), F.lit(0.0)) + (2 * draw(c) - 1) * most for i, c in enumerate("xyz")}
-    return picked.withColumns(turned).drop(*[f"r{i}{j}" for i in range(3) for j in range(3)])
+    """Each molecule under one rotation of the table, then moved by up to ``most`` along each axis, both drawn by hash of its id."""
+    turned = {c: sum((F.col(f"r{i}{j}") * F.col(d) for j, d in enumerate("xyz")), F.lit(0.0)) + F.col(f"t{c}") for i, c in enumerate("xyz")}
+    return _with_rotation(atoms, rotations, n_rotations, most, seed).withColumns(turned).drop(*_DRAWN)
+
+
+def augmented_fragments(fragments: DataFrame, rotations: DataFrame, n_rotations: int, most: float, seed: int = 0) -> DataFrame:
+    """Fragments ``mol_id, rotate_mat (nine numbers by rows), trans_vec`` moved as ``augmented`` moves their molecule: R M and R v + t."""
+    r = lambda i, j: F.col(f"r{i}{j}")
+    matrix = F.array(*[sum((r(i, k) * F.get("rotate_mat", F.lit(3 * k + j)) for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)])
+    vector = F.array(*[sum((r(i, k) * F.get("trans_vec", F.lit(k)) for k in range(3)), F.lit(0.0)) + F.col(f"t{c}") for i, c in enumerate("xyz")])
+    return _with_rotation(fragments, rotations, n_rotations, most, seed).withColumns({"rotate_mat": matrix, "trans_vec": vector}).drop(*_DRAWN)
 
 
 def shape_dataset(atoms: DataFrame, crop_side: int = 21, patch: int = 3) -> DataFrame:
@@ -175,3 +242,8 @@ def shape_dataset(atoms: DataFrame, crop_side: int = 21, patch: int = 3) -> Data
     turned = rotate_all(centred(known), rotation_table(spark, box_rotations()))
     shape = shapes(turned, atom_stamps(spark), ("mol_id", "rot_id"), crop_side)
     return patches(shape, patch, crop_side, ("mol_id", "rot_id"))
+
+
+def assembled(shapes: DataFrame, grids: DataFrame, fingerprints: DataFrame, graphs: DataFrame) -> DataFrame:
+    """One row for each rotation of each molecule that has all parts: ``shapes`` and ``grids`` by ``mol_id, rot_id``, ``fingerprints`` and ``graphs`` by ``mol_id``."""
+    return shapes.join(grids, ["mol_id", "rot_id"]).join(fingerprints, "mol_id").join(graphs, "mol_id")

@@ -59,7 +59,10 @@ def docked(spark, d):
 
 
 def points(spark, d):
-    e = _t(spark, d, "events")
+    return _points_of(_t(spark, d, "events"))
+
+
+def _points_of(e):
     feat = F.element_at(F.array(*[F.lit(x) for x in ("ARO", "HBD", "HBA", "POS", "NEG", "HYD")]), (F.ascii("event_type") % 6 + 1).cast("int"))
     return e.select(
         F.expr("event_id div 20").alias("mol_id"), F.lit(0).alias("conf_id"), (F.col("event_id") % 20).cast("int").alias("point_no"), feat.alias("feat"),
@@ -89,11 +92,11 @@ def bits_fp(spark, d):
 
 def steps(spark, d):
     c = _t(spark, d, "conversations")
-    return c.select(F.col("conv_id").alias("route_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", 0).otherwise(F.col("turn") % 2 + 1).cast("int").alias("n_reactants"), (F.char_length("text") % 91).alias("ref_idx"), F.substring("text", 1, 12).alias("smiles"))
+    return c.select(F.col("conv_id").alias("route_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", 0).otherwise(F.col("turn") % 2 + 1).cast("int").alias("n_reactants"), (F.char_length("text") % 91).alias("ref_idx"), F.col("text").alias("smiles"))
 
 
 STEPS_SQL = """steps AS (SELECT conv_id AS route_id, turn AS pos, CASE WHEN role = 'user' THEN 0 ELSE turn % 2 + 1 END AS n_reactants,
-  length(text) % 91 AS ref_idx, substr(text, 1, 12) AS smiles FROM conversations)"""
+  length(text) % 91 AS ref_idx, text AS smiles FROM conversations)"""
 
 
 def atoms(spark, d):
@@ -155,11 +158,11 @@ def beam_prune(spark, d):
 
 
 @query("""WITH best AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1), n AS (SELECT count(*) AS n FROM customer)
-SELECT round(sum(o_totalprice) / any_value(n), 6) AS mean_score, round(count(*) / any_value(n), 6) AS success_rate FROM best, n""")
+SELECT round(sum(o_totalprice) / any_value(n), 6) AS mean_score, round(count(*) / any_value(n), 6) AS success_rate, round((SELECT count(DISTINCT o_custkey) FROM orders WHERE o_totalprice = 1.0 AND o_custkey = o_orderkey) / any_value(n), 6) AS reconstruction_rate FROM best, n""")
 def sampling_summary(spark, d):
     total = _t(spark, d, "customer").count()
     out = evaluation.sampling_report(projected(spark, d).withColumn("smiles", F.col("smiles").cast("long")), total)
-    return out.select(_r("mean_score").alias("mean_score"), _r("success_rate").alias("success_rate"))
+    return out.select(_r("mean_score").alias("mean_score"), _r("success_rate").alias("success_rate"), _r("reconstruction_rate").alias("reconstruction_rate"))
 
 
 DOCKED_SQL = """docked AS (SELECT l_returnflag AS receptor, l_orderkey % 500 AS source, min(-l_quantity) AS vina, max(l_extendedprice) AS score, l_orderkey AS seq FROM lineitem GROUP BY l_returnflag, l_orderkey)"""
@@ -194,6 +197,22 @@ def docking_join(spark, d):
     return tasks.join(results, "k").groupBy("receptor", "source").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT c_mktsegment AS receptor, CAST(c_custkey AS VARCHAR) AS smiles_pocket2mol, c_acctbal AS vina_smiles_pocket2mol, CAST(o_orderkey AS VARCHAR) AS smiles, o_totalprice AS score
+FROM customer JOIN orders ON o_custkey = c_custkey""")
+def projected_of_generated(spark, d):
+    generated = _t(spark, d, "customer").select(F.col("c_mktsegment").alias("receptor"), F.col("c_custkey").cast("string").alias("smiles"), F.col("c_acctbal").alias("vina"))
+    found = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("target"), F.col("o_orderkey").cast("string").alias("smiles"), F.col("o_totalprice").alias("score"))
+    return evaluation.with_projections(generated, found)
+
+
+@query("""SELECT t.l_returnflag AS receptor, t.l_partkey AS smiles, t.l_orderkey AS task, -r.l_quantity AS vina FROM lineitem t
+JOIN lineitem r ON r.l_returnflag = t.l_returnflag AND r.l_partkey = t.l_partkey WHERE t.l_linenumber = 1 AND r.l_linenumber = 2""")
+def docking_results(spark, d):
+    li = _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("receptor"), F.col("l_partkey").alias("smiles"), "l_orderkey", "l_quantity", "l_linenumber")
+    tasks = li.filter("l_linenumber = 1").select("receptor", "smiles", F.col("l_orderkey").alias("task"))
+    return evaluation.with_docking_results(tasks, li.filter("l_linenumber = 2").select("receptor", "smiles", (-F.col("l_quantity")).alias("vina")))
+
+
 @query("SELECT o_orderkey AS k, CAST(o_totalprice AS DOUBLE) AS score, NULL AS kind FROM orders UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer")
 def concatenated_results(spark, d):
     a = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("double").alias("score"))
@@ -201,23 +220,23 @@ def concatenated_results(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(x > 0 AS INT)) AS p, list_transform(range(10), lambda b: CAST(label = b AS INT)) AS t FROM embeddings),
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x > 0 AS INT)) AS p, list_transform(range(64), lambda b: CAST(label = b AS INT)) AS t FROM embeddings),
 s AS (SELECT list_sum(list_transform(list_zip(p, t), lambda z: z[1] * z[2])) / (list_sum(list_transform(list_zip(p, t), lambda z: CAST(z[1] + z[2] > 0 AS INT))) + 1e-6) AS v FROM v)
 SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max FROM s""")
 def tanimoto_evaluation(spark, d):
     e = _t(spark, d, "embeddings")
-    pred = F.transform(F.slice("embedding", 1, 10), lambda x: F.when(x > 0, 1.0).otherwise(0.0))
-    true = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda b: F.when(F.col("label") == b, 1.0).otherwise(0.0))
+    pred = F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0))
+    true = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.col("label") == b, 1.0).otherwise(0.0))
     out = evaluation.evaluate_tanimoto(e.select(true.alias("true"), pred.alias("pred")))
     return out.select(*[_r(c).alias(c) for c in out.columns])
 
 
 def bit_scores(spark, d):
-    e = _t(spark, d, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 10)).alias("bit", "score"))
+    e = _t(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("bit", "score"))
     return e.select("bit", F.when(F.col("label") == F.col("bit"), 1).otherwise(0).alias("truth"), F.round(F.col("score").cast("double"), 3).alias("score"))
 
 
-BITS_SQL = """WITH x AS (SELECT unnest(range(10)) AS bit, unnest(embedding[1:10]) AS s, label FROM embeddings),
+BITS_SQL = """WITH x AS (SELECT unnest(range(64)) AS bit, unnest(embedding) AS s, label FROM embeddings),
 c AS (SELECT bit, round(CAST(s AS DOUBLE), 3) AS s, sum(CAST(label = bit AS INT)) AS p, count(*) AS n FROM x GROUP BY ALL),
 w AS (SELECT *, sum(p) OVER (PARTITION BY bit ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY bit ORDER BY s DESC) AS seen, sum(p) OVER (PARTITION BY bit) AS pp, sum(n) OVER (PARTITION BY bit) AS nn FROM c),
 b AS (SELECT bit, sum(p / pp * tp / seen) AS average_precision, sum((n - p) * (tp - p / 2)) / max(pp * (nn - pp)) AS roc_auc FROM w WHERE pp > 0 AND pp < nn GROUP BY bit)"""
@@ -278,11 +297,15 @@ def key_from_hints(spark, d):
     return molecules.match_key_molecules(m.withColumnRenamed("smiles", "csmiles"), hints)
 
 
-@query("""WITH a AS (SELECT l_orderkey AS m, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS m, count(*) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)
-SELECT a.m AS mol_id FROM a LEFT JOIN b USING (m) WHERE a.n >= 3 AND coalesce(b.n, 0) >= 2 AND coalesce(b.n, 0) - a.n + 1 >= 0""")
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS m, l_linenumber AS i FROM lineitem), b AS (SELECT a.m, a.i, c.i AS j FROM a JOIN a c ON c.m = a.m AND c.i > a.i AND (a.i + c.i) % 4 <> 3 AND a.i % 3 <> 2),
+n AS (SELECT m, count(*) AS n FROM a GROUP BY 1), e AS (SELECT m, count(*) AS e FROM b GROUP BY 1), x AS (SELECT m, i, j FROM b UNION ALL SELECT m, j, i FROM b UNION ALL SELECT m, i, i FROM a),
+x2 AS (SELECT DISTINCT p.m, p.i, q.j FROM x p JOIN x q ON q.m = p.m AND q.i = p.j), x4 AS (SELECT DISTINCT p.m, p.i, q.j FROM x2 p JOIN x2 q ON q.m = p.m AND q.i = p.j), x8 AS (SELECT DISTINCT p.m, p.i, q.j FROM x4 p JOIN x4 q ON q.m = p.m AND q.i = p.j),
+k AS (SELECT m, count(DISTINCT r) AS parts FROM (SELECT m, i, min(j) AS r FROM x8 GROUP BY ALL) GROUP BY 1)
+SELECT n.m AS mol_id FROM n JOIN k USING (m) LEFT JOIN e USING (m) WHERE n >= 4 AND coalesce(e, 0) >= 4 AND coalesce(e, 0) - n + parts >= 2""")
 def suitable_molecules(spark, d):
-    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("mol_id"), "l_linenumber")
-    return molecules.suitable(li.select("mol_id").distinct(), li, li.filter("l_linenumber > 1"), (3, 2, 0))
+    a = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").alias("atom_idx")).distinct()
+    b = a.withColumnRenamed("atom_idx", "a").join(a.withColumnRenamed("atom_idx", "b"), "mol_id").filter("b > a and (a + b) % 4 <> 3 and a % 3 <> 2")
+    return molecules.suitable(a.select("mol_id").distinct(), a, b, (4, 4, 2), molecules.ring_components(a, b))
 
 
 @query("SELECT l_orderkey AS mol_id, bool_and(l_discount = 0) AS is_2d FROM lineitem GROUP BY 1")
@@ -447,12 +470,17 @@ def pair_similarities(spark, d):
     return pairs.select(F.col("idx").alias("id"), s("tanimoto", "fp", "fp2"), s("dice", "fp", "fp2"), s("manhattan", "counts", "counts2"))
 
 
-@query("""WITH b AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '[a-z]+')) AS bit FROM documents), n AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
+@query("""WITH raw AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '[a-z]+')) AS bit FROM documents),
+k AS (SELECT id, string_agg(bit, ' ' ORDER BY bit) AS s FROM raw GROUP BY 1), c AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM k),
+b AS (SELECT raw.* FROM raw JOIN c USING (id) WHERE id = class_id), n AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
 p AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM b x JOIN b y ON x.bit = y.bit AND x.id < y.id GROUP BY ALL)
-SELECT id_a, id_b, round(c / (na.n + nb.n - c), 6) AS similarity FROM p JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE c / (na.n + nb.n - c) >= 0.8""")
+SELECT id_a, id_b, round(c / (na.n + nb.n - c), 6) AS similarity FROM p JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE c / (na.n + nb.n - c) >= 0.8
+UNION ALL SELECT class_id, id, 1.0 FROM c WHERE id <> class_id""")
 def similar_pairs(spark, d):
     bits = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))).alias("bit"))
-    return similarity.similar_pairs(bits, 0.8).select("id_a", "id_b", _r("similarity").alias("similarity"))
+    pairs, members = similarity.similar_pairs(bits, 0.8)
+    equal = members.filter("id != class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
+    return pairs.select("id_a", "id_b", _r("similarity").alias("similarity")).unionByName(equal)
 
 
 @query("""WITH e AS (SELECT vec_id AS state_id, unnest(embedding) AS s, unnest(range(64)) AS rxn_id FROM embeddings)
@@ -461,9 +489,9 @@ def top_reactions(spark, d):
     return similarity.top_reactions(_t(spark, d, "embeddings").select(F.col("vec_id").alias("state_id"), F.col("embedding").alias("logits")), 5).select("state_id", "rank", "rxn_id")
 
 
-@query("SELECT vec_id AS state_id, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS token FROM embeddings")
+@query("SELECT vec_id AS state_id, list_position(embedding, list_max(embedding)) - 1 AS token FROM embeddings")
 def best_tokens(spark, d):
-    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("state_id"), similarity.best_token(F.slice("embedding", 1, 4)).alias("token"))
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("state_id"), similarity.best_token(F.col("embedding")).alias("token"))
 
 
 # --- features -------------------------------------------------------------------------------------------------------
@@ -497,6 +525,36 @@ def padded_tokens(spark, d):
     return out.select("route_id", F.array_join(features.padded(F.col("t"), 8, F.lit(0)), ",").alias("tokens"))
 
 
+@query(f"""WITH {STEPS_SQL}, f AS (SELECT vec_id AS idx, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings),
+g AS (SELECT route_id, arg_min(smiles, md5('0:' || route_id || ':' || smiles)) AS product, '1,' || string_agg(CASE WHEN n_reactants > 0 THEN '2' ELSE '3' END, ',' ORDER BY pos) || ',0' AS token_types,
+  round(sum(coalesce(CASE WHEN n_reactants = 0 THEN x END, 0)), 6) AS total FROM steps LEFT JOIN f ON idx = ref_idx GROUP BY 1)
+SELECT route_id, product, token_types, total, array_to_string(list_transform(regexp_extract_all(product, '(tion|tio|th|t|on|n|h|er|en|e|an|a|\\]|\\[|\\.|,|\\)|\\()')[1:192],
+lambda x: list_position(['th', 'an', 'en', 'er', 't', 'h', 'e', 'a', 'n', 'tion', 'tio', 'on', '[', ']', '(', ')', '.', ','], x)), ',') AS ids FROM g""")
+def training_samples(spark, d):
+    found = features.route_arrays(steps(spark, d)).withColumn("stack", F.array(F.transform("steps", lambda s: s["smiles"])))
+    fps = _t(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.transform("embedding", lambda x: x.cast("double")).alias("fp"))
+    out = features.training_samples(found, fps, 64, VOCABULARY)
+    total = F.aggregate(F.flatten("reactant_fps"), F.lit(0.0), lambda a, x: a + x)
+    return out.select("route_id", "product", F.array_join("token_types", ",").alias("token_types"), _r(total).alias("total"), F.array_join("smiles_tokens", ",").alias("ids"))
+
+
+@query(f"""WITH {STEPS_SQL}, g AS (SELECT route_id, list(CASE WHEN n_reactants > 0 THEN 2 ELSE 3 END ORDER BY pos) AS t FROM steps GROUP BY 1)
+SELECT route_id, array_to_string(t[1:len(t) - 1], ',') AS given, array_to_string(t[2:], ',') AS wanted FROM g""")
+def shifted_tokens(spark, d):
+    out = features.route_arrays(steps(spark, d)).select("route_id", F.transform("steps", lambda s: F.when(s["n_reactants"] > 0, 2).otherwise(3)).alias("t"))
+    given, wanted = features.time_shift(F.col("t"))
+    return out.select("route_id", F.array_join(given, ",").alias("given"), F.array_join(wanted, ",").alias("wanted"))
+
+
+@query("""WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 50) AS BIGINT)) AS v FROM embeddings)
+SELECT vec_id, array_to_string(flatten(list_transform(range(5), lambda i: list_transform(range(20), lambda j: CASE WHEN i < 4 AND j < 16 THEN v[i * 16 + j + 1] ELSE -1 END))), ',') AS cells FROM m""")
+def padded_matrices(spark, d):
+    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 50))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(v, i * 16 + 1, F.lit(16)))
+    wide = features.padded_matrix(rows, 5, 20, F.lit(-1).cast("long"))
+    return _t(spark, d, "embeddings").select("vec_id", F.array_join(F.flatten(wide), ",").alias("cells"))
+
+
 @query("SELECT (r - 1) // 32 AS batch_id, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) GROUP BY 1 HAVING count(*) = 32")
 def order_batches(spark, d):
     out = features.batches(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), 32, "o_orderkey", drop_last=True)
@@ -511,29 +569,54 @@ def stack_states(spark, d):
     return stacks.select("route_id", features.state_repr().alias("state"))
 
 
-@query(f"""WITH {STEPS_SQL}, f AS (SELECT vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)
+@query(f"""WITH {STEPS_SQL}, f AS (SELECT vec_id AS idx, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings)
 SELECT route_id, round(sum(coalesce(CASE WHEN n_reactants = 0 THEN x END, 0)), 6) AS total FROM steps LEFT JOIN f ON idx = ref_idx GROUP BY 1""")
 def reactant_lookups(spark, d):
     seqs = features.route_sequences(features.route_arrays(steps(spark, d)))
-    fps = _t(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.transform(F.slice("embedding", 1, 1), lambda x: x.cast("double")).alias("fp"))
-    out = features.reactant_fingerprints(seqs, fps, 1)
+    fps = _t(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.transform("embedding", lambda x: x.cast("double")).alias("fp"))
+    out = features.reactant_fingerprints(seqs, fps, 64)
     return out.select("route_id", _r(F.aggregate(F.flatten("reactant_fps"), F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-@query()
+_TREE_SQL = f"""WITH {STEPS_SQL}, w AS (SELECT route_id, smiles, n_reactants AS n, row_number() OVER (PARTITION BY route_id ORDER BY pos) - 1 AS p FROM steps),
+s AS (SELECT *, sum(1 - n) OVER (PARTITION BY route_id ORDER BY p) AS s FROM w), h AS (SELECT route_id, smiles, p, s + greatest(0, 1 - min(s) OVER (PARTITION BY route_id ORDER BY p)) AS h FROM s),
+e AS (SELECT c.route_id, c.p AS child_pos, min(q.p) AS parent_pos FROM h c LEFT JOIN h q ON q.route_id = c.route_id AND q.p > c.p AND q.h <= c.h GROUP BY ALL),
+a AS (SELECT c.route_id, c.p, count(q.p) AS depth FROM h c LEFT JOIN h q ON q.route_id = c.route_id AND q.p > c.p AND q.h <= (SELECT min(i.h) FROM h i WHERE i.route_id = c.route_id AND i.p >= c.p AND i.p < q.p) GROUP BY ALL)"""
+
+
+@query(f"""{_TREE_SQL}
+SELECT e.route_id, parent_pos, child_pos, CASE WHEN parent_pos IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY e.route_id, parent_pos ORDER BY child_pos) - 1 END AS child_no, depth FROM e JOIN a ON a.route_id = e.route_id AND a.p = child_pos""")
 def route_trees(spark, d):
     return routes.route_edges(features.route_arrays(steps(spark, d)))
 
 
+@query(f"""{_TREE_SQL}, z AS (SELECT h.route_id, h.smiles, h.p, h.p - coalesce((SELECT max(q.p) FROM h q WHERE q.route_id = h.route_id AND q.p < h.p AND q.h < h.h), -1) AS size FROM h)
+SELECT z.route_id, string_agg(repeat('  ', depth) || smiles, chr(10) ORDER BY z.p - size + 1 + depth) AS tree FROM z JOIN a ON a.route_id = z.route_id AND a.p = z.p GROUP BY 1""")
+def route_texts(spark, d):
+    return routes.tree_texts(features.route_arrays(steps(spark, d)))
+
+
+def _graphs(spark, d):
+    a = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").alias("atom_idx")).distinct().withColumns({"x": F.lit(0.0), "y": F.lit(0.0), "z": F.lit(0.0), "atomic_num": F.lit(6)})
+    b = a.join(a.select("mol_id", (F.col("atom_idx") + 1).alias("atom_idx")), ["mol_id", "atom_idx"]).select("mol_id", (F.col("atom_idx") - 1).alias("a"), F.col("atom_idx").alias("b"), F.lit(1).alias("order"))
+    return molecules.graph_features(a, b, ["atomic_num"], ["order"])
+
+
 @query("""WITH a AS (SELECT DISTINCT l_orderkey AS m, l_linenumber AS i FROM lineitem), n AS (SELECT m, count(*) AS n FROM a GROUP BY 1), b AS (SELECT a.m, count(*) AS e FROM a JOIN a c ON c.m = a.m AND c.i = a.i - 1 GROUP BY 1)
 SELECT m AS mol_id, n AS n_atoms, 2 * coalesce(e, 0) AS n_edges, CAST(2 * coalesce(e, 0) AS DOUBLE) AS degrees FROM n LEFT JOIN b USING (m)""")
 def molecule_graphs(spark, d):
-    a = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").alias("atom_idx")).distinct().withColumns({"x": F.lit(0.0), "y": F.lit(0.0), "z": F.lit(0.0), "atomic_num": F.lit(6)})
-    b = a.join(a.select("mol_id", (F.col("atom_idx") + 1).alias("atom_idx")), ["mol_id", "atom_idx"]).select("mol_id", (F.col("atom_idx") - 1).alias("a"), F.col("atom_idx").alias("b"), F.lit(1).alias("order"))
-    g = molecules.graph_features(a, b, ["atomic_num"], ["order"])
+    g = _graphs(spark, d)
     return g.select("mol_id", F.size("atoms").cast("long").alias("n_atoms"), F.coalesce(F.size("edges"), F.lit(0)).cast("long").alias("n_edges"), F.aggregate("atoms", F.lit(0.0), lambda s, x: s + F.get(x, F.lit(1))).alias("degrees"))
 
 
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS m, l_linenumber AS i FROM lineitem), n AS (SELECT m, m // 64 AS batch, count(*) AS n FROM a GROUP BY 1), b AS (SELECT a.m, count(*) AS e FROM a JOIN a c ON c.m = a.m AND c.i = a.i - 1 GROUP BY 1)
+SELECT n.m AS mol_id, max(n) OVER (PARTITION BY batch) AS n_atoms, n * n AS n_pairs, max(2 * coalesce(e, 0)) OVER (PARTITION BY batch) AS n_edges FROM n LEFT JOIN b ON b.m = n.m""")
+def graph_batches(spark, d):
+    out = features.padded_graphs(_graphs(spark, d).withColumn("batch_id", F.expr("mol_id div 64")))
+    pairs = F.size(F.filter(F.flatten("square_mask"), lambda x: x))
+    return out.select("mol_id", F.size("atoms").cast("long").alias("n_atoms"), pairs.cast("long").alias("n_pairs"), F.size("edge_features").cast("long").alias("n_edges"))
+
+
 # --- voxels ---------------------------------------------------------------------------------------------------------
 
 GRID_SQL = "g AS (SELECT mol_id, e, CAST(round_even((x + 15) / 0.5, 0) AS INT) AS gx, CAST(round_even((y + 15) / 0.5, 0) AS INT) AS gy, CAST(round_even((z + 15) / 0.5, 0) AS INT) AS gz FROM atoms)"
@@ -595,16 +678,60 @@ def seed_union(spark, d):
     return voxels.union_of_seeds(g)
 
 
-@query(f"WITH {ATOMS_SQL} SELECT mol_id, round(24 * sum(x * x + y * y + z * z), 4) AS squares, 24 * count(*) AS n FROM atoms GROUP BY 1")
+ROTATIONS_SQL = """pr AS (SELECT unnest([[1, 2, 3], [2, 3, 1], [3, 1, 2], [1, 3, 2], [3, 2, 1], [2, 1, 3]]) AS p, unnest([1, 1, 1, -1, -1, -1]) AS parity), sg AS (SELECT unnest([1, -1]) AS s),
+m AS (SELECT flatten(list_transform([1, 2, 3], lambda i: list_transform([1, 2, 3], lambda j: CAST(CASE WHEN p[i] = j THEN [a.s, b.s, c.s][i] ELSE 0 END AS DOUBLE)))) AS r FROM pr, sg a, sg b, sg c WHERE parity * a.s * b.s * c.s = 1),
+rots AS (SELECT r, row_number() OVER (ORDER BY r <> [1, 0, 0, 0, 1, 0, 0, 0, 1], r) - 1 AS rot_id FROM m)"""
+
+
+@query(f"""WITH {ATOMS_SQL}, {ROTATIONS_SQL}, t AS (SELECT mol_id, rot_id, r[1] * x + r[2] * y + r[3] * z AS x, r[4] * x + r[5] * y + r[6] * z AS y, r[7] * x + r[8] * y + r[9] * z AS z FROM atoms, rots)
+SELECT rot_id, count(*) AS n, round(sum(x), 3) + 0.0 AS sx, round(sum(y), 3) + 0.0 AS sy, round(sum(z), 3) + 0.0 AS sz, round(sum(greatest(x, 2 * y, 3 * z)), 3) AS most FROM t GROUP BY 1""")
 def rotated_atoms(spark, d):
     turned = voxels.rotate_all(atoms(spark, d), voxels.rotation_table(spark, voxels.box_rotations()))
-    return turned.groupBy("mol_id").agg(F.round(F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")), 4).alias("squares"), F.count("*").alias("n"))
+    sums = [(F.round(F.sum(c), 3) + 0.0).alias(f"s{c}") for c in "xyz"]
+    return turned.groupBy("rot_id").agg(F.count("*").alias("n"), *sums, F.round(F.sum(F.greatest("x", 2 * F.col("y"), 3 * F.col("z"))), 3).alias("most"))
 
 
-@query()
+_DRAW = "CAST('0x' || substr(md5('0:{}:' || CAST(mol_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296"
+
+
+@query(f"""WITH {ATOMS_SQL}, {ROTATIONS_SQL}, a AS (SELECT *, CAST(floor({_DRAW.format('rotation')} * 24) AS BIGINT) AS rot_id FROM atoms)
+SELECT mol_id, rot_id, e, round(r[1] * x + r[2] * y + r[3] * z + {_DRAW.format('x')} * 0.5, 6) + 0.0 AS x, round(r[4] * x + r[5] * y + r[6] * z + {_DRAW.format('y')} * 0.5, 6) + 0.0 AS y,
+round(r[7] * x + r[8] * y + r[9] * z + {_DRAW.format('z')} * 0.5, 6) + 0.0 AS z FROM a JOIN rots USING (rot_id)""")
 def augmented_atoms(spark, d):
     table = voxels.rotation_table(spark, voxels.box_rotations())
-    return voxels.augmented(atoms(spark, d), table, 24, 0.5).select("mol_id", "rot_id", "element", "x", "y", "z")
+    return voxels.augmented(atoms(spark, d), table, 24, 0.5).select("mol_id", "rot_id", "e", *[(_r(c) + 0.0).alias(c) for c in "xyz"])
+
+
+@query(f"""WITH {ATOMS_SQL}, {ROTATIONS_SQL}, a AS (SELECT *, CAST(floor({_DRAW.format('rotation')} * 24) AS BIGINT) AS rot_id FROM atoms)
+SELECT mol_id, e, round(r[2] * x + r[3] * y, 6) + 0.0 AS first, round(r[7] * z + r[8] * x + r[9] * y + {_DRAW.format('z')} * 0.5, 6) + 0.0 AS last FROM a JOIN rots USING (rot_id)""")
+def augmented_fragments(spark, d):
+    zero = F.lit(0.0)
+    fragments = atoms(spark, d).select("mol_id", "e", F.array(zero, zero, zero, "x", zero, zero, "y", zero, zero).alias("rotate_mat"), F.array("z", "x", "y").alias("trans_vec"))
+    out = voxels.augmented_fragments(fragments, voxels.rotation_table(spark, voxels.box_rotations()), 24, 0.5)
+    return out.select("mol_id", "e", (_r(F.get("rotate_mat", F.lit(0))) + 0.0).alias("first"), (_r(F.get("trans_vec", F.lit(2))) + 0.0).alias("last"))
+
+
+@query(f"""WITH {ATOMS_SQL}, {GRID_SQL}, u AS (SELECT DISTINCT gx, gy, gz FROM g WHERE e = 0), c AS (SELECT DISTINCT gx, gy, gz FROM g WHERE e = 1), p AS (SELECT gx, gy, gz, count(*) AS v FROM g WHERE e IN (1, 2) GROUP BY ALL),
+o AS (SELECT c.*, c.gz - u.gz AS d FROM c JOIN u ON c.gx - c.gy = u.gx - u.gy AND c.gy - c.gz = u.gy - u.gz WHERE c.gz - u.gz BETWEEN 0 AND 121),
+f AS (SELECT min(d) AS d FROM (SELECT d FROM o GROUP BY 1 HAVING count(*) > 5)), h AS (SELECT o.* FROM o JOIN f USING (d)),
+mid AS (SELECT round_even(avg(gx), 0) - 13 AS x, round_even(avg(gy), 0) - 13 AS y, round_even(avg(gz), 0) - 13 AS z FROM h),
+r AS (SELECT 'overlap' AS kind, gx, gy, gz, 1 AS v FROM h UNION ALL SELECT 'polar', gx, gy, gz, v FROM p)
+SELECT kind, CAST(gx - x AS INT) AS x, CAST(gy - y AS INT) AS y, CAST(gz - z AS INT) AS z, CAST(v AS BIGINT) AS value FROM r, mid WHERE gx - x BETWEEN 0 AND 27 AND gy - y BETWEEN 0 AND 27 AND gz - z BETWEEN 0 AND 27""")
+def overlap_crops(spark, d):
+    g = voxels.grid_coordinates(atoms(spark, d)).select("e", *[F.col(f"g{c}").alias(c) for c in "xyz"])
+    polar = g.filter("e in (1, 2)").groupBy(*"xyz").agg(F.count("*").alias("value"))
+    overlap, near = voxels.overlap_crop(g.filter("e = 1").select(*"xyz").distinct(), g.filter("e = 0").select(*"xyz").distinct(), polar, 5)
+    both = overlap.withColumn("value", F.lit(1).cast("long")).withColumn("kind", F.lit("overlap")).unionByName(near.withColumn("kind", F.lit("polar")))
+    return both.select("kind", "x", "y", "z", "value")
+
+
+@query("""SELECT s.l_orderkey AS mol_id, s.l_linenumber AS rot_id, s.l_quantity AS shape, g.l_extendedprice AS grid, o_totalprice AS fp, c_nationkey AS graph FROM lineitem s
+JOIN lineitem g ON g.l_orderkey = s.l_orderkey AND g.l_linenumber = s.l_linenumber AND g.l_returnflag <> 'R' JOIN orders ON o_orderkey = s.l_orderkey JOIN customer ON c_custkey = s.l_orderkey""")
+def assembled_shapes(spark, d):
+    li, named = _t(spark, d, "lineitem"), [F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").alias("rot_id")]
+    shapes, grids = li.select(*named, F.col("l_quantity").alias("shape")), li.filter("l_returnflag <> 'R'").select(*named, F.col("l_extendedprice").alias("grid"))
+    fps = _t(spark, d, "orders").select(F.col("o_orderkey").alias("mol_id"), F.col("o_totalprice").alias("fp"))
+    return voxels.assembled(shapes, grids, fps, _t(spark, d, "customer").select(F.col("c_custkey").alias("mol_id"), F.col("c_nationkey").alias("graph")))
 
 
 # --- routes ---------------------------------------------------------------------------------------------------------
@@ -653,10 +780,11 @@ def beam_searched(spark, d):
 
 def _streamed(spark, d, table, start, read):
     """Run a stream over a given table to its end and read what it wrote, in the shared folder."""
-    import tempfile
     import uuid
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")) + f"/retort-{uuid.uuid4().hex}"
+    from retort.functions.lineage import shared_folder
+
+    root = f"{shared_folder(spark)}/retort-{uuid.uuid4().hex}"
     start(f"{d}/{table}.parquet", f"{root}/out", f"{root}/state").awaitTermination()
     return read(f"{root}/out")
 
@@ -687,6 +815,31 @@ def streamed_reaction_matrix(spark, d):
     return _streamed(spark, d, "lineitem", start, lambda out: jobs.merged_matrix(spark, out))
 
 
+@query(f"{HIST_SQL} SELECT mol_id, slot * 40 + bin AS slot, count(*) % 256 AS value FROM binned GROUP BY ALL HAVING count(*) % 256 <> 0")
+def streamed_fingerprints(spark, d):
+    from retort.streaming import jobs
+
+    schema = _t(spark, d, "events").schema
+
+    def start(path, out, state):
+        return jobs.fingerprint_stream(_points_of(spark.readStream.schema(schema).parquet(_folder(path))), out, state)
+
+    return _streamed(spark, d, "events", start, lambda out: spark.read.parquet(out).select("mol_id", "slot", "value"))
+
+
+@query("SELECT o_custkey AS target, o_orderkey AS smiles, o_totalprice AS score FROM orders")
+def appended_results(spark, d):
+    from retort.streaming import jobs
+
+    schema = _t(spark, d, "orders").schema
+
+    def start(path, out, state):
+        stream = spark.readStream.schema(schema).parquet(_folder(path))
+        return jobs.append_results(stream.select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("smiles"), F.col("o_totalprice").alias("score")), out, state)
+
+    return _streamed(spark, d, "orders", start, lambda out: spark.read.parquet(out))
+
+
 def _folder(path: str) -> str:
-    """A path that a stream can list: a single file is matched by a pattern."""
-    return path.replace(".parquet", ".parquet*")
+    """A path that a stream can list: a file is the only match of a pattern for its name."""
+    return path.removesuffix("t") + "[t]"

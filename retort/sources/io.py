@@ -19,12 +19,28 @@ def read_csv_molecules(spark: SparkSession, path: str, smiles_col: str | None =
     return out.withColumn("mol_id", F.monotonically_increasing_id())
 
 
+#: Place of a row in its file: by start of the file's split, then by number within. The rows of a file sort by it in file order.
+_PLACE = "row_place"
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Text rows with ``mol_id``, unique over all files, ``file`` and their place in it; files are split as Spark likes."""
+    number = F.monotonically_increasing_id()
+    return lines.select("value", number.alias("mol_id"), F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), number.alias("n")).alias(_PLACE))
+
+
 def read_smi_molecules(spark: SparkSession, path: str, title_line: bool = True) -> DataFrame:
-    """Molecules from ``.smi`` files: SMILES and name by white space; the first line of each file is a title unless told otherwise."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    kept = lines.filter((F.trim("value") != "") & (F.col("line") >= (1 if title_line else 0)))
-    parts = F.split(F.trim("value"), r"\s+")
-    return kept.select("file", "line", F.get(parts, F.lit(0)).alias("smiles"), F.get(parts, F.lit(1)).alias("name"))
+    """Molecules from ``.smi`` files: ``mol_id, file, seq, smiles, name``, SMILES and name by white space; ``seq`` sorts the rows of a file in its order.
+
+    The first line of each file is a title unless told otherwise. Files are split by lines.
+    """
+    lines = _placed(spark.read.text(path))
+    if title_line:
+        first = lines.filter(F.col(f"{_PLACE}.start") == 0).groupBy("file").agg(F.min(_PLACE).alias("title"))
+        lines = lines.join(first, "file", "left").filter(~F.col(_PLACE).eqNullSafe(F.col("title")))
+    parts = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
+    kept = lines.filter(F.col("value").rlike(r"\S"))
+    return kept.select("mol_id", "file", F.col(_PLACE).alias("seq"), F.get(parts, F.lit(0)).alias("smiles"), F.get(parts, F.lit(1)).alias("name"))
 
 
 def read_molecules(spark: SparkSession, path: str, smiles_col: str | None = None, title_line: bool = True) -> DataFrame:
@@ -39,38 +55,58 @@ def read_molecules(spark: SparkSession, path: str, smiles_col: str | None = None
     raise ValueError(f"unknown molecule file {path}")
 
 
-_SDF = "name string, elements array<string>, x array<double>, y array<double>, z array<double>, charges array<int>, a array<int>, b array<int>, orders array<int>, properties map<string,string>"
+_SDF = "mol_id long, file string, seq struct<start:long,n:long>, name string, elements array<string>, x array<double>, y array<double>, z array<double>, charges array<int>, a array<int>, b array<int>, orders array<int>, properties map<string,string>"
 #: Charge codes of the atom lines. Fixed values.
 _CHARGES = {1: 3, 2: 2, 3: 1, 5: -1, 6: -2, 7: -3}
 
 
+def _parsed_record(record: str) -> tuple | None:
+    """Name, atoms, bonds and properties of a record, None if it cannot be read. Records but the first of a file begin with the end of the line before them."""
+    lines = record.splitlines()
+    for at in (4, 3) if not lines[0].strip() else (3,):  # the counts line; the name line, three before it, may be blank
+        found = _parsed_lines(lines, at)
+        if found:
+            return found
+    return None
+
+
+def _parsed_lines(lines: list[str], at: int) -> tuple | None:
+    """A record whose counts are in line ``at``."""
+    try:
+        n, m = int(lines[at][0:3]), int(lines[at][3:6])
+        atoms, rest = lines[at + 1 : at + 1 + n], lines[at + 1 + n + m :]
+        if len(atoms) < n:
+            return None
+        xyz = [[float(line[i : i + 10]) for line in atoms] for i in (0, 10, 20)]
+        elements = [line[31:34].strip() for line in atoms]
+        charges = [_CHARGES.get(int(line[36:39] or 0), 0) if len(line) >= 39 else 0 for line in atoms]
+        bonds = [(int(line[0:3]) - 1, int(line[3:6]) - 1, int(line[6:9])) for line in lines[at + 1 + n : at + 1 + n + m]]
+    except (ValueError, IndexError):
+        return None
+    properties = {}
+    for i, line in enumerate(rest):
+        if line.startswith(">") and "<" in line:
+            properties[line[line.index("<") + 1 : line.rindex(">")]] = rest[i + 1].strip() if i + 1 < len(rest) else ""
+    return (lines[at - 3].strip(), elements, *xyz, charges, *([b[k] for b in bonds] for k in range(3)), properties)
+
+
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        out = []
-        for record in rows["value"]:
-            lines = record.lstrip("\r\n").splitlines() if record.strip() else []
-            if len(lines) < 4:
-                continue
-            try:
-                n, m = int(lines[3][0:3]), int(lines[3][3:6])
-                atoms = lines[4 : 4 + n]
-                xyz = [[float(line[i : i + 10]) for line in atoms] for i in (0, 10, 20)]
-                elements = [line[31:34].strip() for line in atoms]
-                charges = [_CHARGES.get(int(line[36:39] or 0), 0) if len(line) >= 39 else 0 for line in atoms]
-                bonds = [(int(line[0:3]) - 1, int(line[3:6]) - 1, int(line[6:9])) for line in lines[4 + n : 4 + n + m]]
-            except ValueError:
-                continue
-            properties, rest = {}, lines[4 + n + m :]
-            for i, line in enumerate(rest):
-                if line.startswith(">") and "<" in line:
-                    properties[line[line.index("<") + 1 : line.rindex(">")]] = rest[i + 1].strip() if i + 1 < len(rest) else ""
-            out.append((lines[0].strip(), elements, *xyz, charges, [b[0] for b in bonds], [b[1] for b in bonds], [b[2] for b in bonds], properties))
-        yield pd.DataFrame(out, columns=["name", "elements", "x", "y", "z", "charges", "a", "b", "orders", "properties"])
+        read = [_parsed_record(v) if v.strip() else None for v in rows["value"]]
+        kept = [x is not None for x in read]
+        names = ["name", "elements", "x", "y", "z", "charges", "a", "b", "orders", "properties"]
+        out = pd.DataFrame([x for x in read if x is not None], columns=names)
+        for c, of in (("mol_id", "mol_id"), ("file", "file"), ("seq", _PLACE)):
+            out[c] = rows.loc[kept, of].to_list()
+        yield out[["mol_id", "file", "seq", *names]]
 
 
 def read_sdf(spark: SparkSession, path: str, without_hydrogens: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Molecules (``mol_id, name, properties``), atoms and bonds of V2000 records, which end in ``$$$$``; unreadable ones are left out."""
-    records = spark.read.text(path, lineSep="$$$$\n").mapInPandas(_records, _SDF).withColumn("mol_id", F.xxhash64("name", "elements", "x", "y", "z"))
+    """Molecules (``mol_id, file, seq, name, properties``), atoms and bonds of V2000 records, which end in ``$$$$``; unreadable ones are left out.
+
+    ``mol_id`` is a record's own, also of equal records, and ``seq`` sorts the records of a file in its order. Lines may end in CRLF.
+    """
+    records = _placed(spark.read.text(path, lineSep="$$$$")).mapInPandas(_records, _SDF)
     zipped = F.arrays_zip("elements", "x", "y", "z", "charges")
     atoms = records.select("mol_id", F.posexplode(zipped).alias("atom_idx", "t")).select("mol_id", "atom_idx", F.col("t.elements").alias("element"), "t.x", "t.y", "t.z", F.col("t.charges").alias("charge"))
     bonds = records.select("mol_id", F.explode(F.arrays_zip("a", "b", "orders")).alias("t")).select("mol_id", "t.a", "t.b", F.col("t.orders").alias("order"))
@@ -79,7 +115,7 @@ def read_sdf(spark: SparkSession, path: str, without_hydrogens: bool = False) ->
         ends = heavy.select("mol_id", F.col("atom_idx").alias("i"))
         bonds = bonds.join(ends.withColumnRenamed("i", "a"), ["mol_id", "a"], "left_semi").join(ends.withColumnRenamed("i", "b"), ["mol_id", "b"], "left_semi")
         atoms = heavy
-    return records.select("mol_id", "name", "properties"), atoms, bonds
+    return records.select("mol_id", "file", "seq", "name", "properties"), atoms, bonds
 
 
 def read_reactions(spark: SparkSession, path: str) -> DataFrame:

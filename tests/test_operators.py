@@ -151,7 +151,15 @@ def test_grid_rounds_half_to_even_and_rotations(spark):
     assert tuple(voxels.grid_coordinates(atoms).select("gx", "gy", "gz").first()) == (30, 32, 30)
     turns = voxels.box_rotations()
     assert len(turns) == 24 and len({m.tobytes() for m in turns}) == 24 and np.array_equal(turns[0], np.eye(3))
-    assert len(voxels.fine_rotations(2, 4)) == 1 + 3 * 4 * 3
+    for sp, rp in ((2, 4), (3, 5)):
+        fine = voxels.fine_rotations(sp, rp)
+        assert len(fine) == 1 + 3 * sp * sp * (rp - 1) and np.array_equal(fine[0], np.eye(3))
+        grid = [(i - sp // 2) / sp for i in range(sp)]
+        axes = [(0.5, a, b) for a in grid for b in grid] + [(a, b, 0.5) for a in grid for b in grid] + [(a, 0.5, b) for a in grid for b in grid]
+        for n, m in enumerate(fine[1:]):
+            axis, angle = np.array(axes[n // (rp - 1)]), (n % (rp - 1) + 1) * math.pi / (rp / 2)
+            assert np.allclose(m @ axis, axis) and np.trace(m) == pytest.approx(1 + 2 * math.cos(angle)) and np.linalg.det(m) == pytest.approx(1)
+            assert (m[2, 1] - m[1, 2]) * axis[0] + (m[0, 2] - m[2, 0]) * axis[1] + (m[1, 0] - m[0, 1]) * axis[2] == pytest.approx(2 * math.sin(angle) * np.linalg.norm(axis))
     point = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "mol_id int, x double, y double, z double")
     m = turns[7]
     row = voxels.rotate_all(point, voxels.rotation_table(spark, [m])).first()
@@ -188,6 +196,11 @@ def test_readers_and_writers(spark, tmp_path):
     assert [(r["reactants"], r["agents"], r["products"]) for r in rows] == [(["C", "O"], [], ["CO"]), (["N"], ["Cl"], ["NC"])]
     (tmp_path / "m.smi").write_text("title\nCCO eth\nCC\n")
     assert sorted(r["smiles"] for r in io.read_smi_molecules(spark, str(tmp_path / "m.smi")).collect()) == ["CC", "CCO"]
+    (tmp_path / "crlf.smi").write_bytes(b"title x\r\nCCO eth\r\n\r\n  CC\r\n" + b"".join(b"C%d n\r\n" % i for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    rows = io.read_smi_molecules(spark, str(tmp_path / "crlf.smi")).orderBy("seq").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["smiles"] for r in rows] == ["CCO", "CC"] + [f"C{i}" for i in range(500)] and len({r["mol_id"] for r in rows}) == 502 and rows[0]["name"] == "eth" and rows[1]["name"] is None
     (tmp_path / "m.csv").write_text("SMILES,v\nCCO,1\n")
     assert io.read_molecules(spark, str(tmp_path / "m.csv")).first()["smiles"] == "CCO"
     with pytest.raises(ValueError):
@@ -205,6 +218,12 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "m.sdf").write_text(sdf * 2)
     mol, atoms, bonds = io.read_sdf(spark, str(tmp_path / "m.sdf"), without_hydrogens=True)
     assert mol.first()["properties"] == {"id": "7"} and {r["element"] for r in atoms.collect()} == {"C", "O"} and {(r["a"], r["b"]) for r in bonds.collect()} == {(0, 1)}
+    assert mol.count() == 2 and sorted(r["count"] for r in atoms.groupBy("mol_id").count().collect()) == [2, 2]
+    blank = sdf.replace("eth", "")
+    (tmp_path / "crlf.sdf").write_bytes((sdf + blank + sdf + "junk\n$$$$\n" + sdf.replace("eth", "last")).replace("\n", "\r\n").encode())
+    mol, atoms, _ = io.read_sdf(spark, str(tmp_path / "crlf.sdf"))
+    assert [r["name"] for r in mol.orderBy("seq").collect()] == ["eth", "", "eth", "last"]
+    assert sorted(r["count"] for r in atoms.groupBy("mol_id").count().collect()) == [3] * 4
     io.write_results(spark.createDataFrame([(1.23456, None), (None, "x")], "v double, s string").coalesce(1), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
     assert "1.235" in text and text.count("v,s") >= 1
@@ -256,3 +275,29 @@ def test_key_is_digested_as_a_stream(spark):
 def test_all_tokens_of_long_smiles(spark):
     row = spark.createDataFrame([("CCl" * 150,)], "s string").select(features.tokenize_smiles(F.col("s"), ("C", "Cl")).alias("all"), features.tokenize_smiles(F.col("s"), ("C", "Cl"), 192).alias("cut")).first()
     assert row["all"] == [1, 2] * 150 and row["cut"] == row["all"][:192]
+
+
+def test_similar_pairs_are_of_classes(spark):
+    import itertools
+    import random
+
+    draw = random.Random(3)
+    sets = {i: frozenset(draw.sample(range(30), draw.randrange(1, 14))) for i in range(60)}
+    for i in range(60, 120):  # near and equal copies
+        old = set(sets[draw.randrange(60)])
+        sets[i] = frozenset(old ^ set(draw.sample(range(40), draw.choice((0, 0, 1, 2)))) or {1})
+    frame = spark.createDataFrame([(i, b) for i, s in sets.items() for b in s] * 2, "id int, bit int")
+    pairs, members = similarity.similar_pairs(frame, 0.7)
+    own = {}
+    for i, s in sorted(sets.items()):
+        own.setdefault(s, i)
+    assert {r["id"]: r["class_id"] for r in members.collect()} == {i: own[s] for i, s in sets.items()}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(own.values()), 2)}
+    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in pairs.collect()}
+    assert got == {k: v for k, v in want.items() if v >= 0.7} and len(got) > 10
+
+
+def test_ring_components(spark):
+    atoms = spark.createDataFrame([(1, i) for i in range(6)] + [(2, 0)], "mol_id int, atom_idx int")
+    bonds = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 3, 4)], "mol_id int, a int, b int")
+    assert {r[0]: r[1] for r in molecules.ring_components(atoms, bonds).collect()} == {1: 3, 2: 1}
