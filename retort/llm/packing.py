@@ -9,7 +9,8 @@ empty after the remaining pieces have filled it as full as they can, for each un
 the end every bin shrinks to the least permitted length that holds its contents.
 
 Defined cases: a null text and a text without words have length 0 and no piece, and are given with a null bin; a null id is
-packed like any other; rows that repeat an id are pieces of their own, numbered apart; an empty table gives an empty result.
+packed like any other; rows that repeat an id are pieces of their own, numbered apart; names of further columns do not matter; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retort.llm.common import checkpointed, n_words
+from retort.llm.common import checkpointed, n_words, written
 
 #: Permitted sequence lengths, in words.
 LENGTHS = (256, 512, 1024, 2048)
@@ -85,8 +86,14 @@ def pack(sizes: np.ndarray, lengths: Sequence[int] = LENGTHS) -> tuple[np.ndarra
 
 def pieces_of(docs: DataFrame, longest: int) -> DataFrame:
     """Pieces of the documents: ``doc_id, copy, n_words, piece, size``; ``copy`` numbers rows that repeat an id, ``size`` is null for texts without words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("n_words"))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("n_words")))
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("n_words"), F.spark_partition_id().alias("part")), "lengths")
+    # rows of an id are numbered in each part of the table, after those of the parts before
+    parts = rows.groupBy("doc_id", "part").agg(F.count("*").alias("rows"))
+    earlier = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    later = checkpointed(parts.withColumn("offset", F.sum("rows").over(earlier)).filter("offset is not null").select(F.col("doc_id").alias("of"), F.col("part").alias("in_part"), "offset"))
+    inside = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("n_words"))
+    rows = rows.withColumn("inside", inside).join(later, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in_part")), "left")
+    rows = rows.select("doc_id", "n_words", (F.col("inside") + F.coalesce("offset", F.lit(0))).cast("int").alias("copy"))
     count = F.greatest(F.ceil(F.col("n_words") / longest), F.lit(1))
     cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     size = F.least(F.col("n_words") - F.col("piece") * longest, F.lit(longest))
