@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retort.llm.common import checkpointed, unused, written
@@ -41,6 +41,8 @@ PRODUCTIVE = 10
 BITS = 2048
 #: Rows of a bucket that meet in one task, on either side.
 BLOCK = 1024
+#: So many rows of an id and a hash or two, about 100 MB in a task's memory, go to every task; more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -116,7 +118,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select(ends.alias("e")).select("e.id", "e.near")
     labels, total = checkpointed(both.groupBy("id").agg(F.min("near").alias("component"))), None
     while True:
-        sent = both.join(labels.withColumnRenamed("id", "near"), "near").groupBy("id").agg(F.min("component").alias("to"))
+        sent = checkpointed(both.join(labels.withColumnRenamed("id", "near"), "near").groupBy("id").agg(F.min("component").alias("to")))
         roots = sent.select(F.col("id").alias("root"), F.col("to").alias("root_to"))
         labels = checkpointed(sent.join(roots, F.col("to") == F.col("root"), "left").select("id", F.least("to", F.coalesce("root_to", "to")).alias("component")))
         before, total = total, labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
@@ -212,6 +214,11 @@ def _classes(signed: DataFrame) -> DataFrame:
     return written(grouped.select("n", "one", "two", "of.doc_id", "of.digest", "bands", F.monotonically_increasing_id().alias("id")), "classes")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows``, narrow ones, marked to go to every task if they are few, so that the texts which they are joined to need not move."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def _labels(texts: DataFrame, classes: DataFrame) -> DataFrame | None:
     """``id, component`` of the linked classes; None where no class is linked."""
     buckets = classes.select("id", "n", F.explode("bands").alias("band"))
@@ -219,8 +226,8 @@ def _labels(texts: DataFrame, classes: DataFrame) -> DataFrame | None:
     members = written(buckets.join(shared, "band"), "buckets")
     mates = members.groupBy("id").agg(F.sum("size").alias("mates"))
     members = written(members.drop("size").join(mates, "id"), "members")
-    wanted = members.select("id").distinct().join(classes.select("id", "doc_id", "digest"), "id")
-    sets = written(texts.join(wanted, ["doc_id", "digest"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets, "id long, shingles array<long>, bits array<long>"), "sets")
+    wanted = checkpointed(members.select("id").distinct().join(classes.select("id", "doc_id", "digest"), "id"))
+    sets = written(texts.join(_few(wanted), ["doc_id", "digest"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets, "id long, shingles array<long>, bits array<long>"), "sets")
     labels, productive = None, True
     while True:
         if labels is None and productive:  # the first hubs come before any components
@@ -245,7 +252,7 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     labels = _labels(texts, classes)
     named = classes.select("n", "one", "two", "id", F.col("doc_id").alias("component_id"))
     if labels is not None:
-        least = named.join(labels, "id").groupBy("component").agg(F.min("component_id").alias("least"))
+        least = checkpointed(named.join(labels, "id").groupBy("component").agg(F.min("component_id").alias("least")))
         known = checkpointed(labels.join(least, "component").select("id", "least"))
         named = named.join(known, "id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
     out = signed.select("doc_id", "digest", "n", "one", "two").join(checkpointed(named.select("n", "one", "two", "component_id")), ["n", "one", "two"], "left")
@@ -260,8 +267,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of ``docs``; of rows with equal id and set one stays, rows with a null id all stay."""
-    kept = _verdicts(docs).filter("doc_id = component_id").groupBy("doc_id", "n", "one", "two").agg(F.min("digest").alias("digest"))
-    key = unused("key", docs.columns)
+    verdicts = checkpointed(_verdicts(docs).filter("doc_id is not null"))
+    texts = verdicts.groupBy("doc_id", "digest", "n", "one", "two", "component_id").agg(F.count("*").alias("rows"))
+    first = F.min("digest").over(Window.partitionBy("doc_id", "n", "one", "two"))
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("digest") == F.col("first"))
+    key, twice = unused("key", docs.columns), unused("twice", docs.columns)
+    # only texts that go, or that stand in several rows, are looked up
+    marked = texts.withColumn("first", first).withColumn(twice, stays).filter(~F.col(twice) | (F.col("rows") > 1))
+    marked = checkpointed(marked.select(F.struct("doc_id", "digest").alias(key), twice))
     keyed = docs.filter(F.col("doc_id").isNotNull()).withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest")))
-    chosen = keyed.join(kept.select(F.struct("doc_id", "digest").alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)
-    return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
+    joined = keyed.join(_few(marked), key, "left")
+    out = joined.filter(F.col(twice).isNull()).drop(key, twice).unionByName(docs.filter(F.col("doc_id").isNull()))
+    if marked.filter(F.col(twice)).isEmpty():
+        return out
+    return out.unionByName(joined.filter(F.col(twice)).dropDuplicates([key]).drop(key, twice))
