@@ -8,7 +8,8 @@ resemblance and the containment of their sets; one alone estimates the number of
 Shingles are runs of five words after A-Z become lower case; a text with fewer words is one shingle.
 
 Defined cases: a null or empty text, or one without words, has an empty sketch; two empty sets are alike (1), an empty
-and a non-empty one are not (0); equal texts have equal sketches; an empty table gives an empty result.
+and a non-empty one are not (0); equal texts have equal sketches; null ids come last, and rows with equal ids are ordered by the
+hash of their text; names of further columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retort.llm.common import ascii_lower, joined_hashes, words
+from retort.llm.common import ascii_lower, joined_hashes, unused, words
 
 #: Hashes in a sketch; the standard error of a resemblance r is about sqrt(r (1 - r) / K).
 K = 256
@@ -24,14 +25,15 @@ K = 256
 
 def with_sketch(rows: DataFrame, text: str, name: str, k: int = K) -> DataFrame:
     """``rows`` with the sketch of column ``text`` as ``name``, an array of at most ``k`` ascending hashes."""
-    one = rows.withColumn("_h1", F.transform(words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w)))
-    two = one.withColumn("_h2", joined_hashes(F.col("_h1"), 1))
-    four = two.withColumn("_h4", joined_hashes(F.col("_h2"), 2)).drop("_h2")
-    left = F.greatest(F.size("_h1") - 4, F.lit(0))
-    five = F.zip_with(F.slice("_h4", 1, left), F.slice("_h1", 5, left), lambda a, b: F.xxhash64(a, b))
-    few = F.when(F.size("_h1") > 0, F.array(F.xxhash64("_h1"))).otherwise(F.array().cast("array<bigint>"))
-    shingles = F.when(F.size("_h1") >= 5, five).otherwise(few)
-    return four.withColumn(name, F.slice(F.sort_array(F.array_distinct(shingles)), 1, k)).drop("_h1", "_h4")
+    h1, h2, h4 = (unused(h, rows.columns) for h in ("h1", "h2", "h4"))
+    one = rows.withColumn(h1, F.transform(words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w)))
+    two = one.withColumn(h2, joined_hashes(F.col(h1), 1))
+    four = two.withColumn(h4, joined_hashes(F.col(h2), 2)).drop(h2)
+    left = F.greatest(F.size(h1) - 4, F.lit(0))
+    five = F.zip_with(F.slice(h4, 1, left), F.slice(h1, 5, left), lambda a, b: F.xxhash64(a, b))
+    few = F.when(F.size(h1) > 0, F.array(F.xxhash64(h1))).otherwise(F.array().cast("array<bigint>"))
+    shingles = F.when(F.size(h1) >= 5, five).otherwise(few)
+    return four.withColumn(name, F.slice(F.sort_array(F.array_distinct(shingles)), 1, k)).drop(h1, h4)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -76,7 +78,7 @@ def with_next(rows: DataFrame, id_col: str, carried: list[str], buckets: int) ->
 
     Ids are cut at quantiles into ranges of like numbers of rows, one window partition each. The head of each range is
     copied to the end of the range before it, so that no step sees more than one range; the table of heads has one row a
-    range. Rows with equal ids follow each other by the hash of the first column carried.
+    range. Rows with equal ids follow each other by the hash of the first column carried; rows with null ids are cut into ranges by that.
     """
     cuts = sorted({int(x) for x in rows.stat.approxQuantile(id_col, [i / buckets for i in range(1, buckets)], 0.25 / buckets)}) if buckets > 1 else []
     width = max(1, int(len(cuts) ** 0.5))
@@ -86,17 +88,19 @@ def with_next(rows: DataFrame, id_col: str, carried: list[str], buckets: int) ->
         coarse = above(F.array(*[F.lit(c) for c in cuts[::width]]))  # a cut is looked up in two short lists
         fine = F.slice(F.array(*[F.lit(c) for c in cuts]), F.greatest(coarse - 1, F.lit(0)) * width + 1, F.lit(width))
         bucket = F.when(coarse == 0, 0).otherwise((coarse - 1) * width + above(fine))
-    placed = rows.withColumns({"_range": F.when(F.col(id_col).isNull(), -1).otherwise(bucket).cast("int"), "_tie": F.xxhash64(carried[0])})
-    by_range = Window.orderBy("_range")
-    heads = placed.groupBy("_range").agg(F.max(F.struct(id_col, "_tie")).alias("_head"))
-    onto = heads.withColumn("_onto", F.coalesce(F.lead("_range").over(by_range), F.min("_range").over(Window.partitionBy())))
-    is_head = F.struct(id_col, "_tie").eqNullSafe(F.col("_head"))
-    here = F.struct(F.col("_range").alias("at"), F.lit(0).alias("guest"))
-    there = F.struct(F.col("_onto").alias("at"), F.lit(1).alias("guest"))
-    copied = placed.join(F.broadcast(onto), "_range").withColumn("_place", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here)))).drop("_head", "_onto")
-    order = Window.partitionBy("_place.at").orderBy("_place.guest", F.col(id_col).desc_nulls_last(), F.col("_tie").desc())
+    tie, span, head, onto, place = (unused(c, [*rows.columns, *(f"_next_{c}" for c in carried)]) for c in ("tie", "span", "head", "onto", "place"))
+    of_null = F.shiftright(F.col(tie), 58).cast("int") - 33  # 64 ranges below all others
+    placed = rows.withColumn(tie, F.xxhash64(carried[0])).withColumn(span, F.when(F.col(id_col).isNull(), of_null).otherwise(bucket).cast("int"))
+    by_range = Window.orderBy(span)
+    heads = placed.groupBy(span).agg(F.max(F.struct(id_col, tie)).alias(head))
+    follow = heads.withColumn(onto, F.coalesce(F.lead(span).over(by_range), F.min(span).over(Window.partitionBy())))
+    is_head = F.struct(id_col, tie).eqNullSafe(F.col(head))
+    here = F.struct(F.col(span).alias("at"), F.lit(0).alias("guest"))
+    there = F.struct(F.col(onto).alias("at"), F.lit(1).alias("guest"))
+    copied = placed.join(F.broadcast(follow), span).withColumn(place, F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here)))).drop(head, onto, span)
+    order = Window.partitionBy(f"{place}.at").orderBy(f"{place}.guest", F.col(id_col).desc_nulls_last(), F.col(tie).desc())
     led = copied.withColumns({f"_next_{c}": F.lead(c).over(order) for c in carried})
-    return led.filter(F.col("_place.guest") == 0).drop("_place", "_range", "_tie")
+    return led.filter(F.col(f"{place}.guest") == 0).drop(place, tie)
 
 
 def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:

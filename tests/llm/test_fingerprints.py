@@ -15,7 +15,7 @@ def likeness(a, b):
 
 def test_query_against_exact_sets(spark, sf_small):
     out = op1_document_fingerprints(spark, sf_small)
-    assert out.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert out.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "share_in_edited", "distinct_shingles"]
     got = {r["doc_id"]: r for r in out.collect()}
     docs = sorted(((r[0], r[1]) for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").collect()), reverse=True)
     errors, by_text = [], {}
@@ -25,6 +25,8 @@ def test_query_against_exact_sets(spark, sf_small):
         edited = text[: len(text) - third] + after[:third]
         assert got[i]["n_chars"] == len(text) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         errors.append(abs(got[i]["near_edited"] - likeness(shingles(text), shingles(edited))))
+        own = shingles(text)
+        assert abs(got[i]["share_in_edited"] - (len(own & shingles(edited)) / len(own) if own else 1.0)) < 0.25 and abs(got[i]["distinct_shingles"] - len(own)) <= 0.25 * len(own)
         assert abs(got[i]["near_next"] - likeness(shingles(text), shingles(after))) < 0.15
         assert by_text.setdefault(text, got[i]["fingerprint"]) == got[i]["fingerprint"]
     assert max(errors) < 0.15 and sum(errors) / len(errors) < 0.03
