@@ -10,7 +10,8 @@ decoding the member's head as a WARC record header, and owns the records whose m
 beyond the range's end where the last one does. Magic that occurs inside compressed data fails the trial and is passed over.
 
 Defined cases: a null html is an empty payload; of rows that tie for the smallest id of a payload all are responses; a null
-page id takes part as the largest id and is written without one; an empty table gives no files and an empty result.
+page id takes part as the largest id and is written without one; names of further columns do not matter; an empty table gives no
+files and an empty result.
 """
 
 from __future__ import annotations
@@ -86,6 +87,7 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     bodies = rows.select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("bytes"))
     firsts = bodies.filter(F.col("bytes") >= least_bytes).groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null")
+    firsts = checkpointed(firsts)  # both sides of the join are plain tables, so that a payload of very many pages is split
     revisits = bodies.join(firsts, ["sha", "bytes"]).filter(F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)))
     known = revisits.select(F.col("page_id").alias("of"), "sha", F.col("first").alias("refers_to")).distinct()
     wide = rows.withColumn("sha", F.unhex(F.sha1("html")))
