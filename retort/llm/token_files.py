@@ -261,7 +261,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, partitions: int |
             yield flush()
 
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return checkpointed(ordered.mapInArrow(write, _FILES))
 
 
