@@ -70,12 +70,12 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, solid_bytes: np.ndarray |
 
 
 class RangeHasher:
-    """64-bit hashes of byte ranges, A-Z read as a-z."""
+    """64-bit hashes of byte ranges, A-Z read as a-z if ``folded``."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, folded: bool = True):
         power, self.inverse = _powers(max(CHUNK_BYTES, 1 << int(len(data)).bit_length()))
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[_LOWER[data]] * power[: len(data)], out=self.sums[1:])
+        np.cumsum(_BYTE[_LOWER[data] if folded else data] * power[: len(data)], out=self.sums[1:])
 
     def hashes(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         return mixed((self.sums[stops] - self.sums[starts]) * self.inverse[starts])

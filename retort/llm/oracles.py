@@ -50,4 +50,23 @@ r(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOI
 k AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id"""
 
-ORACLES = {"op3_source_mixing": OP3, "op7_quality_rules": OP7, "op8_near_duplicates": OP8}
+#: CRC-32 of an ASCII text as DuckDB lacks it: each character is mixed in, then eight shifts.
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({0}, ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id IS NOT NULL THEN {_CRC.format("CAST(doc_id AS VARCHAR)")} ELSE 1 END AS h, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT doc_id, h % 10 = 0 AND len(w) > 0 AS made, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a, len(w) AS n, w FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+e AS (SELECT doc_id, n, CASE WHEN made THEN list_transform(range(n), lambda i: CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END) ELSE w END AS w FROM p),
+four AS (SELECT doc_id, n, i, md5(array_to_string(w[i + 1:i + 4], ' ')) AS s FROM (SELECT doc_id, n, w, unnest(range(n - 3)) AS i FROM e WHERE n >= 6)),
+m AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM four a JOIN four b ON a.doc_id = b.doc_id AND a.s = b.s AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+f AS (SELECT doc_id, q, min(i) AS start, count(*) + q + 3 AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM f WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, arg_max({{'s': start, 'l': length, 'p': period}}, (length, -start, -period)) AS x FROM r GROUP BY doc_id),
+b AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(e.w[i + 1], ' ' ORDER BY i) AS t FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM e WHERE doc_id IN (SELECT doc_id FROM r)) e ANTI JOIN b USING (doc_id, i) GROUP BY doc_id)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, x.s AS start, x.l AS length, x.p AS period, 1000 * x.l // x.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(CASE WHEN n_runs IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS collapsed_sha256
+FROM e LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+ORACLES = {"op3_source_mixing": OP3, "op7_quality_rules": OP7, "op8_near_duplicates": OP8, "op12_periodic_runs": OP12}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import fingerprints, html_extract, mixing, near_dedup, oracles, packing, pii, quality, token_files, toxicity, warc
-from retort.llm.common import table
+from retort.llm import fingerprints, html_extract, mixing, near_dedup, oracles, packing, periodic, pii, quality, token_files, toxicity, warc
+from retort.llm.common import table, words
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,31 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; every tenth text, by the checksum of its id, repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    numbered = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words(F.col("text"))).alias("w"))
+    n = F.size("w")
+    start = (F.col("g") % n).cast("int")
+    planned = numbered.filter("h % 10 = 0").filter(n > 0).withColumns({"n": n, "a": start})
+    planned = planned.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    text = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), again), F.lit(1), F.col("n")), " ")
+    other = numbered.filter(F.coalesce((F.col("h") % 10 != 0) | (n == 0), F.lit(True)))
+    return other.select("doc_id", "text").union(planned.select("doc_id", text))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.with_runs(_made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"])
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    found = found.select("row.doc_id", "runs", "collapsed", longest.alias("r"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("r.start").alias("start"), (-F.col("r.l")).alias("length"), F.col("r.period").alias("period"),
+        F.floor(-1000 * F.col("r.l") / F.col("r.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -82,5 +107,6 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_personal_data": op10_personal_data,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES = oracles.ORACLES
