@@ -69,4 +69,27 @@ k AS (SELECT doc_id, string_agg(e.w[i + 1], ' ' ORDER BY i) AS t FROM (SELECT do
 SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, x.s AS start, x.l AS length, x.p AS period, 1000 * x.l // x.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(CASE WHEN n_runs IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS collapsed_sha256
 FROM e LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
-ORACLES = {"op3_source_mixing": OP3, "op7_quality_rules": OP7, "op8_near_duplicates": OP8, "op12_periodic_runs": OP12}
+_H13 = _CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+#: For each state, the ways in which inserted turns lead on: edits, lines, state after them and cost. States are 0 nothing yet, 1 after system, 2 after user, 3 after assistant.
+_INSERTS = """(VALUES (0, '', '', 0, 0), (1, '', '', 1, 0), (2, '', '', 2, 0), (3, '', '', 3, 0), (0, 'I', chr(10) || 'user:', 2, 2), (1, 'I', chr(10) || 'user:', 2, 2), (2, 'I', chr(10) || 'assistant:', 3, 2), (3, 'I', chr(10) || 'user:', 2, 2),
+  (0, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3, 4), (1, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3, 4), (3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3, 4)) i(before, ins, made, state, c)"""
+_ACTS = """(VALUES (0, 'D', '', 0, 3), (1, 'D', '', 1, 3), (2, 'D', '', 2, 3), (3, 'D', '', 3, 3), (0, 'R', 'user', 2, 2), (1, 'R', 'user', 2, 2), (2, 'R', 'assistant', 3, 2), (3, 'R', 'user', 2, 2),
+  (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0)) a(before, act, new, state, c)"""
+
+OP13 = f"""
+WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_H13} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM d),
+f AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS was FROM n),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (was IS NOT NULL AND was[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+w(conv_id, i, state, cost, audit, lines) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', '' FROM conversations
+  UNION ALL SELECT conv_id, i, state, best[1].cost, best[1].audit, best[1].lines FROM (
+    SELECT w.conv_id, f.i, a.state, list({{'cost': w.cost + i.c + a.c + CASE WHEN fault = 'truncated' AND act <> 'D' THEN 1 ELSE 0 END, 'audit': w.audit || ins || act,
+      'lines': w.lines || made || CASE act WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || new || ':' || text END}} ORDER BY w.cost + i.c + a.c + CASE WHEN fault = 'truncated' AND act <> 'D' THEN 1 ELSE 0 END, w.audit || ins || act) AS best
+    FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN {_INSERTS} ON i.before = w.state JOIN {_ACTS} ON a.before = i.state
+    WHERE act = 'D' OR fault NOT IN ('blank', 'duplicate') AND (act = 'R' OR role[1] = new) GROUP BY w.conv_id, f.i, a.state)),
+e AS (SELECT w.conv_id, w.cost + i.c AS cost, audit || ins AS audit, lines || made AS lines FROM w LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id JOIN {_INSERTS} ON i.before = w.state WHERE w.i = coalesce(c.n, 0) AND i.state IN (0, 3) QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + i.c, audit || ins) = 1)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.cost, e.audit, sha256(substr(e.lines, 2)) AS repaired_sha256 FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+ORACLES = {"op3_source_mixing": OP3, "op7_quality_rules": OP7, "op8_near_duplicates": OP8, "op12_periodic_runs": OP12, "op13_conversation_repair": OP13}

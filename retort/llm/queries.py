@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import fingerprints, html_extract, mixing, near_dedup, oracles, packing, periodic, pii, quality, token_files, toxicity, warc
+from retort.llm import conversations, fingerprints, html_extract, mixing, near_dedup, oracles, packing, periodic, pii, quality, token_files, toxicity, warc
 from retort.llm.common import table, words
 
 
@@ -96,6 +96,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -108,5 +112,6 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_personal_data": op10_personal_data,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = oracles.ORACLES
