@@ -50,6 +50,17 @@ r(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOI
 k AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id"""
 
+#: Bytes are pairs of hexadecimal digits here.
+OP11 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - 99)) AS i FROM d WHERE length(x) >= 200)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, i) > 1),
+e AS (SELECT doc_id, i, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1) THEN 1 ELSE 0 END AS new FROM r),
+g AS (SELECT doc_id, min(i) AS f, max(i) + 100 AS t FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM e) GROUP BY doc_id, g),
+p AS (SELECT doc_id, f, t, coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY f), 0) AS since FROM g),
+k AS (SELECT p.doc_id, count(*) AS n_spans, CAST(sum(t - f) AS BIGINT) AS n_removed, string_agg(substr(x, 2 * since + 1, 2 * (f - since)), '' ORDER BY f) || substr(any_value(x), 2 * max(t) + 1) AS x FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, length(d.x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
 #: CRC-32 of an ASCII text as DuckDB lacks it: each character is mixed in, then eight shifts.
 _CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({0}, ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
   lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
@@ -92,4 +103,4 @@ w(conv_id, i, state, cost, audit, lines) AS (SELECT DISTINCT conv_id, CAST(0 AS
 e AS (SELECT w.conv_id, w.cost + i.c AS cost, audit || ins AS audit, lines || made AS lines FROM w LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id JOIN {_INSERTS} ON i.before = w.state WHERE w.i = coalesce(c.n, 0) AND i.state IN (0, 3) QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + i.c, audit || ins) = 1)
 SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.cost, e.audit, sha256(substr(e.lines, 2)) AS repaired_sha256 FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
-ORACLES = {"op3_source_mixing": OP3, "op7_quality_rules": OP7, "op8_near_duplicates": OP8, "op12_periodic_runs": OP12, "op13_conversation_repair": OP13}
+ORACLES = {"op3_source_mixing": OP3, "op7_quality_rules": OP7, "op8_near_duplicates": OP8, "op11_repeated_passages": OP11, "op12_periodic_runs": OP12, "op13_conversation_repair": OP13}

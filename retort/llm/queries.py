@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import conversations, fingerprints, html_extract, mixing, near_dedup, oracles, packing, periodic, pii, quality, token_files, toxicity, warc
+from retort.llm import conversations, fingerprints, html_extract, mixing, near_dedup, oracles, packing, periodic, pii, quality, substring_dedup, token_files, toxicity, warc
 from retort.llm.common import table, words
 
 
@@ -85,6 +85,13 @@ def _made_periodic(docs: DataFrame) -> DataFrame:
     return other.select("doc_id", "text").union(planned.select("doc_id", text))
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select(
+        "row.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.with_runs(_made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"])
     longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
@@ -111,6 +118,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_personal_data": op10_personal_data,
+    "op11_repeated_passages": op11_repeated_passages,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }
