@@ -5,12 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retort.functions.numbering import numbered
+
 #: Token types. Fixed values.
 END, START, REACTION, REACTANT = 0, 1, 2, 3
 
+#: Characters a token of the head that is searched first.
+HEAD_CHARS = 6
+
 
 def token_pattern(tokens: Sequence[str]) -> str:
     """Alternation of the tokens, longer ones before their beginnings."""
@@ -18,11 +23,18 @@ def token_pattern(tokens: Sequence[str]) -> str:
 
 
 def tokenize_smiles(smiles: Column, tokens: Sequence[str], most: int | None = None) -> Column:
-    """Token ids from 1 of a SMILES; characters outside the vocabulary are passed over; cut to ``most`` if given."""
-    found = F.regexp_extract_all(smiles, F.lit(token_pattern(tokens)), F.lit(1))
-    names = F.array(*[F.lit(t) for t in tokens])
-    ids = F.transform(found, lambda t: F.array_position(names, t).cast("int"))
-    return ids if most is None else F.slice(ids, 1, most)
+    """Token ids from 1 of a SMILES; characters outside the vocabulary are passed over; cut to ``most`` if given.
+
+    With a cut, the head of the text comes first; the whole text is searched where the head does not hold enough tokens (and some more, so
+    that the head's end cuts none of those that count).
+    """
+    pattern, names = F.lit(token_pattern(tokens)), F.array(*[F.lit(t) for t in tokens])
+    every = lambda text: F.regexp_extract_all(text, pattern, F.lit(1))
+    ids = lambda found: F.transform(found, lambda t: F.array_position(names, t).cast("int"))
+    if most is None:
+        return ids(every(smiles))
+    head = every(F.substring(smiles, 1, HEAD_CHARS * most))
+    return ids(F.slice(F.when(F.size(head) > most + max(map(len, tokens), default=0), head).otherwise(every(smiles)), 1, most))
 
 
 def route_arrays(steps: DataFrame) -> DataFrame:
@@ -86,12 +98,10 @@ def padded_matrix(rows: Column, height: int, width: int, fill: Column) -> Column
 
 
 def batches(df: DataFrame, n: int, order: str, drop_last: bool = False) -> DataFrame:
-    """``batch_id, rows``: consecutive rows in batches of ``n``, the rows as structs; numbering is by range of ``order``, not in one task."""
-    cuts = df.withColumn("_part", F.floor(F.col(order) / F.lit(100_000)))
-    sizes = cuts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before") - 1
-    numbered = cuts.join(sizes, "_part").withColumn("batch_id", F.floor(number / n))
-    out = numbered.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in df.columns if c != order]))).alias("rows"))
+    """``batch_id, rows``: consecutive rows in batches of ``n``, the rows as structs, null ``order`` first; numbers come from ranges of ``order``, each sorted by itself."""
+    placed = numbered(df, [], [order], "_number").withColumn("batch_id", F.floor(F.col("_number") / n))
+    rows = F.sort_array(F.collect_list(F.struct(order, F.col("_number"), *[c for c in df.columns if c != order])))
+    out = placed.groupBy("batch_id").agg(F.transform(rows, lambda r: r.dropFields("_number")).alias("rows"))
     return out.filter(F.size("rows") == n) if drop_last else out
 
 

@@ -37,8 +37,8 @@ def digests(df: DataFrame, csmiles: str = "csmiles") -> DataFrame:
 
 
 def first_of_each(df: DataFrame, key: str = "csmiles", seq: str = "mol_id") -> DataFrame:
-    """The first row of each key. Shuffles a digest rather than the key, which may be long."""
-    digest = F.md5(F.coalesce(F.col(key), F.lit("")))
+    """The first row of each key, null being one. Shuffles a digest rather than the key, which may be long."""
+    digest = F.coalesce(F.md5(F.col(key)), F.lit("null"))
     order = Window.partitionBy("_digest").orderBy(seq)
     return df.withColumn("_digest", digest).withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_digest", "_rank")
 
@@ -160,6 +160,72 @@ def graph_features(atoms: DataFrame, bonds: DataFrame, atom_features: Sequence[s
     )
 
 
+def _rings(ends: list[tuple[int, int]]) -> tuple[list[bool], int]:
+    """For each bond (two different atoms, no bond twice) whether it is in a ring, and the number of independent rings.
+
+    A bond is in a ring unless it is a bridge: unless no atom below it in a depth-first search leads above it by another bond.
+    """
+    around: dict[int, list[tuple[int, int]]] = {}
+    for i, (a, b) in enumerate(ends):
+        around.setdefault(a, []).append((b, i))
+        around.setdefault(b, []).append((a, i))
+    in_ring, seen, low, parts = [True] * len(ends), {}, {}, 0
+    for root in around:
+        if root in seen:
+            continue
+        parts += 1
+        seen[root] = low[root] = len(seen)
+        path = [(root, -1, iter(around[root]))]
+        while path:
+            atom, by, rest = path[-1]
+            for other, bond in rest:
+                if bond == by:
+                    continue
+                if other in seen:
+                    low[atom] = min(low[atom], seen[other])
+                else:
+                    seen[other] = low[other] = len(seen)
+                    path.append((other, bond, iter(around[other])))
+                    break
+            else:
+                path.pop()
+                if path:
+                    above = path[-1][0]
+                    low[above] = min(low[above], low[atom])
+                    in_ring[by] = low[atom] <= seen[above]
+    return in_ring, len(ends) - len(around) + parts
+
+
+def _with_rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_rings([(e["a"], e["b"]) for e in ends]) for ends in batch.column("ends").to_pylist()]
+        flags = [[{**e, "in_ring": f} for e, f in zip(ends, flags, strict=True)] for ends, (flags, _) in zip(batch.column("ends").to_pylist(), found, strict=True)]
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("in_ring", pa.bool_())]))
+        yield pa.RecordBatch.from_arrays([batch.column("mol_id"), pa.array(flags, kind), pa.array([n for _, n in found], pa.int64())], ["mol_id", "ends", "n_rings"])
+
+
+def rings(bonds: DataFrame) -> DataFrame:
+    """``mol_id, ends, n_rings`` from ``bonds (mol_id, a, b)``: the bonds of each molecule with a < b, each with its ``in_ring``, and the number of
+    independent rings. A bond given twice, or both ways, is one; one without two different atoms is none."""
+    pairs = bonds.filter("a <> b").select("mol_id", F.struct(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).alias("e"))
+    held = pairs.groupBy("mol_id").agg(F.sort_array(F.collect_set("e")).alias("ends"))
+    kind = dict(bonds.dtypes)["mol_id"]
+    return held.mapInArrow(_with_rings, f"mol_id {kind}, ends array<struct<a:bigint,b:bigint,in_ring:boolean>>, n_rings long")
+
+
+def ring_flags(bonds: DataFrame) -> DataFrame:
+    """``bonds`` with ``in_ring``, true for bonds that are part of a ring; null or equal ends give false."""
+    each = rings(bonds).select("mol_id", F.explode("ends").alias("e")).select(F.col("mol_id").alias("_m"), F.col("e.a").alias("_a"), F.col("e.b").alias("_b"), "e.in_ring")
+    same = F.col("mol_id").eqNullSafe(F.col("_m")) & (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b"))
+    return bonds.join(each, same, "left").select(*bonds.columns, F.coalesce("in_ring", F.lit(False)).alias("in_ring"))
+
+
+def with_ring_atoms(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """``atoms`` with ``in_ring`` from ``bonds`` that have it: an atom is in a ring if one of its bonds is."""
+    held = bonds.filter("in_ring").select("mol_id", F.explode(F.array("a", "b")).alias("atom_idx")).distinct().withColumn("in_ring", F.lit(True))
+    return atoms.join(held, ["mol_id", "atom_idx"], "left").na.fill(False, ["in_ring"])
+
+
 def element_one_hot(atomic_number: Column) -> Column:
     """One of nine element classes as 0/1 values; all 0 for an unknown element."""
     return F.array(*[F.when(atomic_number.isin(numbers), 1).otherwise(0) for numbers in ELEMENT_CLASSES.values()])

@@ -617,6 +617,51 @@ def graph_batches(spark, d):
     return out.select("mol_id", F.size("atoms").cast("long").alias("n_atoms"), pairs.cast("long").alias("n_pairs"), F.size("edge_features").cast("long").alias("n_edges"))
 
 
+RINGS_SQL = """bonds AS (SELECT l_orderkey AS m, least(l_linenumber, 1 + l_partkey % 7) AS a, greatest(l_linenumber, 1 + l_partkey % 7) AS b, min(1 + l_suppkey % 3) AS ord FROM lineitem WHERE l_linenumber <> 1 + l_partkey % 7 GROUP BY ALL),
+walk(m, a, b, v) AS (SELECT m, a, b, a FROM bonds UNION SELECT w.m, w.a, w.b, CASE WHEN e.a = w.v THEN e.b ELSE e.a END FROM walk w JOIN bonds e ON e.m = w.m AND (e.a = w.v OR e.b = w.v) AND NOT (e.a = w.a AND e.b = w.b)),
+ring AS (SELECT m, a, b, ord, bool_or(v = bonds.b) AS in_ring FROM walk JOIN bonds USING (m, a, b) GROUP BY ALL)"""
+
+
+def ring_bonds_of(spark, d):
+    """Each order a molecule: lines are atoms, each bound to one that its part names."""
+    ends = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").cast("long").alias("l"), (1 + F.col("l_partkey") % 7).alias("o"), (1 + F.col("l_suppkey") % 3).alias("order"))
+    return ends.filter("l <> o").groupBy("mol_id", F.least("l", "o").alias("a"), F.greatest("l", "o").alias("b")).agg(F.min("order").alias("order"))
+
+
+@query(f"WITH RECURSIVE {RINGS_SQL} SELECT m AS mol_id, a, b, ord, in_ring FROM ring")
+def ring_bonds(spark, d):
+    return molecules.ring_flags(ring_bonds_of(spark, d)).select("mol_id", "a", "b", F.col("order").alias("ord"), "in_ring")
+
+
+@query(f"""WITH RECURSIVE {RINGS_SQL}, ends AS (SELECT m, a AS v, in_ring FROM ring UNION ALL SELECT m, b, in_ring FROM ring), atoms AS (SELECT m, v, bool_or(in_ring) AS in_ring FROM ends GROUP BY ALL),
+reach(m, v, root) AS (SELECT m, v, v FROM atoms UNION SELECT e.m, CASE WHEN e.a = r.v THEN e.b ELSE e.a END, r.root FROM reach r JOIN bonds e ON e.m = r.m AND (e.a = r.v OR e.b = r.v)),
+parts AS (SELECT m, count(DISTINCT p) AS p FROM (SELECT m, v, min(root) AS p FROM reach GROUP BY m, v) GROUP BY m),
+x AS (SELECT m, count(*) AS n, count(*) FILTER (in_ring) AS ring_bonds FROM ring GROUP BY m), y AS (SELECT m, count(*) AS n, count(*) FILTER (in_ring) AS ring_atoms FROM atoms GROUP BY m)
+SELECT m AS mol_id, x.n - y.n + p AS n_rings, ring_bonds, ring_atoms FROM x JOIN y USING (m) JOIN parts USING (m)""")
+def ring_counts(spark, d):
+    found = molecules.rings(ring_bonds_of(spark, d))
+    ring = F.filter("ends", lambda e: e["in_ring"])
+    atoms = F.array_distinct(F.flatten(F.transform(ring, lambda e: F.array(e["a"], e["b"]))))
+    return found.select("mol_id", "n_rings", F.size(ring).cast("long").alias("ring_bonds"), F.size(atoms).cast("long").alias("ring_atoms"))
+
+
+@query(f"""WITH RECURSIVE {RINGS_SQL}, ways AS (SELECT m, a, b, ord, in_ring FROM ring UNION ALL SELECT m, b, a, ord, in_ring FROM ring),
+atoms AS (SELECT m, a AS v, 5 + a % 4 AS z, a % 3 - 1 AS charge, CAST(a % 2 = 0 AS INT) AS aromatic, count(*) AS degree, CAST(bool_or(in_ring) AS INT) AS in_ring FROM ways GROUP BY m, a),
+x AS (SELECT m, string_agg(z || ' ' || charge || ' ' || aromatic || ' ' || in_ring || ' ' || degree, ',' ORDER BY v) AS atoms FROM atoms GROUP BY m),
+y AS (SELECT m, string_agg(a || '-' || b || ' ' || ord || ' ' || CAST(ord = 2 AS INT) || ' ' || CAST(in_ring AS INT), ',' ORDER BY a, b) AS edges FROM ways GROUP BY m)
+SELECT m AS mol_id, atoms, edges FROM x JOIN y USING (m)""")
+def ring_graphs(spark, d):
+    """All values of a molecule's atoms and bonds, in-ring flags computed from the bonds."""
+    bonds = molecules.ring_flags(ring_bonds_of(spark, d)).withColumns({"aromatic": (F.col("order") == 2).cast("int"), "ring": F.col("in_ring").cast("int")})
+    a = F.col("atom_idx")
+    atoms = bonds.select("mol_id", F.explode(F.array("a", "b")).alias("atom_idx")).distinct().withColumns({"z": 5 + a % 4, "charge": a % 3 - 1, "aromatic": (a % 2 == 0).cast("int"), **{c: F.lit(0.0) for c in "xy"}}).withColumn("z_at", F.lit(0.0))
+    atoms = molecules.with_ring_atoms(atoms, bonds).withColumn("ring", F.col("in_ring").cast("int")).withColumnRenamed("z", "number").withColumnRenamed("z_at", "z")
+    g = molecules.graph_features(atoms, bonds, ["number", "charge", "aromatic", "ring"], ["order", "aromatic", "ring"])
+    listed = lambda values: F.array_join(F.transform(values, lambda x: x.cast("int").cast("string")), " ")
+    edges = F.zip_with("edges", "edge_features", lambda e, f: F.concat(e[0].cast("string"), F.lit("-"), e[1].cast("string"), F.lit(" "), listed(f)))
+    return g.select("mol_id", F.array_join(F.transform("atoms", listed), ",").alias("atoms"), F.array_join(edges, ",").alias("edges"))
+
+
 # --- voxels ---------------------------------------------------------------------------------------------------------
 
 GRID_SQL = "g AS (SELECT mol_id, e, CAST(round_even((x + 15) / 0.5, 0) AS INT) AS gx, CAST(round_even((y + 15) / 0.5, 0) AS INT) AS gy, CAST(round_even((z + 15) / 0.5, 0) AS INT) AS gz FROM atoms)"
