@@ -18,7 +18,16 @@ p AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS
   coalesce(CAST(sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, e * size + greatest(0, least(size, q - e * source_size - before)) AS taken FROM p"""
 
-_EACH = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS m, CAST({reach} AS DOUBLE) AS reach, CAST({part} + {more} AS DOUBLE) / ({whole} + {added}) AS v FROM c WHERE n_words > 0" for (m, (part, more, whole, added)), reach in zip(quality.SHARES.items(), quality.REACH.values(), strict=True))
+_EACH = " UNION ALL ".join(
+    f"SELECT doc_id, lang, source, '{m}' AS m, CAST({reach} AS DOUBLE) AS reach, CAST({part} AS DOUBLE) / {whole} AS v, CAST({whole} AS DOUBLE) / {unit} AS size FROM c WHERE n_words > 0"
+    for (m, (part, whole, unit)), reach in zip(quality.SHARES.items(), quality.REACH.values(), strict=True)
+)
+
+
+
+def _value(bucket: str) -> str:
+    return f"CASE WHEN {bucket} = {quality.ZERO} THEN 0 ELSE pow({quality.GROWTH}, {bucket}) END"
+
 
 OP7 = f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM documents),
@@ -28,14 +37,17 @@ cov AS (SELECT doc_id, CAST(sum(least(8, n)) AS BIGINT) AS n FROM (SELECT doc_id
 c AS (SELECT d.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
   len(regexp_extract_all(t, '[A-Z]{{2,}}')) AS n_shout, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id)),
 v AS ({_EACH}),
-k AS (SELECT lang, source, m, reach, CAST(ceil(ln(v) / {quality.math.log(quality.GROWTH)!r}) AS INT) AS b, count(*) AS n FROM v GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, m ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, m) AS alln FROM k),
-q AS (SELECT lang, source, m, reach, min(CASE WHEN upto >= 0.25 * alln THEN b END) AS low, min(CASE WHEN upto >= 0.5 * alln THEN b END) AS mid, CAST(max(alln) AS DOUBLE) AS n FROM u GROUP BY ALL),
-au AS (SELECT m, b, sum(n) OVER (PARTITION BY m ORDER BY b RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY m) AS alln FROM k),
-aq AS (SELECT m, min(CASE WHEN upto >= 0.25 * alln THEN b END) AS all_low, min(CASE WHEN upto >= 0.5 * alln THEN b END) AS all_mid FROM au GROUP BY m),
-pq AS (SELECT lang, source, m, reach, (n * low + {quality.PRIOR_ROWS} * all_low) / (n + {quality.PRIOR_ROWS}) AS low, (n * mid + {quality.PRIOR_ROWS} * all_mid) / (n + {quality.PRIOR_ROWS}) AS mid FROM q JOIN aq USING (m)),
-f AS (SELECT lang, source, m, pow({quality.GROWTH}, mid + reach * (mid - low)) AS fence FROM pq),
-o AS (SELECT DISTINCT v.doc_id FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.m = f.m WHERE v.v > fence),
+b AS (SELECT lang, source, m, reach, 'v' AS what, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / {quality.math.log(quality.GROWTH)!r}) AS INT) ELSE {quality.ZERO} END AS b FROM v UNION ALL SELECT lang, source, m, reach, 'size', CAST(ceil(ln(size) / {quality.math.log(quality.GROWTH)!r}) AS INT) FROM v),
+k AS (SELECT lang, source, m, reach, what, b, count(*) AS n FROM b GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, m, what ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, m, what) AS alln FROM k),
+q AS (SELECT lang, source, m, reach, what, min(CASE WHEN upto >= 0.25 * alln THEN b END) AS low, min(CASE WHEN upto >= 0.5 * alln THEN b END) AS mid, CAST(max(alln) AS DOUBLE) AS n FROM u GROUP BY ALL),
+au AS (SELECT m, what, b, sum(n) OVER (PARTITION BY m, what ORDER BY b RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY m, what) AS alln FROM k),
+aq AS (SELECT m, what, min(CASE WHEN upto >= 0.25 * alln THEN b END) AS all_low, min(CASE WHEN upto >= 0.5 * alln THEN b END) AS all_mid FROM au GROUP BY m, what),
+w AS (SELECT lang, source, m, reach, what, n, {_value("low")} AS low, {_value("mid")} AS mid, {_value("all_low")} AS all_low, {_value("all_mid")} AS all_mid FROM q JOIN aq USING (m, what)),
+pq AS (SELECT lang, source, m, reach, max((n * low + {quality.PRIOR_ROWS} * all_low) / (n + {quality.PRIOR_ROWS})) FILTER (what = 'v') AS low, max((n * mid + {quality.PRIOR_ROWS} * all_mid) / (n + {quality.PRIOR_ROWS})) FILTER (what = 'v') AS mid,
+  max((n * mid + {quality.PRIOR_ROWS} * all_mid) / (n + {quality.PRIOR_ROWS})) FILTER (what = 'size') AS size FROM w GROUP BY ALL),
+f AS (SELECT lang, source, m, greatest(mid + reach * (mid - low), pow(sqrt(mid * size) + {quality.ERRORS / 2}, 2) / size) AS fence FROM pq),
+o AS (SELECT DISTINCT v.doc_id FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.m = f.m WHERE pow(greatest(sqrt(v.v * v.size) - {quality.ERRORS / 2}, 0), 2) / v.size > fence),
 y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM o) AS kept FROM y"""
 

@@ -42,30 +42,102 @@ def test_clean_labels_stay_and_poor_ones_go(spark):
 
 
 def measures_frame(spark, rows):
-    return spark.createDataFrame(rows, "by_source string, n_words int, " + ", ".join(f"{m} double" for m in quality.SHARES))
+    """Rows of (source, rate of each measure, size of each measure)."""
+    names = [f"{m} double, {m}_size double" for m in quality.SHARES]
+    return spark.createDataFrame([(s, 30, *[v, float(size)] * 5) for s, v, size in rows], "by_source string, n_words int, " + ", ".join(names))
 
 
 def test_sketches_merge_and_bound_quantiles(spark):
-    frame = measures_frame(spark, [("s", 30, *[0.01 * i] * 5) for i in range(1, 1001)])
-    whole = {(r["measure"], r["bucket"]): r["count"] for r in quality.sketches(frame, ["by_source"]).collect()}
+    frame = measures_frame(spark, [("s", 0.01 * i, 100) for i in range(1, 1001)] + [("zero", 0.0, 7)] * 3)
+    whole = {(r["by_source"], r["measure"], r["bucket"]): r["count"] for r in quality.sketches(frame, ["by_source"]).collect()}
     parts = Counter()
     for part in frame.randomSplit([0.3, 0.7], 1):
-        parts.update({(r["measure"], r["bucket"]): r["count"] for r in quality.sketches(part, ["by_source"]).collect()})
+        parts.update({(r["by_source"], r["measure"], r["bucket"]): r["count"] for r in quality.sketches(part, ["by_source"]).collect()})
     assert whole == dict(parts)
     for r in quality.quantiles(quality.sketches(frame, ["by_source"]), ["by_source"]).collect():
-        assert r["rows"] == 1000 and 0.98 < quality.GROWTH ** r["low"] / 2.5 < 1.03 and 0.98 < quality.GROWTH ** r["mid"] / 5.0 < 1.03
+        if r["by_source"] == "zero":
+            assert r["rows"] == 3 and (0.98 < r["mid"] / 7 < 1.03 if r["measure"].endswith("_size") else r["mid"] == r["low"] == 0)
+        elif not r["measure"].endswith("_size"):
+            assert r["rows"] == 1000 and 0.98 < r["low"] / 2.5 < 1.03 and 0.98 < r["mid"] / 5.0 < 1.03
+
+
+def fences_of(spark, rows):
+    found = quality.fences(quality.sketches(measures_frame(spark, rows), ["by_source"]), ["by_source"]).collect()
+    return {r["by_source"]: {m: r[f"fence_{m}"] for m in quality.SHARES} for r in found}
 
 
 def test_fences_follow_the_groups(spark):
     """A group of values twice as large has fences twice as high, poor texts hardly move them, and small groups lean on the whole."""
-    rows = [(s, 30, *[scale * (1 + i / 2000)] * 5) for s, scale in (("a", 0.1), ("b", 0.2)) for i in range(2000)]
-    rows += [("c", 30, *[0.1 * (1 + i / 2000)] * 5) for i in range(2000)] + [("c", 30, *[5.0] * 5)] * 200 + [("d", 30, *[9.0] * 5)] * 2
-    found = {r["by_source"]: r for r in quality.fences(quality.sketches(measures_frame(spark, rows), ["by_source"]), ["by_source"]).collect()}
+    rows = [(s, scale * (1 + i / 2000), 100_000) for s, scale in (("a", 0.1), ("b", 0.2)) for i in range(2000)]
+    rows += [("c", 0.1 * (1 + i / 2000), 100_000) for i in range(2000)] + [("c", 5.0, 100_000)] * 200 + [("d", 9.0, 100_000)] * 2
+    found = fences_of(spark, rows)
     for m in quality.SHARES:
-        a, b, c, d = (found[s][f"fence_{m}"] for s in "abcd")
+        a, b, c, d = (found[s][m] for s in "abcd")
         assert 1.7 < b / a < 2.2 and 1.0 <= c / a < 1.5 and d < 9.0
 
 
+def test_equal_quartiles_leave_the_least_distance(spark):
+    """Quartile and median are equal: the fence is four sampling errors of a text of the median size above the median, for any size of the group."""
+    for rows in ([("s", 0.1, 400)] * 1000, [("s", 0.1, 400)], [("s", 0.0, 400)] * 1000):
+        rate, size = rows[0][1], 400
+        want = ((rate * size) ** 0.5 + 2) ** 2 / size
+        for fence in fences_of(spark, rows)["s"].values():
+            assert abs(fence / want - 1) < 0.05 and fence > rate
+
+
+def verdicts(spark, texts, lang="en", source="s"):
+    docs = spark.createDataFrame([(i, t, lang, source) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    return [r["kept"] for r in sorted(quality.judged(docs, ["doc_id"]).collect(), key=lambda r: r["row"]["doc_id"])]
+
+
+def test_groups_of_little_spread_keep_sound_texts(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    alike = ["\n".join(" ".join(word() for _ in range(8)) for _ in range(100)) for _ in range(300)]
+    assert sum(verdicts(spark, alike)) >= 0.98 * 300
+    short = [" ".join(word() for _ in range(24)) for _ in range(10)]
+    assert all(verdicts(spark, short)) and all(verdicts(spark, short + alike[:50])) and all(verdicts(spark, [alike[0]] * 40))
+    sizes = [" ".join(word() for _ in range(n)) for n in range(20, 3000, 60)]
+    assert all(verdicts(spark, sizes))
+
+
+def test_each_measure_rejects_what_is_beyond_its_fence(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda n=9: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, n)))
+    text = lambda n=160, w=9: "\n".join(" ".join(word(w) for _ in range(8)) for _ in range(n // 8))
+    line = " ".join(word() for _ in range(6))
+    clean = [text() for _ in range(200)]
+    poor = {
+        "symbol_share": text() + " # $ % & |" * 30, "dup_line_share": text(60) + "\n" + "\n".join(f"{line} {word()}" if i % 2 else "so be it" for i in range(160)),
+        "repeat_share": text(1200) + (" " + text(40)) * 9, "word_length": text(400, 40), "shout_share": " ".join(word().upper() for _ in range(300)),
+    }
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*clean, *poor.values()])], "doc_id long, text string, lang string, source string")
+    measures = quality.measured(docs, ["doc_id"])
+    fence = quality.fences(quality.sketches(measures, ["by_source"]), ["by_source"]).first()
+    rows = {r["row"]["doc_id"]: r for r in measures.select("row", *[quality.surely(m).alias(f"{m}_surely") for m in quality.SHARES]).collect()}
+    for i, m in enumerate(poor):
+        assert rows[200 + i][f"{m}_surely"] > fence[f"fence_{m}"], m
+    verdict = [r["kept"] for r in sorted(quality.judged(docs, ["doc_id"]).collect(), key=lambda r: r["row"]["doc_id"])]
+    assert sum(verdict[:200]) >= 198 and not any(verdict[200:])
+
+
+def test_sources_with_symbols_or_without_spaces_keep_their_texts(spark):
+    import random
+
+    rng = random.Random(9)
+    code = lambda: "\n".join(f"if (x{rng.randint(0, 99)} > {rng.randint(0, 99)}) {{ y &= z{rng.randint(0, 999)} | {rng.randint(0, 9999)}; }} # {rng.random()}" for _ in range(rng.randint(5, 60)))
+    dense = lambda: " ".join("".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(rng.randint(20, 60))) for _ in range(rng.randint(20, 90)))
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(30, 300)))
+    rows = [(k * 1000 + i, make(), lang, s) for k, (make, lang, s) in enumerate([(code, "en", "code"), (dense, "zh", "web"), (prose, "en", "web")]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = Counter(r["row"]["doc_id"] // 1000 for r in quality.judged(docs, ["doc_id"]).filter("kept").collect())
+    assert all(kept[k] >= 294 for k in range(3))
+
+
 def test_fences_of_documents_differ(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     keys = ["by_lang", "by_source"]
