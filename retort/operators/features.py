@@ -14,7 +14,7 @@ from retort.functions.numbering import numbered
 END, START, REACTION, REACTANT = 0, 1, 2, 3
 
 #: Characters a token of the head that is searched first.
-HEAD_CHARS = 6
+HEAD_CHARS = 3
 
 
 def token_pattern(tokens: Sequence[str]) -> str:
@@ -33,8 +33,9 @@ def tokenize_smiles(smiles: Column, tokens: Sequence[str], most: int | None = No
     ids = lambda found: F.transform(found, lambda t: F.array_position(names, t).cast("int"))
     if most is None:
         return ids(every(smiles))
-    head = every(F.substring(smiles, 1, HEAD_CHARS * most))
-    return ids(F.slice(F.when(F.size(head) > most + max(map(len, tokens), default=0), head).otherwise(every(smiles)), 1, most))
+    enough = most + max(map(len, tokens), default=0)
+    found = F.transform(F.array(every(F.substring(smiles, 1, HEAD_CHARS * most))), lambda head: F.slice(F.when(F.size(head) > enough, head).otherwise(every(smiles)), 1, most))
+    return ids(F.get(found, F.lit(0)))
 
 
 def route_arrays(steps: DataFrame) -> DataFrame:
