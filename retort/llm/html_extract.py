@@ -1,14 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
-Text nodes are grouped by their path of tags from the root. Each path gets two ratios: text length to number of nodes, and
-text length with punctuation to number of nodes. Both are spread over the nodes in page order, smoothed, and fused into one
-score; a path's score is the geometric mean of what it has by itself and of what its neighbourhood has, times a weight. The
-weight is a feature like the others: links lower it, and so do elements that name themselves as something else (menus, page
-headers and footers, sidebars, notices, adverts, forms, reader comments), unless they wrap the page.
-
-Two thresholds, relative to the score that the page's text has on the average (each by its weight), select: paths above ``STRONG`` are content, and
-the innermost element that holds nearly all of their text is the article. Of the blocks in it, those stay whose text lies on
-paths above ``WEAK`` on the average, so that headings, list items and captions stay with their article.
+Text nodes are grouped by their path of block tags from the root. For each path the length of its text and its punctuation are added up, and
+two ratios taken, each the geometric mean of what the path has a node and of what it has in all: a path of many full nodes is high,
+one of many short nodes (links) or of a single one (a page footer) is low. Both ratios are spread over the nodes in page order, smoothed,
+and fused into one score; a path's score is the geometric mean of what it has by itself (twice) and of what its neighbourhood has, times a
+weight. The weight is bounded: links lower it, and so do holders (not paragraphs, headings or quotes) that name themselves as something else
+(menus, page headers and footers, sidebars, notices, adverts, forms, and most of all reader comments), unless they wrap the page. Between
+``LEAST`` and 1, it is no veto: a lowered path of as much text as the others is still content.
+
+Paths above ``STRONG`` times the average score of the page's text that nothing lowers are content; the innermost element that holds nearly all of
+their text is the article. In it, all blocks stay but those of lowered paths that are not content themselves, so that headings, list
+items, captions and short paragraphs stay with their article. A page of less than ``SHORT`` characters has too little text for ratios to
+tell anything; there an ``article`` or ``main`` element, if there is one, is the article.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; unclosed and crossed tags are closed as
 browsers do for paragraphs, list items and table cells, other open elements end with their parent; what is not shown (scripts,
@@ -59,19 +62,28 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 #: An element without text, one that is surely not the article's text, and one that is not unless it wraps the page.
 _NOTHING, _SURE, _LIKELY = 3, 2, 1
-#: Weight of paths through elements that name themselves as something else.
-ASIDE_WEIGHT = 0.001
-#: Scores, as shares of the page's average, from which paths are content, and from which blocks of the article stay.
-STRONG, WEAK = 0.25, 0.005
+#: Weights of paths through holders that name themselves as something else, and as reader comments; the latter is the least of all weights.
+ASIDE_WEIGHT, LEAST = 0.25, 0.1
+#: By how much a block that is all links lies below one without.
+LINKS_LOWER = 0.75
+#: Score, as a share of the page's average, from which paths are content.
+STRONG = 0.24
+#: Weight from which a block of the article stays whatever its score.
+PLAIN = 0.9
 #: Share of the text of content paths that the article holds.
 HELD = 0.95
+#: Characters of text that ratios need.
+SHORT = 800
+#: Elements of running text; what they call themselves says nothing against them.
+_TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"}
+_COMMENTS = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|discussions?|replies|reply|respond|responses|disqus)(?:$|[-_\s])", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "name", "parent", "veto", "aside", "number", "depth", "in_link", "in_article")
+    __slots__ = ("tag", "name", "parent", "veto", "aside", "comment", "number", "depth", "in_link", "in_article")
 
-    def __init__(self, tag: str, name: str, parent: _Element | None, veto: int, number: int):
-        self.tag, self.name, self.parent, self.veto, self.number, self.aside = tag, name, parent, veto, number, False
+    def __init__(self, tag: str, name: str, parent: _Element | None, veto: int, number: int, comment: bool = False):
+        self.tag, self.name, self.parent, self.veto, self.number, self.aside, self.comment = tag, name, parent, veto, number, False, comment
         self.depth = parent.depth + 1 if parent else 0
         self.in_link = tag == "a" or parent is not None and parent.in_link
         self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
@@ -94,7 +106,7 @@ def _veto(tag: str, attributes: str, parent: _Element) -> int:
             return _NOTHING
         if key == "role" and value.lower() in _ROLES and not (found and value.lower() == "form"):
             return _SURE
-        if key in ("class", "id") and tag not in _HEADINGS and _NAMES.search(value):
+        if key in ("class", "id") and tag not in _TEXT_TAGS and _NAMES.search(value):
             found = _LIKELY
     return found
 
@@ -118,10 +130,11 @@ def _set_aside(nodes: list[tuple[str, _Element, int]], elements: list[_Element])
         articles[e.parent.number] += articles[e.number]
     for e in elements[1:]:
         wrapper = e.veto == _LIKELY and 2 * own[e.number] >= own[0] and (articles[e.number] > 0 or 10 * free < own[e.number])
+        e.comment = e.parent.comment or e.comment and e.veto > 0 and not wrapper
         e.aside = e.parent.aside or e.veto > 0 and not wrapper
     if own[0] and all(e.aside or not raw.strip() for raw, e, _ in nodes):  # nothing but likely vetoes: none of them counts
         for e in elements[1:]:
-            e.aside = sure[e.number]
+            e.aside, e.comment = sure[e.number], False
 
 
 def text_nodes(page: str) -> tuple[list[tuple[str, _Element, int]], list[_Element]]:
@@ -183,7 +196,8 @@ def text_nodes(page: str) -> tuple[list[tuple[str, _Element, int]], list[_Elemen
             continue
         kind = re.search(r"""class\s*=\s*["']?\s*([-\w]+)""", attributes) if "class" in attributes else None
         veto = _NOTHING if here.veto == _NOTHING else _veto(tag, attributes, here)
-        here = _Element(tag, f"{tag}.{kind[1]}" if kind else tag, here, veto, len(elements))
+        comment = veto == _LIKELY and any(_COMMENTS.search(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
+        here = _Element(tag, f"{tag}.{kind[1]}" if kind else tag, here, veto, len(elements), comment)
         open_tags[tag] += 1
         elements.append(here)
     _set_aside(nodes, elements)
@@ -201,28 +215,39 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
 
 def path_scores(which: np.ndarray, lengths: np.ndarray, marks: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The score of each path from the path, text length, punctuation marks and weight of each text node, in page order."""
-    count = np.bincount(which)
-    text_ratio = np.bincount(which, weights=lengths) / count
-    mark_ratio = np.bincount(which, weights=lengths * np.sqrt(marks)) / count
-    fused = np.sqrt(_smoothed(text_ratio[which]) * (1 + _smoothed(mark_ratio[which])))
-    own = np.sqrt(text_ratio * (1 + mark_ratio))
-    weight = np.bincount(which, weights=lengths * weights) / np.bincount(which, weights=lengths)
-    return np.sqrt(np.bincount(which, weights=fused) / count * own) * weight
+    count, text, mark = np.bincount(which), np.bincount(which, weights=lengths), np.bincount(which, weights=marks)
+    text_ratio = text / np.sqrt(count)  # the geometric mean of text and of text a node
+    mark_ratio = mark / np.sqrt(count)
+    fused = _smoothed(text_ratio[which]) * np.sqrt(1 + _smoothed(mark_ratio[which]))
+    own = text_ratio * np.sqrt(1 + mark_ratio)
+    weight = np.bincount(which, weights=lengths * weights) / text
+    return np.cbrt(np.bincount(which, weights=fused) / count * own * own) * weight
 
 
 def _article(elements: list[_Element], nodes: list, strong: np.ndarray, lengths: np.ndarray) -> _Element:
-    """The innermost element that holds nearly all strong text, or the article or main element round it."""
+    """The innermost element that holds nearly all strong text, or the article or main element round it; in a short page such an element if there is one."""
     held = np.zeros(len(elements))
-    np.add.at(held, [e.number for _, e, _ in nodes], np.where(strong, lengths, 0.0))
+    short = lengths.sum() < SHORT
+    np.add.at(held, [e.number for _, e, _ in nodes], lengths if short else np.where(strong, lengths, 0.0))
     whole = held.sum()
     for e in reversed(elements[1:]):
         held[e.parent.number] += held[e.number]
+    named = [e for e in elements if e.tag in ("article", "main") and not e.aside and held[e.number] > 0]
+    if short and named:
+        return max(named, key=lambda e: (held[e.number], e.depth))
     found = max((e for e in elements if held[e.number] >= HELD * whole and e.tag not in _INLINE and e.tag != "p"), key=lambda e: e.depth)
     while found.in_article and found.tag not in ("article", "main"):
         found = found.parent
     return found
 
 
+def _block_tag(e: _Element) -> str:
+    """Tag of the innermost element round a text that is not inline."""
+    while e.tag in _INLINE and e.parent is not None:
+        e = e.parent
+    return e.tag
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: blocks joined by one space."""
     if not page:
@@ -232,25 +257,31 @@ def main_text(page: str | None) -> str:
     nodes = [(t, e, b) for t, e, b in every if t.strip()]
     if not nodes:
         return ""
-    # paths by number; elements come after their parents
+    # paths by number; elements come after their parents, and inline ones add nothing to the path
     numbers: dict[tuple[int, str, bool], int] = {}
     path_of = [-1] * len(elements)
     for e in elements[1:]:
-        key = (path_of[e.parent.number], e.name, e.aside)
-        path_of[e.number] = numbers.setdefault(key, len(numbers))
+        above = path_of[e.parent.number]
+        path_of[e.number] = above if e.tag in _INLINE and above >= 0 else numbers.setdefault((above, e.name, e.aside), len(numbers))
     lengths = np.array([len(_SPACE.sub(" ", t).strip()) for t, _, _ in nodes], dtype=np.float64)
     marks = np.array([len(_PUNCTUATION.findall(t)) for t, _, _ in nodes], dtype=np.float64)
     blocks = np.array([b for _, _, b in nodes])
     text_in, link_in = (np.bincount(blocks, weights=x) for x in (lengths, lengths * [e.in_link for _, e, _ in nodes]))
-    weights = np.where([e.aside for _, e, _ in nodes], ASIDE_WEIGHT, 1.0) * (1 - (link_in[blocks] / text_in[blocks]) ** 2)
+    named = np.array([LEAST if e.comment else ASIDE_WEIGHT if e.aside else 1.0 for _, e, _ in nodes])
+    linked = 1 - LINKS_LOWER * (link_in[blocks] / text_in[blocks]) ** 2
+    weights = np.maximum(named * linked, LEAST)
     _, which = np.unique([path_of[e.number] for _, e, _ in nodes], return_inverse=True)
     scores = path_scores(which, lengths, marks, weights)[which]
-    average = (scores * lengths * weights).sum() / max((lengths * weights).sum(), 1e-9)  # of the text that may be the article's
-    article = _article(elements, nodes, scores >= STRONG * average, lengths)
+    counts = lengths * (weights >= PLAIN) if (weights >= PLAIN).any() else lengths  # the average is that of the text that nothing speaks against
+    average = (scores * counts).sum() / counts.sum()
+    strong = scores >= STRONG * average
+    article = _article(elements, nodes, strong, lengths)
     inside = [e is article for e in elements]
     for e in elements[1:]:
         inside[e.number] = inside[e.number] or inside[e.parent.number]
-    good = np.bincount(blocks, weights=scores * lengths) >= WEAK * average * text_in
+    running = [_block_tag(e) in _TEXT_TAGS for _, e, _ in nodes]
+    stays = strong | (np.where(running, named, weights) >= PLAIN)
+    good = 2 * np.bincount(blocks, weights=lengths * stays) >= text_in
     texts: dict[int, list[str]] = {}
     for t, e, b in every:
         if inside[e.number] and b < len(good) and text_in[b] and good[b]:

@@ -77,23 +77,50 @@ def test_wrappers_that_mention_a_part_are_kept():
 def test_path_scores_against_plain_sums():
     which, lengths, marks, weights = [0, 1, 1, 0, 2, 1, 3], [5, 300, 4, 12, 60, 200, 33], [0, 9, 1, 0, 4, 5, 1], [1, 1, 1, 0.5, 0.001, 1, 1]
     paths, n = sorted(set(which)), len(which)
-    mean = lambda p, values: sum(v for w, v in zip(which, values, strict=True) if w == p) / which.count(p)
-    text, mark = ({p: mean(p, values) for p in paths} for values in (lengths, [a * math.sqrt(b) for a, b in zip(lengths, marks, strict=True)]))
+    total = lambda p, values: sum(v for w, v in zip(which, values, strict=True) if w == p)
+    mean = lambda p, values: total(p, values) / which.count(p)
+    text, mark = ({p: math.sqrt(total(p, values) * mean(p, values)) for p in paths} for values in (lengths, marks))
     kernel = [math.exp(-0.5 * k * k) for k in range(-2, 3)]
     smooth = lambda of, i: sum(w * of[which[min(max(i + k, 0), n - 1)]] for w, k in zip(kernel, range(-2, 3), strict=True)) / sum(kernel)
-    near = [math.sqrt(smooth(text, i) * (1 + smooth(mark, i))) for i in range(n)]
+    near = [smooth(text, i) * math.sqrt(1 + smooth(mark, i)) for i in range(n)]
     weight = {p: mean(p, [a * b for a, b in zip(lengths, weights, strict=True)]) / mean(p, lengths) for p in paths}
-    want = [math.sqrt(mean(p, near) * math.sqrt(text[p] * (1 + mark[p]))) * weight[p] for p in paths]
+    want = [math.cbrt(mean(p, near) * (text[p] * math.sqrt(1 + mark[p])) ** 2) * weight[p] for p in paths]
     assert np.allclose(path_scores(np.array(which), np.array(lengths, float), np.array(marks, float), np.array(weights)), want)
 
 
-def test_scores_choose_the_text(spark, sf_small, monkeypatch):
-    pages = [r[0] for r in spark.read.parquet(f"{sf_small}/pages.parquet").select("html").collect()]
+def weights_alone(which, lengths, marks, weights):
+    """A path's score where all ratios are equal."""
+    return np.bincount(which, weights=lengths * weights) / np.bincount(which, weights=lengths)
+
+
+def test_ratios_choose_the_text(spark, monkeypatch):
+    """With all text and mark ratios equal, and only the weights of names and links kept, most pages come out otherwise."""
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
     right = [main_text(p) for p in pages]
-    scores = html_extract.path_scores
-    for other, least in ((lambda *a: scores(*a)[::-1], 0.9), (lambda *a: np.ones_like(scores(*a)), 0.5)):
-        monkeypatch.setattr(html_extract, "path_scores", other)
-        assert sum(main_text(p) != t for p, t in zip(pages, right, strict=True)) > least * len(pages)
+    monkeypatch.setattr(html_extract, "path_scores", weights_alone)
+    other = [main_text(p) for p in pages]
+    assert sum(a != b for a, b in zip(other, right, strict=True)) > 0.5 * len(pages)
+    assert all(len(a) >= len(b) for a, b in zip(other, right, strict=True))
+
+
+def test_weights_are_bounded():
+    """A lowered path of enough text is content: names and links are no veto."""
+    story = "".join(f"<p>Paragraph {i}, in full, with a stop at its end. {MORE}</p>" for i in range(10))
+    page = f"<html><body><div class=intro><p>Short lead, here.</p></div><div class=social>{story}</div><div class=x><p>{MORE}</p><p>{MORE}</p></div></body></html>"
+    assert "Paragraph 9" in main_text(page)
+
+
+@pytest.mark.parametrize("name", ["related", "popular", "legal", "tags", "notice"])
+def test_paragraphs_of_the_article_stay_whatever_they_are_called(name):
+    page = f"<html><body><nav><a href=1>one</a></nav><article><h1>T</h1><p>{LONG}</p><p class='{name}'>Of the piece, and short.</p><h2 class={name}>Head</h2><p>{LONG * 3}</p></article><footer>(c)</footer></body></html>"
+    assert main_text(page) == joined("T", LONG, "Of the piece, and short.", "Head", LONG * 3)
+    inner = f"<article><h1>T</h1><p>{LONG * 4}</p><div class=related><a href=1>See this</a> <a href=2>and this</a></div><aside>Buy it now.</aside><p>{MORE}</p></article>"
+    assert main_text(f"<html><body>{inner}<footer>(c)</footer></body></html>") == joined("T", LONG * 4, MORE)
+
+
+def test_short_pages_go_by_their_article_element():
+    page = "<html><body><div class=ad>An advert that is longer than all the rest, by far.</div><article><h1>T</h1><p>Hi.</p></article><footer>Some words, and more of them, at the foot of it.</footer></body></html>"
+    assert main_text(page) == "T Hi."
 
 
 @pytest.mark.parametrize("n", [2, 5, 20])

@@ -108,7 +108,7 @@ def test_each_measure_rejects_what_is_beyond_its_fence(spark):
 
     rng = random.Random(8)
     word = lambda n=9: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, n)))
-    text = lambda n=160, w=9: "\n".join(" ".join(word(w) for _ in range(8)) for _ in range(n // 8))
+    text = lambda n=480, w=9: "\n".join(" ".join(word(w) for _ in range(8)) for _ in range(n // 8))
     line = " ".join(word() for _ in range(6))
     clean = [text() for _ in range(200)]
     poor = {
