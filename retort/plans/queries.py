@@ -872,6 +872,23 @@ def streamed_fingerprints(spark, d):
     return _streamed(spark, d, "events", start, lambda out: spark.read.parquet(out).select("mol_id", "slot", "value"))
 
 
+@query(f"{HIST_SQL} SELECT mol_id, slot * 40 + bin AS slot, count(*) % 256 AS value FROM binned GROUP BY ALL HAVING count(*) % 256 <> 0")
+def gathered_fingerprints(spark, d):
+    """Every molecule's points arrive in three parts, each in a run of its own that goes on from the last one's state."""
+    import uuid
+
+    from retort.functions.lineage import shared_folder
+    from retort.streaming import jobs
+
+    root = f"{shared_folder(spark)}/retort-{uuid.uuid4().hex}"
+    points = _points_of(_t(spark, d, "events"))
+    points = points.join(points.groupBy("mol_id").agg(F.count("*").alias("n_points")), "mol_id")
+    for part in range(3):
+        points.filter((F.col("mol_id") * 20 + F.col("point_no")) % 3 == part).write.mode("append").parquet(f"{root}/in")
+        jobs.gathered_fingerprint_stream(jobs.arriving(spark, f"{root}/in", points.schema), f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("mol_id", "slot", "value")
+
+
 @query("SELECT o_custkey AS target, o_orderkey AS smiles, o_totalprice AS score FROM orders")
 def appended_results(spark, d):
     from retort.streaming import jobs

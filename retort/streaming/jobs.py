@@ -1,13 +1,15 @@
-"""Incremental, restartable jobs over arriving files: what streams is the arrival of work, there is no event time."""
+"""Incremental, restartable jobs over arriving files: what streams is the arrival of work."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from retort.operators.fingerprints import ph4_histogram_fp
 from retort.operators.reactions import reaction_matrix
@@ -28,8 +30,88 @@ def append_each(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path:
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: The state store of jobs whose state grows with the catalogue: on disk, with only changes written to the checkpoint of each batch.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def with_rocksdb(stream: DataFrame, batches_without_data: bool) -> DataFrame:
+    """``stream``, after the session was told to keep the state of queries in RocksDB, and whether batches without data may run to let go of state.
+
+    A query takes these settings when it starts.
+    """
+    for key, value in {**ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(batches_without_data).lower()}.items():
+        stream.sparkSession.conf.set(key, value)
+    return stream
+
+
+class Gathering(StatefulProcessor):
+    """Rows of a key, held over batches until there are as many as the column ``expected`` of any of them says; ``complete`` is true then.
+
+    A key that is not complete ``wait_ms`` after its last rows is given out as it is, with ``complete`` false, and forgotten.
+    """
+
+    def __init__(self, schema: StructType, expected: str, wait_ms: int):
+        self.schema, self.expected, self.wait_ms = schema, expected, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = list(self.rows.get())
+        new = [tuple(r) for frame in rows for r in frame[self.schema.names].astype(object).where(lambda f: f.notna(), None).itertuples(index=False)]
+        at = self.schema.names.index(self.expected)
+        wanted = max((int(r[at]) for r in [*held, *new] if r[at] is not None), default=None)
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if wanted is not None and len(held) + len(new) >= wanted:
+            self.rows.clear()
+            yield self._given([*held, *new], True)
+        else:
+            self.rows.appendList(new)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = list(self.rows.get())
+        self.rows.clear()
+        if held:
+            yield self._given(held, False)
+
+    def _given(self, rows: list[tuple], complete: bool) -> pd.DataFrame:
+        out = pd.DataFrame([tuple(r) for r in rows], columns=self.schema.names)
+        out["complete"] = complete
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def gathered(stream: DataFrame, key: str, expected: str, wait_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """Rows of ``stream`` once all of their key have arrived, with ``complete``; ``expected`` is the column with the number of a key's rows.
+
+    State is kept in RocksDB, a list for each open key. A key's rows should fit a task, as those of one molecule do; a key that goes on after it
+    was given out starts anew. Null keys are one key.
+    """
+    out = StructType([*stream.schema.fields, StructField("complete", BooleanType())])
+    # timers go off in batches that have data: a job that runs to the end of its input would else go on for as long as any timer is set
+    keyed = with_rocksdb(stream, False).groupBy(key)
+    return keyed.transformWithStateInPandas(Gathering(stream.schema, expected, wait_ms), out, outputMode="append", timeMode="processingTime")
+
+
+def gathered_fingerprint_stream(points: DataFrame, path: str, checkpoint: str, wait_ms: int = 7 * 24 * 3600 * 1000) -> StreamingQuery:
+    """Pharmacophore fingerprints of molecules whose points arrive in parts, over any number of batches; ``n_points`` says how many a molecule has.
+
+    Molecules that stay incomplete get no fingerprint.
+    """
+    whole = gathered(points, "mol_id", "n_points", wait_ms).filter("complete").drop("complete", "n_points")
+    return append_each(whole, ph4_histogram_fp, path, checkpoint)
+
+
 def fingerprint_stream(points: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Pharmacophore fingerprints of molecules as their points arrive; a molecule's points arrive together."""
+    """Pharmacophore fingerprints of molecules as their points arrive; a molecule's points arrive together (``gathered_fingerprint_stream`` needs not)."""
     return append_each(points, ph4_histogram_fp, path, checkpoint)
 
 
@@ -43,10 +125,15 @@ def merged_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("reactant_id", "rxn_id").agg(F.bit_or("flag").alias("flag"))
 
 
-def distinct_stream(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
-    """First arrivals of each key; the state holds digests. It grows with the number of keys, for which the RocksDB state store is meant."""
-    keyed = stream.withColumn("_digest", F.md5(F.col(key))).dropDuplicates(["_digest"]).drop("_digest")
-    return keyed.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def distinct_stream(stream: DataFrame, key: str, path: str, checkpoint: str, time: str | None = None, within: str = "7 days") -> StreamingQuery:
+    """First arrivals of each key. The state holds digests, in RocksDB, and grows with the number of keys.
+
+    With a ``time`` column the state is bounded: a key is remembered for ``within`` after the watermark of its first arrival, and what comes later than
+    that is not compared with it.
+    """
+    keyed = with_rocksdb(stream, True).withColumn("_digest", F.coalesce(F.md5(F.col(key)), F.lit("null")))
+    once = keyed.withWatermark(time, within).dropDuplicatesWithinWatermark(["_digest"]) if time else keyed.dropDuplicates(["_digest"])
+    return once.drop("_digest").writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_results(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
