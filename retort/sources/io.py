@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from retort.sources import ranges
+
 
 def read_csv_molecules(spark: SparkSession, path: str, smiles_col: str | None = None) -> DataFrame:
     """Molecules from CSV: the given column, else ``smiles``, else ``SMILES``; other columns stay."""
@@ -101,15 +103,57 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[["mol_id", "file", "seq", *names]]
 
 
+_RECORDS = "mol_id long, file string, start long, reason string, record string, name string, elements array<string>, x array<double>, y array<double>, z array<double>, charges array<int>, a array<int>, b array<int>, orders array<int>, properties map<string,string>"
+
+
+def _read_or_rejected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["name", "elements", "x", "y", "z", "charges", "a", "b", "orders", "properties"]
+    for rows in batches:
+        read = [_parsed_record(v) if v.strip() else None for v in rows["record"]]
+        out = pd.DataFrame([x or (None,) * len(names) for x in read], columns=names)
+        out["reason"] = [None if x else _why(v) for x, v in zip(read, rows["record"], strict=True)]
+        out["record"] = [None if x else v for x, v in zip(read, rows["record"], strict=True)]
+        for c in ("mol_id", "file", "start"):
+            out[c] = rows[c].to_list()
+        yield out[["mol_id", "file", "start", "reason", "record", *names]]
+
+
+def _why(record: str) -> str:
+    """Why a record cannot be read."""
+    lines = record.splitlines()
+    if len(lines) < 4:
+        return "no counts line"
+    if not lines[3][0:3].strip().isdigit() or not lines[3][3:6].strip().isdigit():
+        return "unreadable counts line"
+    return "unreadable or missing atom or bond lines"
+
+
+def read_sdf_ranges(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Molecules (``mol_id, file, start, name, properties``), atoms, bonds, and rejects (``file, start, reason, record``) of SDF files, read by byte ranges.
+
+    ``start`` is the place of a record in its file. Only a whole line ``$$$$`` ends a record.
+    """
+    given = ranges.read_records(spark, path, "sdf", range_bytes).withColumn("mol_id", F.monotonically_increasing_id())
+    every = given.mapInPandas(_read_or_rejected, _RECORDS)
+    records = every.filter("reason is null")
+    atoms, bonds = _atoms_and_bonds(records)
+    return records.select("mol_id", "file", "start", "name", "properties"), atoms, bonds, every.filter("reason is not null").select("file", "start", "reason", "record")
+
+
+def _atoms_and_bonds(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    zipped = F.arrays_zip("elements", "x", "y", "z", "charges")
+    atoms = records.select("mol_id", F.posexplode(zipped).alias("atom_idx", "t")).select("mol_id", "atom_idx", F.col("t.elements").alias("element"), "t.x", "t.y", "t.z", F.col("t.charges").alias("charge"))
+    bonds = records.select("mol_id", F.explode(F.arrays_zip("a", "b", "orders")).alias("t")).select("mol_id", "t.a", "t.b", F.col("t.orders").alias("order"))
+    return atoms, bonds
+
+
 def read_sdf(spark: SparkSession, path: str, without_hydrogens: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Molecules (``mol_id, file, seq, name, properties``), atoms and bonds of V2000 records, which end in ``$$$$``; unreadable ones are left out.
 
     ``mol_id`` is a record's own, also of equal records, and ``seq`` sorts the records of a file in its order. Lines may end in CRLF.
     """
     records = _placed(spark.read.text(path, lineSep="$$$$")).mapInPandas(_records, _SDF)
-    zipped = F.arrays_zip("elements", "x", "y", "z", "charges")
-    atoms = records.select("mol_id", F.posexplode(zipped).alias("atom_idx", "t")).select("mol_id", "atom_idx", F.col("t.elements").alias("element"), "t.x", "t.y", "t.z", F.col("t.charges").alias("charge"))
-    bonds = records.select("mol_id", F.explode(F.arrays_zip("a", "b", "orders")).alias("t")).select("mol_id", "t.a", "t.b", F.col("t.orders").alias("order"))
+    atoms, bonds = _atoms_and_bonds(records)
     if without_hydrogens:
         heavy = atoms.filter("element != 'H'")
         ends = heavy.select("mol_id", F.col("atom_idx").alias("i"))
