@@ -70,3 +70,64 @@ def test_least_bytes_and_empty(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     assert got(warc.round_trip(pages, 3)) == plain([(1, "ab"), (2, "ab"), (3, "abcd"), (4, "abcd")], 3)
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def member(text, level=9):
+    import zlib
+
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packer.compress(text) + packer.flush()
+
+
+def foreign(kind, block, *lines, version="WARC/1.0"):
+    head = [version, f"warc-type: {kind}", f"WARC-RECORD-ID: <urn:uuid:{kind}>", *lines, f"content-length:{len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def read_all(spark, path, split):
+    files = spark.createDataFrame([(str(path), path.stat().st_size)], "path string, bytes long")
+    return warc.read_archives(files, split).collect()
+
+
+def archive(level):
+    """All kinds of records, and an archive as a payload, whose members lie open inside if nothing is compressed."""
+    nested = b"".join(member(warc.record(900 + i, "n", b"nested" * 9, None, warc.digest(b"nested" * 9), 54)) for i in range(60))
+    page = b"HTTP/1.1 200 OK\r\nx-long: a\r\n  b\r\n\r\n" + b"<p>body</p>" * 200
+    records = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), foreign("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://x/"),
+        foreign("response", page, "Content-Type: application/http;msgtype=response", "WARC-Target-URI:", " http://x/"), foreign("metadata", b"k: v", "Content-Type: text/plain"),
+        foreign("resource", nested, "Content-Type: application/warc", "WARC-Payload-Digest: sha1:GIVEN"), foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "Content-Type: application/http", "WARC-Refers-To: <urn:uuid:response>"), foreign("conversion", b"text"),
+    ]
+    return [member(r, level) for r in records for _ in range(2)], nested
+
+
+@pytest.mark.parametrize("level", [0, 9])
+@pytest.mark.parametrize("split", [1000, 4096, 1 << 20])
+def test_archives_of_other_writers(spark, tmp_path, split, level):
+    members, nested = archive(level)
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(members))
+    rows = read_all(spark, path, split)
+    assert sorted(r["record_type"] for r in rows) == sorted(["warcinfo", "request", "response", "metadata", "resource", "revisit", "conversion"] * 2)
+    by = {r["record_type"]: r for r in rows}
+    assert by["response"]["payload_bytes"] == 2200 and by["response"]["payload_digest"] == warc.digest(b"<p>body</p>" * 200) and by["response"]["url"] == "http://x/"
+    assert bytes(by["resource"]["payload"]) == nested and by["resource"]["payload_digest"] == "GIVEN" and by["metadata"]["payload_bytes"] == 4
+    assert by["revisit"]["payload"] is None and by["revisit"]["payload_bytes"] is None and by["request"]["payload_bytes"] == 0
+    assert all(r["page_id"] is None and r["refers_to"] is None and r["record_id"].startswith("<urn:uuid:") for r in rows)
+
+
+@pytest.mark.parametrize("cut", [3, 40, 200])
+@pytest.mark.parametrize("split", [512, 1 << 20])
+def test_cut_off_archives_are_errors(spark, tmp_path, cut, split):
+    draw = random.Random(2)
+    bodies = [bytes(draw.randrange(256) for _ in range(600)) for _ in range(6)]
+    data = b"".join(member(warc.record(i, "u", b, None, warc.digest(b), len(b))) for i, b in enumerate(bodies))
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    assert len(read_all(spark, path, split)) == 6
+    path.write_bytes(data[:-cut])
+    with pytest.raises(Exception, match="cut off|no record"):
+        read_all(spark, path, split)
+    path.write_bytes(data + b"something else")
+    with pytest.raises(Exception, match="cut off|no record"):
+        read_all(spark, path, split)
