@@ -5,10 +5,12 @@ Distances come from a self equi-join on the molecule, aggregated right after the
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,41 +94,102 @@ def ph4_soft_fp(points: DataFrame, width: float = 0.5, most: float = 20.0, cap:
     return summed.groupBy("mol_id", "slot").agg((F.least(value, F.lit(cap)) if cap else value).alias("value"))
 
 
+def _cluster_labels(xyz: np.ndarray, radius: float) -> list[int]:
+    """For each point its cluster: that of the latest point before it within ``radius``, or its own number if there is none.
+
+    Points lie in cells so small that any two of one are within the radius; a point looks at its own and the cells around, the latest points first.
+    """
+    edge = radius / math.sqrt(3) if radius > 0 else 1.0
+    reach = range(-2, 3)
+    cells: dict[tuple[int, int, int], list[int]] = {}
+    labels: list[int] = []
+    places = np.floor(xyz / edge).astype(np.int64).tolist()
+    points = xyz.tolist()
+    for j, (cx, cy, cz) in enumerate(places):
+        latest = -1
+        for dx in reach:
+            for dy in reach:
+                for dz in reach:
+                    for i in reversed(cells.get((cx + dx, cy + dy, cz + dz), ())):
+                        if i <= latest:
+                            break
+                        if math.dist(points[i], points[j]) <= radius:
+                            latest = i
+                            break
+        labels.append(labels[latest] if latest >= 0 else j)
+        cells.setdefault((cx, cy, cz), []).append(j)
+    return labels
+
+
 def cluster_points(points: DataFrame, radius: float = 2.0, feat: str = "HYD", enabled: bool = True) -> DataFrame:
     """Points of one type replaced by the centroids of greedy clusters within ``radius``; a later seed takes over what it reaches, its label being its own cluster's."""
     if not enabled:
         return points
     columns = ["mol_id", "conf_id", "point_no", "feat", "x", "y", "z"]
 
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("point_no")
-        xyz, labels = rows[["x", "y", "z"]].to_numpy(), [-1] * len(rows)
-        for i in range(len(rows)):
-            own = labels[i] if labels[i] >= 0 else i
-            labels[i] = own
-            for j in range(i + 1, len(rows)):
-                if math.dist(xyz[i], xyz[j]) <= radius:
-                    labels[j] = own
-        return rows.assign(label=labels)[[*columns, "label"]]
-
-    schema = "mol_id long, conf_id int, point_no int, feat string, x double, y double, z double, label int"
-    chosen = points.select(*columns).filter(F.col("feat") == feat)
-    labelled = chosen.selectExpr("cast(mol_id as long) mol_id", "cast(conf_id as int) conf_id", "cast(point_no as int) point_no", "feat", "x", "y", "z").groupBy("mol_id", "conf_id").applyInPandas(label, schema)
-    centres = labelled.groupBy("mol_id", "conf_id", "label").agg(F.min("point_no").alias("point_no"), F.first("feat").alias("feat"), *[F.avg(c).alias(c) for c in "xyz"])
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = []
+            for rows in batch.column("p").to_pylist():
+                labels.append(_cluster_labels(np.array([[r["x"], r["y"], r["z"]] for r in rows], dtype=np.float64).reshape(-1, 3), radius))
+            yield batch.append_column("labels", pa.array(labels, pa.list_(pa.int32())))
+
+    chosen = points.select(*columns).filter((F.col("feat") == feat) & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    held = chosen.groupBy("mol_id", "conf_id").agg(F.sort_array(F.collect_list(F.struct("point_no", *[F.col(c).cast("double").alias(c) for c in "xyz"]))).alias("p"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
+    each = held.mapInArrow(labelled, f"{fields}, labels array<int>").select("mol_id", "conf_id", F.explode(F.arrays_zip("p", "labels")).alias("t")).select("mol_id", "conf_id", "t.p.*", F.col("t.labels").alias("label"))
+    centres = each.groupBy("mol_id", "conf_id", "label").agg(F.min("point_no").alias("point_no"), *[F.avg(c).alias(c) for c in "xyz"]).withColumn("feat", F.lit(feat))
     return points.select(*columns).filter(F.col("feat") != feat).unionByName(centres.select(*columns))
 
 
+def _identifier(text: str) -> int:
+    """A number of 60 bits for a text: the first fifteen digits of its MD5."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def _environments(atoms: list[dict], bonds: list[dict], radius: int) -> list[int]:
+    """Identifiers of the environments of a molecule's atoms up to ``radius`` bonds, each set of bonds counted once.
+
+    An atom's identifier of a round is made of its own and those of its neighbours of the round before, by bond orders. An environment whose bonds are those of
+    one already counted, or of one of the same round with a lesser identifier, is left out, and its atom takes no part in later rounds.
+    """
+    current = {a["atom_idx"]: _identifier(f"{a['atomic_num']},{a['charge']}") for a in atoms}
+    around: dict[int, list[tuple[int, int, tuple[int, int]]]] = {i: [] for i in current}
+    for x in {(min(b["a"], b["b"]), max(b["a"], b["b"]), b["order"]) for b in bonds}:
+        if x[0] in around and x[1] in around and x[0] != x[1]:
+            around[x[0]].append((x[2], x[1], x[:2]))
+            around[x[1]].append((x[2], x[0], x[:2]))
+    found = list(current.values())
+    covered = {i: frozenset(bond for _, _, bond in n) for i, n in around.items()}
+    alive, counted = sorted(i for i in current if around[i]), set()
+    for r in range(1, radius + 1):
+        new = {i: _identifier(f"{r}|{current[i]}|" + ",".join(f"{o}:{h}" for o, h in sorted((o, current[j]) for o, j, _ in around[i]))) for i in alive}
+        sets = {i: covered[i] if r == 1 else covered[i].union(*(covered[j] for _, j, _ in around[i])) for i in alive}
+        kept = []
+        for i in sorted(alive, key=lambda i: (new[i], i)):
+            if sets[i] not in counted:
+                counted.add(sets[i])
+                kept.append(i)
+                found.append(new[i])
+        current |= new
+        covered |= sets
+        alive = sorted(kept)
+    return found
+
+
 def circular_fp(atoms: DataFrame, bonds: DataFrame, radius: int = 2, bits: int = 256) -> DataFrame:
-    """Set bits of a circular fingerprint: ``mol_id, bit``. Atom identifiers are hashes of the sorted identifiers around, round by round."""
-    current = atoms.select("mol_id", "atom_idx", F.xxhash64("atomic_num", "charge").alias("h"))
-    both = bonds.select("mol_id", "a", "b", "order").union(bonds.select("mol_id", F.col("b"), F.col("a"), "order"))
-    found = current.select("mol_id", "h")
-    for _ in range(radius):
-        around = both.join(current.select("mol_id", F.col("atom_idx").alias("b"), F.col("h").alias("hb")), ["mol_id", "b"]).groupBy("mol_id", "a").agg(F.sort_array(F.collect_list(F.struct("order", "hb"))).alias("n"))
-        joined = current.join(around, (current.mol_id == around.mol_id) & (current.atom_idx == around.a), "left")
-        current = joined.select(current.mol_id, "atom_idx", F.when(F.col("n").isNotNull(), F.xxhash64("h", "n")).otherwise(F.col("h")).alias("h"))
-        found = found.union(current.select("mol_id", "h"))
-    return found.select("mol_id", F.pmod("h", F.lit(bits)).cast("int").alias("bit")).distinct()
+    """Set bits of a circular fingerprint: ``mol_id, bit``. All rounds run on a molecule's row; equal environments count once. Null charges read as 0."""
+    a = atoms.groupBy("mol_id").agg(F.collect_list(F.struct(F.col("atom_idx").cast("long").alias("atom_idx"), F.col("atomic_num").cast("long").alias("atomic_num"), F.coalesce(F.col("charge"), F.lit(0)).cast("long").alias("charge"))).alias("atoms"))
+    b = bonds.filter("a is not null and b is not null").groupBy("mol_id").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("a", "b", "order")])).alias("bonds"))
+    both = a.join(b.withColumnRenamed("mol_id", "_m"), F.col("mol_id").eqNullSafe(F.col("_m")), "left").select("mol_id", "atoms", "bonds")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted({h % bits for h in _environments(x, y or [], radius)}) for x, y in zip(batch.column("atoms").to_pylist(), batch.column("bonds").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("mol_id"), pa.array(found, pa.list_(pa.int32()))], ["mol_id", "set"])
+
+    kind = dict(atoms.dtypes)["mol_id"]
+    return both.mapInArrow(folded, f"mol_id {kind}, set array<int>").select("mol_id", F.explode("set").alias("bit"))
 
 
 def densify(molecules: DataFrame, sparse: DataFrame, dim: int) -> DataFrame:

@@ -422,16 +422,31 @@ def fingerprint_sections(spark, d):
     return fingerprints.section_stats(counts_fp(spark, d)).select("section", _r("mean").alias("mean"), "non_zeros", "max")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS_SQL}, hyd AS (SELECT * FROM points WHERE t = 5),
+up AS (SELECT b.mol_id, b.point_no, max(a.point_no) AS above FROM hyd b LEFT JOIN hyd a ON a.mol_id = b.mol_id AND a.point_no < b.point_no AND {_DISTANCE} <= 2 GROUP BY ALL),
+root(mol_id, point_no, label) AS (SELECT mol_id, point_no, point_no FROM up WHERE above IS NULL UNION ALL SELECT up.mol_id, up.point_no, root.label FROM root JOIN up ON up.mol_id = root.mol_id AND up.above = root.point_no)
+SELECT mol_id, 0 AS conf_id, point_no, ['ARO', 'HBD', 'HBA', 'POS', 'NEG'][t + 1] AS feat, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM points WHERE t <> 5
+UNION ALL SELECT mol_id, 0, min(point_no), 'HYD', round(avg(x), 6), round(avg(y), 6), round(avg(z), 6) FROM hyd JOIN root USING (mol_id, point_no) GROUP BY mol_id, label""")
 def clustered_points(spark, d):
-    return fingerprints.cluster_points(points(spark, d).withColumn("mol_id", F.col("mol_id").cast("long")))
+    found = fingerprints.cluster_points(points(spark, d).withColumn("mol_id", F.col("mol_id").cast("long")))
+    return found.select("mol_id", "conf_id", "point_no", "feat", *[_r(c).alias(c) for c in "xyz"])
 
 
-@query()
+_ID = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
+
+
+@query(f"""WITH atoms AS (SELECT l_orderkey AS m, l_linenumber AS v, {_ID.format("min(l_partkey % 10) || ',0'")} AS h0 FROM lineitem GROUP BY ALL),
+bonds AS (SELECT a.m, least(l_linenumber, 1 + l_partkey % 7) AS a, greatest(l_linenumber, 1 + l_partkey % 7) AS b, min(1 + l_suppkey % 3) AS o FROM lineitem JOIN atoms a ON a.m = l_orderkey AND a.v = 1 + l_partkey % 7 WHERE l_linenumber <> 1 + l_partkey % 7 GROUP BY ALL),
+e AS (SELECT m, a AS v, b AS w, o, a || '-' || b AS k FROM bonds UNION ALL SELECT m, b, a, o, a || '-' || b FROM bonds),
+one AS (SELECT e.m, e.v, x.h0, {_ID.format("'1|' || x.h0 || '|' || string_agg(o || ':' || y.h0, ',' ORDER BY o, y.h0)")} AS h1, list_sort(list(k)) AS s1 FROM e JOIN atoms x ON x.m = e.m AND x.v = e.v JOIN atoms y ON y.m = e.m AND y.v = e.w GROUP BY e.m, e.v, x.h0),
+kept AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY m, s1 ORDER BY h1, v) = 1),
+two AS (SELECT e.m, e.v, {_ID.format("'2|' || x.h1 || '|' || string_agg(o || ':' || y.h1, ',' ORDER BY o, y.h1)")} AS h2, list_sort(list_distinct(flatten(list(y.s1) || list(x.s1)))) AS s2 FROM e JOIN kept x ON x.m = e.m AND x.v = e.v JOIN one y ON y.m = e.m AND y.v = e.w GROUP BY e.m, e.v, x.h1),
+more AS (SELECT * FROM two t WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.m = t.m AND k.s1 = t.s2) QUALIFY row_number() OVER (PARTITION BY m, s2 ORDER BY h2, v) = 1)
+SELECT DISTINCT m AS mol_id, h % 256 AS bit FROM (SELECT m, h0 AS h FROM atoms UNION ALL SELECT m, h1 FROM kept UNION ALL SELECT m, h2 FROM more)""")
 def circular_fingerprints(spark, d):
-    a = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("mol_id"), F.col("l_linenumber").alias("atom_idx"), (F.col("l_partkey") % 10).alias("atomic_num"), F.lit(0).alias("charge")).dropDuplicates(["mol_id", "atom_idx"])
-    b = a.filter("atom_idx > 1").select("mol_id", (F.col("atom_idx") - 1).alias("a"), F.col("atom_idx").alias("b"), F.lit(1).alias("order"))
-    return fingerprints.circular_fp(a, b)
+    lines = _t(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "mol_id", "l_linenumber": "atom_idx"})
+    a = lines.groupBy("mol_id", "atom_idx").agg(F.min(F.col("l_partkey") % 10).alias("atomic_num")).withColumn("charge", F.lit(0))
+    return fingerprints.circular_fp(a, ring_bonds_of(spark, d))
 
 
 # --- similarity -----------------------------------------------------------------------------------------------------
