@@ -832,7 +832,7 @@ def beam_searched(spark, d):
         return active.select("state_id", logits.alias("token_logits"), scores.alias("reaction_logits")), near
 
     alike = lambda p, t: F.when(p == t, 1.0).otherwise(1 / (1 + F.levenshtein(p, t)))
-    return routes.beam_search(states, predict, table, execute, alike, factor=3, width=6, steps=4, results=5).select("target_id", "product", _r("score").alias("score"))
+    return routes.beam_search(states, predict, table, routes.Remembered(execute), alike, factor=3, width=6, steps=4, results=5).select("target_id", "product", _r("score").alias("score"))
 
 
 # --- streams --------------------------------------------------------------------------------------------------------

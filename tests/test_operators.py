@@ -190,6 +190,25 @@ def test_push_reaction_and_routes_do_not_depend_on_partitions(spark):
     assert other.first()["stack"] == [["Y"]]
 
 
+def test_no_reaction_is_run_twice(spark):
+    asked = []
+
+    def execute(pairs):
+        asked.extend(tuple(r) for r in pairs.collect())
+        return pairs.filter("rxn_id <> 7").withColumn("product", F.concat("left", F.coalesce("right", F.lit("-")), F.col("rxn_id").cast("string")))
+
+    state = spark.createDataFrame([(1, 5, 2, [], [["A"], ["B"]]), (2, 6, 1, [], [["X"]]), (3, 5, 2, [], [["A"], ["B"]]), (4, 7, 2, [], [["A"], ["B"]])], f"route_id long, rxn_id int, n_reactants int, steps array<{routes.STEP}>, stack array<array<string>>")
+    want = sorted((r["route_id"], r["stack"]) for r in routes.push_reaction(state, execute).collect())
+    plain, asked[:] = len(asked), []
+    run = routes.Remembered(execute)
+    for rounds in range(3):
+        assert sorted((r["route_id"], r["stack"]) for r in routes.push_reaction(state, run).collect()) == want
+    assert run.executed == len(asked) == len(set(asked)) == 5 < plain  # A-B and B-A by two reactions, X alone; those without a product are known too
+    more = state.filter("route_id = 2").withColumn("stack", F.array(F.array(F.lit("Y"))))
+    assert routes.push_reaction(more, run).first()["stack"] == [["Y-6"]] and run.executed == 6
+    assert routes.Remembered(execute)(state.limit(0).select("route_id", "rxn_id", F.lit("A").alias("left"), F.lit("B").alias("right"))).count() == 0
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "r.txt").write_text("C.O>>CO\n\nN>Cl>NC\n")
     rows = io.read_reactions(spark, str(tmp_path / "r.txt")).orderBy("rxn_id").collect()
