@@ -32,7 +32,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retort.llm.common import checkpointed, written
+from retort.llm.common import checkpointed, fresh_path, written
 from retort.llm.hashing import CHUNK_BYTES, RangeHasher, mixed, text_chunks
 from retort.llm.shared_files import opened, partition
 
@@ -164,7 +164,10 @@ def ranked_files(docs: DataFrame, keep: list[str] | None) -> DataFrame:
     """``docs`` written to files: ``file, path, ranks``, the ranks of the documents in the order of the file's rows."""
     spark = docs.sparkSession
     row = F.struct(*(docs.columns if keep is None else keep)).alias("row")
-    texts = written(docs.select(row, F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")), "texts")
+    path = fresh_path(spark, "texts")
+    given = docs.select(row, F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    given.write.option("compression", "zstd").parquet(path)
+    texts = spark.read.schema(given.schema).parquet(path)
     paths = sorted(texts.inputFiles())
     files = spark.createDataFrame(list(enumerate(paths)), "file long, path string").repartition(max(1, len(paths)))
 

@@ -62,12 +62,15 @@ def test_a_long_text_over_pieces(spark):
     check(spark, [(1, "intro " + b[5:200_000]), (2, a * 3 + "tail"), (3, "q" * 50_000 + a[:500])])
 
 
-def test_buckets_of_very_many_suffixes(spark):
-    """One line with its own neighbours in each of 3,000 texts, and a passage of two windows more."""
+def test_buckets_of_very_many_suffixes(spark, monkeypatch):
+    """One line with its own neighbours in each of 2,600 texts, and two windows more in some: its buckets are split before a task takes them."""
+    split, calls = s._split, []
+    monkeypatch.setattr(s, "_split", lambda low, high: calls.append((low, high)) or split(low, high))
     rng = random.Random(9)
     line = "".join(rng.choice("abcdefghij") for _ in range(102))
     rows = [(i, words(rng, 14) + (line[:99] if i % 5 else line) + words(rng, 14)) for i in range(2600)]
     check(spark, rows)
+    assert (0, s.REACH) in calls and len(calls) > 1
 
 
 def test_repeated_ids_and_rows(spark):
