@@ -4,6 +4,9 @@
 as Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``: quality rules drop
 the documents that they reject, near-duplicate removal keeps one document of each group, personal data is replaced by its kind
 in angle brackets, and mixing repeats or cuts documents to the budgets of their sources. Packing gives the place of each piece.
+
+Defined cases: a null or empty text is rejected by the first stage, as is any of fewer than twenty words; null ids, languages and sources go
+through as values of their own; repeated rows are near duplicates of each other, so that one stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +50,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL cannot express the near duplicates; the tests hold the stages against brute force.
+#: SQL cannot express the packing, which places each piece by those placed before it; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
