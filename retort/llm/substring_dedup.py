@@ -258,10 +258,16 @@ def _split(low: int, high: int):
                 core = hasher.hashes(p - a + o, p - b + LENGTH + o)
                 key = mixed(core ^ mixed(bucket[i].astype(np.int64).view(np.uint64) + np.uint64(64 * a + b + 1))).view(np.int64)
                 hull = hull_ids(hasher, f + o, e + o, p + o)
-                own = [raw[x:y] for x, y in zip((f + o).tolist(), (e + LENGTH + o).tolist(), strict=True)]
-                columns = [pa.array(x) for x in (key, hull, rank[i], at[i], f, e, p)]
-                low_high = [pa.array(np.full(len(i), x)) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.binary()), *low_high], [*_NAMES, "bytes", "low", "high"])
+                # equal hulls of this batch go on once, so that a passage of very many texts is few rows
+                kept, lone = _settled(np.column_stack([key, hull, rank[i], at[i], f, e, p, np.arange(len(i))]))
+                j = kept[:, 7]
+                own = [raw[x:y] for x, y in zip((f + o)[j].tolist(), (e + LENGTH + o)[j].tolist(), strict=True)]
+                for rows, texts, alone in ((kept[:, :7], own, False), (lone, None, True)):
+                    if len(rows):
+                        columns = [pa.array(np.ascontiguousarray(c)) for c in rows.T]
+                        columns[1] = pa.nulls(len(rows), pa.int64()) if alone else columns[1]
+                        low_high = [pa.array(np.full(len(rows), x)) for x in (a, b)]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.binary()) if alone else pa.array(texts, pa.binary()), *low_high], [*_NAMES, "bytes", "low", "high"])
 
     return run
 
@@ -308,7 +314,7 @@ def _resolved(rows: list[tuple]) -> pa.RecordBatch:
 
 def _within_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes sorted by bucket, taken as many whole buckets at a time as make up ``MOST`` rows."""
-    held, done, last = [], 0, None
+    held, last = [], None
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("bucket", "rank", "at", "first", "last", "bytes")]
         for bucket, *row in zip(*columns, strict=True):
@@ -344,8 +350,8 @@ def repeats(files: DataFrame) -> DataFrame:
         rows = written(_all(parts), "halves")
         spans = sorted({(x, y) for a, b in spans for x, y in ((a, (a + b) // 2), ((a + b) // 2 + 1, b)) if x <= y})
         level = written(refined(rows, _most_frequent(rows, MOST)), "refined")
-        found.append(interval(level.filter("repeat")))
-        left = level.filter("not repeat").drop("repeat")
+        found.append(interval(level.filter("repeat or hull is null")))
+        left = level.filter("not repeat and hull is not null").drop("repeat")
     return _all(found)
 
 
