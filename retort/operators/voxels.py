@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 #: Van der Waals radii by element, in angstrom. Fixed values.
 RADII = {"C": 1.908, "F": 1.75, "Cl": 1.948, "Br": 2.22, "I": 2.35, "N": 1.824, "O": 1.6612, "P": 2.1, "S": 2.0, "H": 1.0}
@@ -161,15 +161,49 @@ def patches(voxels: DataFrame, p: int, side: int, keys: Sequence[str] = ("mol_id
     return every.join(full, [*keys, "patch_id"], "left").select(*keys, "patch_id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), p**3)).otherwise(values).alias("values"))
 
 
+def neighbourhoods(voxels: DataFrame, side: int, reach: int = 4, keys: Sequence[str] = ("mol_id",)) -> DataFrame:
+    """How many marked voxels have each voxel in their cube of ``2 * reach + 1``, inside the box, a row a molecule: keys, ``voxels`` (their numbers in
+    row-major order) and ``counts``.
+
+    A molecule's distinct marked voxels, with how often each is marked, come together in one row (at most the voxels of the box and of what
+    lies within reach of it), and a task counts the molecules of a batch one axis after the other.
+    """
+    wide = side + 4 * reach  # of places whose cubes may meet the box, and of their cubes
+    near = " and ".join(f"{c} between {-reach} and {side - 1 + reach}" for c in "xyz")
+    place = F.expr(f"((x + {2 * reach}) * {wide}L + y + {2 * reach}) * {wide} + z + {2 * reach}")
+    times = voxels.filter(near).groupBy(*keys, place.alias("_place")).agg(F.count("*").alias("_n"))
+    rows = times.groupBy(*keys).agg(F.collect_list(F.struct("_place", "_n")).alias("marked"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            longest = max(1, int(np.diff(np.asarray(whole.column("marked").offsets)).max(initial=0)))
+            at_once = max(1, (4 << 20) // (longest * (2 * reach + 1) ** 3))
+            for first in range(0, whole.num_rows, at_once):
+                batch = whole.slice(first, at_once)
+                held = batch.column("marked")
+                row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(held.offsets)))
+                at, n = (np.asarray(held.flatten().field(i)).astype(np.int64) for i in range(2))
+                at = at + row * wide**3
+                for step in (wide * wide, wide, 1):
+                    at, of = np.unique((at[:, None] + np.arange(-reach, reach + 1) * step).ravel(), return_inverse=True)
+                    total = np.zeros(len(at), dtype=np.int64)
+                    np.add.at(total, of, np.repeat(n, 2 * reach + 1))
+                    n = total
+                x, y, z = (at // w % wide - 2 * reach for w in (wide * wide, wide, 1))
+                inside = (x >= 0) & (x < side) & (y >= 0) & (y < side) & (z >= 0) & (z < side)
+                ends = pa.array(np.searchsorted((at // wide**3)[inside], np.arange(batch.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v[inside])) for v in ((x * side + y) * side + z, n)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *lists], [*keys, "voxels", "counts"])
+
+    schema = rows.select(*keys).schema.add("voxels", ArrayType(LongType())).add("counts", ArrayType(LongType()))
+    return rows.mapInArrow(counted, schema).filter("size(counts) > 0")
+
+
 def neighbourhood_counts(voxels: DataFrame, side: int, reach: int = 4, keys: Sequence[str] = ("mol_id",)) -> DataFrame:
-    """How many marked voxels have each voxel in their cube of ``2 * reach + 1``, inside the box: keys, ``x, y, z, value``."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    out = voxels.select(*keys, "x", "y", "z")
-    for c in "xyz":  # one axis at a time: counts along x, then y, then z
-        held = out.withColumn("value", F.col("value") if "value" in out.columns else F.lit(1))
-        spread = held.withColumn("_d", F.explode(steps)).withColumn(c, F.col(c) + F.col("_d")).filter(f"{c} between 0 and {side - 1}")
-        out = spread.groupBy(*keys, "x", "y", "z").agg(F.sum("value").alias("value"))
-    return out
+    """``neighbourhoods`` a row a voxel: keys, ``x, y, z, value``."""
+    each = neighbourhoods(voxels, side, reach, keys).select(*keys, F.explode(F.arrays_zip("voxels", "counts")).alias("v"))
+    at = [F.expr(f"cast(v.voxels div {w} % {side} as int)").alias(c) for c, w in zip("xyz", (side * side, side, 1), strict=True)]
+    return each.select(*keys, *at, F.col("v.counts").alias("value"))
 
 
 def union_of_seeds(voxels: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:

@@ -160,3 +160,18 @@ def test_cut_tokens_equal_those_of_the_whole(spark, most):
     whole = {r["i"]: r["x"] for r in df.select("i", features.tokenize_smiles(F.col("t"), tokens).alias("x")).collect()}
     for r in df.select("i", features.tokenize_smiles(F.col("t"), tokens, most).alias("x")).collect():
         assert r["x"] == (whole[r["i"]][:most] if whole[r["i"]] is not None else None)
+
+
+def test_neighbourhoods_are_counted_in_rows(spark):
+    from retort.operators import voxels
+
+    marked = [(m, x * m % 7, x % 6 - 1, x * x % 5) for m in (1, 2, 3) for x in range(9)]
+    want = {}
+    for m, *at in marked:
+        for d in range(27):
+            v = tuple(c + d // w % 3 - 1 for c, w in zip(at, (9, 3, 1), strict=True))
+            if all(0 <= c < 6 for c in v):
+                want[m, *v] = want.get((m, *v), 0) + 1
+    out = voxels.neighbourhood_counts(spark.createDataFrame(marked, "mol_id int, x int, y int, z int"), 6, 1)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert {tuple(r)[:4]: r["value"] for r in out.collect()} == want
