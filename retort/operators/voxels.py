@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StructField, StructType
 
 #: Van der Waals radii by element, in angstrom. Fixed values.
 RADII = {"C": 1.908, "F": 1.75, "Cl": 1.948, "Br": 2.22, "I": 2.35, "N": 1.824, "O": 1.6612, "P": 2.1, "S": 2.0, "H": 1.0}
@@ -93,26 +93,28 @@ def atom_stamps(spark: SparkSession, resolution: float = RESOLUTION, noise: tupl
     return spark.createDataFrame(rows, "element string, dx int, dy int, dz int")
 
 
-def shapes(atoms: DataFrame, stamps: DataFrame, keys: Sequence[str] = ("mol_id",), crop: int | None = None, resolution: float = RESOLUTION, max_dist: float = MAX_DIST) -> DataFrame:
-    """Union of the stamps at every atom, within the box or its central ``crop``: keys and ``x, y, z``.
+def _laid(atoms: DataFrame, stamps: DataFrame, keys: Sequence[str], crop: int | None, resolution: float, max_dist: float, finish: Callable[[np.ndarray], pa.Array], kind: DataType) -> DataFrame:
+    """Keys and ``shape``: what ``finish`` makes of the boxes (molecules x side x side x side of bits) in which the stamps of each molecule's atoms lie.
 
     Atoms travel, not voxels: the distinct grid places of a molecule's atoms (at most elements x voxels of the box, however many
-    atoms) come together in one row, and a task lays their stamps on one box of bits for each molecule. The stamp table has a fixed
-    size (elements x offsets).
+    atoms) come together in one row, as numbers, and a task lays their stamps. Boxes have a margin of two reaches of the widest stamp, so that
+    stamps need no clipping. The stamp table has a fixed size (elements x offsets).
     """
     side = box_side(resolution, max_dist)
-    start = side // 2 - crop // 2 if crop else 0
     width = crop or side
+    start = side // 2 - crop // 2 if crop else 0
     offsets: dict[str, list[tuple[int, int, int]]] = {}
     for r in stamps.collect():
         offsets.setdefault(r["element"], []).append((r["dx"], r["dy"], r["dz"]))
     number = {e: i for i, e in enumerate(sorted(offsets))}
-    laid = [np.array(offsets[e], dtype=np.int64) for e in sorted(offsets)]
+    margin = max((abs(d) for o in offsets.values() for at in o for d in at), default=0)
+    wide = width + 4 * margin
+    laid = [np.array(offsets[e], dtype=np.int64) @ np.array([wide * wide, wide, 1]) for e in sorted(offsets)]
     element = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])[F.col("element")]
-    places = grid_coordinates(atoms, resolution, max_dist).select(*keys, element.alias("e"), *[(F.col(f"g{c}") - start).alias(c) for c in "xyz"]).filter("e is not null").distinct()
-    rows = places.groupBy(*keys).agg(F.collect_list(F.struct("e", "x", "y", "z")).alias("places"))
-    schema = rows.select(*keys).schema.add("voxels", ArrayType(IntegerType()))
-    at_once = max(1, (4 << 20) // width**3)
+    placed = grid_coordinates(atoms, resolution, max_dist).withColumn("_e", element).filter("_e is not null")
+    place = F.expr(f"((_e * {side}L + gx) * {side} + gy) * {side} + gz")
+    rows = placed.groupBy(*keys).agg(F.collect_set(place).alias("places"))
+    at_once = max(1, (4 << 20) // wide**3)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,21 +122,57 @@ def shapes(atoms: DataFrame, stamps: DataFrame, keys: Sequence[str] = ("mol_id",
                 part = batch.slice(first, at_once)
                 held = part.column("places")
                 row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(held.offsets)))
-                e, *at = (np.asarray(held.flatten().field(c)).astype(np.int64) for c in ("e", "x", "y", "z"))
-                box = np.zeros((part.num_rows, width**3), dtype=bool)
-                for i in np.unique(e):
-                    mine = np.flatnonzero(e == i)
-                    x, y, z = (a[mine][:, None] + laid[i][:, axis] for axis, a in enumerate(at))
-                    inside = (x >= 0) & (x < width) & (y >= 0) & (y < width) & (z >= 0) & (z < width)
-                    box[np.broadcast_to(row[mine][:, None], inside.shape)[inside], ((x * width + y) * width + z)[inside]] = True
-                of, voxel = np.nonzero(box)
-                ends = np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.ListArray.from_arrays(pa.array(ends), pa.array(voxel.astype(np.int32)))], [*keys, "voxels"])
-
-    each = rows.mapInArrow(lay, schema).select(*keys, F.explode("voxels").alias("v"))
+                e, at = np.divmod(np.asarray(held.flatten()), side**3)
+                x, y, z = (at // w % side - start + 2 * margin for w in (side * side, side, 1))
+                near = np.ones(len(at), dtype=bool)
+                for c in (x, y, z):  # stamps farther out reach nothing of the box
+                    near &= (c >= margin) & (c < wide - margin)
+                box = np.zeros(part.num_rows * wide**3, dtype=bool)
+                middle = ((row * wide + x) * wide + y) * wide + z
+                for i, stamp in enumerate(laid):
+                    box[(middle[near & (e == i)][:, None] + stamp).ravel()] = True
+                inner = slice(2 * margin, 2 * margin + width)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], finish(box.reshape(-1, wide, wide, wide)[:, inner, inner, inner])], [*keys, "shape"])
+
+    return rows.mapInArrow(lay, rows.select(*keys).schema.add("shape", kind))
+
+
+def shapes(atoms: DataFrame, stamps: DataFrame, keys: Sequence[str] = ("mol_id",), crop: int | None = None, resolution: float = RESOLUTION, max_dist: float = MAX_DIST) -> DataFrame:
+    """Union of the stamps at every atom, within the box or its central ``crop``: keys and ``x, y, z``, a row a voxel."""
+    width = crop or box_side(resolution, max_dist)
+
+    def listed(box: np.ndarray) -> pa.Array:
+        of, voxel = np.nonzero(box.reshape(len(box), -1))
+        ends = np.searchsorted(of, np.arange(len(box) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(voxel.astype(np.int32)))
+
+    each = _laid(atoms, stamps, keys, crop, resolution, max_dist, listed, ArrayType(IntegerType())).select(*keys, F.explode("shape").alias("v"))
     return each.select(*keys, F.expr(f"cast(v div {width * width} as int)").alias("x"), F.expr(f"cast(v div {width} % {width} as int)").alias("y"), F.expr(f"v % {width}").alias("z"))
 
 
+def shape_patches(atoms: DataFrame, stamps: DataFrame, p: int, keys: Sequence[str] = ("mol_id",), crop: int | None = None, resolution: float = RESOLUTION, max_dist: float = MAX_DIST) -> DataFrame:
+    """The ``patches`` of ``shapes`` as bits, a row a molecule: keys and ``patches``, a number for each patch in row-major order, empty ones too.
+
+    Bit i of a number is cell i of the patch, in row-major order; a patch has at most 62 cells.
+    """
+    side = crop or box_side(resolution, max_dist)
+    if side % p:
+        raise ValueError(f"a side of {side} is not divisible by {p}")
+    if p**3 > 62:
+        raise ValueError(f"a patch of {p**3} cells does not fit a number")
+    n = side // p
+
+    def packed(box: np.ndarray) -> pa.Array:
+        cells = box.reshape(len(box), n, p, n, p, n, p)
+        words = np.zeros((len(box), n, n, n), dtype=np.int64)
+        for i, (x, y, z) in enumerate(itertools.product(range(p), repeat=3)):
+            words |= cells[:, :, x, :, y, :, z].astype(np.int64) << i
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(box) + 1, dtype=np.int32) * n**3), pa.array(words.ravel()))
+
+    laid = _laid(atoms, stamps, keys, crop, resolution, max_dist, packed, ArrayType(LongType())).withColumnRenamed("shape", "patches")
+    return laid.filter(F.exists("patches", lambda w: w != 0))
+
+
 def rejected(atoms: DataFrame) -> DataFrame:
     """Molecules with an element that has no radius."""
     return atoms.filter(~F.col("element").isin(*RADII)).select("mol_id").distinct()

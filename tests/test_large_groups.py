@@ -162,6 +162,33 @@ def test_cut_tokens_equal_those_of_the_whole(spark, most):
         assert r["x"] == (whole[r["i"]][:most] if whole[r["i"]] is not None else None)
 
 
+def test_shapes_travel_as_sums_and_bits(spark):
+    import numpy as np
+
+    from retort.operators import voxels
+
+    rng = np.random.default_rng(4)
+    rows = [(m, "C N O S Br".split()[int(e)], *map(float, p)) for m in range(30) for e, p in zip(rng.integers(0, 5, 6), rng.uniform(-16, 16, (6, 3)) / (1 + m % 3), strict=True)]
+    atoms = spark.createDataFrame(rows, "mol_id int, element string, x double, y double, z double")
+    stamps = voxels.atom_stamps(spark)
+    want = {}
+    reach = {r: [tuple(s)[1:] for s in stamps.collect() if s["element"] == r] for r in "C N O S Br".split()}
+    for m, e, *at in rows:
+        g = [int(np.round((c + 15) / 0.5)) for c in at]
+        if all(0 <= c < 61 for c in g):
+            moved = [tuple(a + b - 20 for a, b in zip(g, d, strict=True)) for d in reach[e]]
+            want.setdefault(m, set()).update(v for v in moved if all(0 <= c < 21 for c in v))
+    want = {m: v for m, v in want.items() if v}
+    cells = {}
+    for r in voxels.shapes(atoms, stamps, crop=21).collect():
+        cells.setdefault(r["mol_id"], set()).add(tuple(r)[1:])
+    assert cells == want
+    bits = voxels.shape_patches(atoms, stamps, 3, crop=21)
+    assert bits._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    plain = {(r["mol_id"], r["patch_id"]): r["values"] for r in voxels.patches(voxels.shapes(atoms, stamps, crop=21), 3, 21).collect()}
+    assert {(r["mol_id"], i): [float(w >> c & 1) for c in range(27)] for r in bits.collect() for i, w in enumerate(r["patches"])} == plain
+
+
 def test_neighbourhoods_are_counted_in_rows(spark):
     from retort.operators import voxels
 
