@@ -150,6 +150,19 @@ def shapes(atoms: DataFrame, stamps: DataFrame, keys: Sequence[str] = ("mol_id",
     return each.select(*keys, F.expr(f"cast(v div {width * width} as int)").alias("x"), F.expr(f"cast(v div {width} % {width} as int)").alias("y"), F.expr(f"v % {width}").alias("z"))
 
 
+def shape_sums(atoms: DataFrame, stamps: DataFrame, keys: Sequence[str] = ("mol_id",), crop: int | None = None, resolution: float = RESOLUTION, max_dist: float = MAX_DIST) -> DataFrame:
+    """Number of voxels of each of the ``shapes`` and the sums of their coordinates, a row a molecule: keys, ``n, sx, sy, sz``; no row for an empty shape."""
+
+    def summed(box: np.ndarray) -> pa.Array:
+        planes = box.sum(axis=3, dtype=np.int64)
+        along = [planes.sum(axis=2), planes.sum(axis=1), box.sum(axis=(1, 2), dtype=np.int64)]
+        places = np.arange(box.shape[1])
+        return pa.StructArray.from_arrays([pa.array(v) for v in (along[0].sum(axis=1), *[a @ places for a in along])], ["n", "sx", "sy", "sz"])
+
+    kind = StructType([StructField(c, LongType()) for c in ("n", "sx", "sy", "sz")])
+    return _laid(atoms, stamps, keys, crop, resolution, max_dist, summed, kind).select(*keys, "shape.*").filter("n > 0")
+
+
 def shape_patches(atoms: DataFrame, stamps: DataFrame, p: int, keys: Sequence[str] = ("mol_id",), crop: int | None = None, resolution: float = RESOLUTION, max_dist: float = MAX_DIST) -> DataFrame:
     """The ``patches`` of ``shapes`` as bits, a row a molecule: keys and ``patches``, a number for each patch in row-major order, empty ones too.
 

@@ -183,6 +183,8 @@ def test_shapes_travel_as_sums_and_bits(spark):
     for r in voxels.shapes(atoms, stamps, crop=21).collect():
         cells.setdefault(r["mol_id"], set()).add(tuple(r)[1:])
     assert cells == want
+    sums = {r["mol_id"]: tuple(r)[1:] for r in voxels.shape_sums(atoms, stamps, crop=21).collect()}
+    assert sums == {m: (len(v), *map(sum, zip(*v, strict=True))) for m, v in want.items()}
     bits = voxels.shape_patches(atoms, stamps, 3, crop=21)
     assert bits._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     plain = {(r["mol_id"], r["patch_id"]): r["values"] for r in voxels.patches(voxels.shapes(atoms, stamps, crop=21), 3, 21).collect()}
