@@ -204,3 +204,26 @@ def test_neighbourhoods_are_counted_in_rows(spark):
     out = voxels.neighbourhood_counts(spark.createDataFrame(marked, "mol_id int, x int, y int, z int"), 6, 1)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     assert {tuple(r)[:4]: r["value"] for r in out.collect()} == want
+
+
+def _chemistry_of_a_few(spark):
+    matrix = spark.createDataFrame([(i, r, 1 + (i + r) % 3) for i in range(1, 21) for r in range(5) if (i * r) % 4 != 3], "reactant_id long, rxn_id long, flag int")
+    molecules = spark.createDataFrame([(i, f"m{i % 15}") for i in range(1, 21)], "reactant_id long, smiles string")  # some names are of two reactants
+    table = spark.createDataFrame([(r, 1 + r % 2) for r in range(5)], "rxn_id long, n_reactants int")
+    return matrix, molecules, table, lambda pairs: pairs.withColumn("product", F.concat(F.lit("m"), (F.length("left") + F.col("rxn_id")) % 15))
+
+
+def test_a_route_draws_from_one_row_of_reactions(spark):
+    from retort.operators import routes
+
+    matrix, molecules, table, execute = _chemistry_of_a_few(spark)
+    own = spark.range(40).select(F.col("id").alias("route_id"), F.array().cast(f"array<{routes.STEP}>").alias("steps"), F.array(F.array(F.concat(F.lit("m"), F.col("id") % 17))).alias("stack"), F.lit(0).alias("rxn_id"), F.lit(0).alias("n_reactants"))
+    changed, stuck = routes.expand_routes(own, matrix, table, molecules, execute, 3, 2)
+    # plainly: each route with each reaction of its product, the least hash first
+    every = own.select("route_id", F.get(F.get("stack", F.lit(0)), F.lit(0)).alias("smiles")).join(molecules, "smiles").join(matrix, "reactant_id").withColumn("h", F.xxhash64(F.lit(3), F.lit(2), "route_id", "rxn_id"))
+    least = {}
+    for r in every.collect():
+        least[r["route_id"]] = min(least.get(r["route_id"], (1 << 64, 0)), (r["h"], r["rxn_id"]))
+    assert {r["route_id"]: r["steps"][-1]["ref_idx"] for r in changed.collect()} == {k: v for k, (_, v) in least.items()}
+    assert {r["route_id"] for r in stuck.collect()} == set(range(40)) - set(least)
+    assert "Window" not in changed._jdf.queryExecution().executedPlan().toString()
