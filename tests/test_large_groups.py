@@ -227,3 +227,18 @@ def test_a_route_draws_from_one_row_of_reactions(spark):
     assert {r["route_id"]: r["steps"][-1]["ref_idx"] for r in changed.collect()} == {k: v for k, (_, v) in least.items()}
     assert {r["route_id"] for r in stuck.collect()} == set(range(40)) - set(least)
     assert "Window" not in changed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_model_outputs_are_cut_before_they_meet_states(spark):
+    from retort.operators import routes
+
+    _, molecules, table, execute = _chemistry_of_a_few(spark)
+    states = spark.range(6).select(F.lit(0).cast("long").alias("target_id"), F.lit("m3").alias("target"), F.col("id").alias("state_id"), F.col("id").alias("seq"), F.array().cast(f"array<{routes.STEP}>").alias("steps"), F.array(F.array(F.lit("m1"), F.lit("m22")), F.array(F.lit("m4"))).alias("stack"), F.array(F.lit(0.5)).alias("scores"))
+    outputs = states.select("state_id", F.when(F.col("state_id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))).alias("token_logits"), F.array(*[(F.col("state_id") * k % 5).cast("double") for k in range(5)]).alias("reaction_logits"))
+    near = spark.createDataFrame([], "state_id long, rank int, idx long, smiles string, score double")
+    active, finished = routes.beam_step(states, outputs, near, table, execute, lambda p, t: F.when(p == t, 1.0).otherwise(0.5), 3, 100)
+    assert sorted(r["state_id"] for r in finished.collect()) == [0, 3]
+    best = {(s, sorted(range(5), key=lambda k: (-(s * k % 5), k))[i], s * 3 + i) for s in (1, 2, 4, 5) for i in range(3)}
+    got = {(r["seq"] // 3, r["steps"][-1]["ref_idx"], r["seq"]) for r in active.collect()}
+    assert got == best
+    assert "reaction_logits" not in active._jdf.queryExecution().toString()
