@@ -6,10 +6,11 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 
 #: Atomic numbers by element class of the one-hot features. Fixed values.
 ELEMENT_CLASSES = {
@@ -196,12 +197,49 @@ def _rings(ends: list[tuple[int, int]]) -> tuple[list[bool], int]:
     return in_ring, len(ends) - len(around) + parts
 
 
+#: Rounds in which bonds of end atoms are dropped; what is left of longer chains is walked.
+PRUNED = 32
+
+
+def _in_rings(of: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the different bonds ``a`` to ``b`` of molecule ``of`` whether it is in a ring, and the number of independent rings of each of ``n`` molecules.
+
+    All molecules lose the bonds of their end atoms together, round after round. Where each atom that is left has two bonds, and there are too few
+    bonds for two rings, what is left is one ring; only the others are walked one by one.
+    """
+    _, atom = np.unique(np.concatenate([a, b]), return_inverse=True)
+    _, atom = np.unique(np.concatenate([of, of]) * (atom.max(initial=0) + 1) + atom, return_inverse=True)
+    u, v = atom[: len(a)], atom[len(a) :]
+    left = np.ones(len(a), dtype=bool)
+    for _ in range(PRUNED):
+        bound = np.bincount(np.concatenate([u[left], v[left]]), minlength=len(atom))
+        ends = left & ((bound[u] == 1) | (bound[v] == 1))
+        if not ends.any():
+            break
+        left &= ~ends
+    bound = np.bincount(np.concatenate([u[left], v[left]]), minlength=len(atom))
+    size = np.bincount(of[left], minlength=n)
+    odd = np.bincount(of[left & ((bound[u] != 2) | (bound[v] != 2))], minlength=n) > 0
+    found = ((size > 0) & ~odd).astype(np.int64)
+    walked = odd | (size >= 6)
+    at = np.flatnonzero(left & walked[of])
+    at = at[np.argsort(of[at], kind="stable")]
+    first, pairs = 0, list(zip(u[at].tolist(), v[at].tolist(), strict=True))
+    for i in np.flatnonzero(walked).tolist():
+        last = first + int(size[i])
+        left[at[first:last]], found[i] = _rings(pairs[first:last])
+        first = last
+    return left, found
+
+
 def _with_rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_rings([(e["a"], e["b"]) for e in ends]) for ends in batch.column("ends").to_pylist()]
-        flags = [[{**e, "in_ring": f} for e, f in zip(ends, flags, strict=True)] for ends, (flags, _) in zip(batch.column("ends").to_pylist(), found, strict=True)]
-        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("in_ring", pa.bool_())]))
-        yield pa.RecordBatch.from_arrays([batch.column("mol_id"), pa.array(flags, kind), pa.array([n for _, n in found], pa.int64())], ["mol_id", "ends", "n_rings"])
+        held = batch.column("ends")
+        a, b = (np.asarray(held.flatten().field(c)) for c in "ab")
+        offsets = np.asarray(held.offsets)
+        flags, n = _in_rings(np.repeat(np.arange(batch.num_rows), np.diff(offsets)), a, b, batch.num_rows)
+        ends = pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(flags)], ["a", "b", "in_ring"])
+        yield pa.RecordBatch.from_arrays([batch.column("mol_id"), pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), ends), pa.array(n)], ["mol_id", "ends", "n_rings"])
 
 
 def rings(bonds: DataFrame) -> DataFrame:
@@ -214,10 +252,33 @@ def rings(bonds: DataFrame) -> DataFrame:
 
 
 def ring_flags(bonds: DataFrame) -> DataFrame:
-    """``bonds`` with ``in_ring``, true for bonds that are part of a ring; null or equal ends give false."""
-    each = rings(bonds).select("mol_id", F.explode("ends").alias("e")).select(F.col("mol_id").alias("_m"), F.col("e.a").alias("_a"), F.col("e.b").alias("_b"), "e.in_ring")
-    same = F.col("mol_id").eqNullSafe(F.col("_m")) & (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b"))
-    return bonds.join(each, same, "left").select(*bonds.columns, F.coalesce("in_ring", F.lit(False)).alias("in_ring"))
+    """``bonds`` with ``in_ring``, true for bonds that are part of a ring; null or equal ends give false. The bonds of a molecule come together in one row."""
+    others = [c for c in bonds.columns if c != "mol_id"]
+    ends = F.struct(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), F.struct(*others).alias("given"))
+    held = bonds.groupBy("mol_id").agg(F.collect_list(ends).alias("ends"))
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("ends")
+            a, b = (rows.flatten().field(c) for c in "ab")
+            of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(rows.offsets)))
+            real = ~(np.asarray(a.is_null()) | np.asarray(b.is_null()))
+            a, b = (np.asarray(x.fill_null(0)) for x in (a, b))
+            real &= a != b
+            order = np.flatnonzero(real)
+            order = order[np.lexsort((b[order], a[order], of[order]))]
+            same = np.zeros(len(order), dtype=bool)
+            same[1:] = (np.diff(of[order]) == 0) & (np.diff(a[order]) == 0) & (np.diff(b[order]) == 0)
+            once = order[~same]
+            flags, _ = _in_rings(of[once], a[once], b[once], batch.num_rows)
+            given = np.zeros(len(of), dtype=bool)
+            given[order] = flags[np.cumsum(~same) - 1]
+            offsets = np.asarray(rows.offsets)
+            yield batch.append_column("flags", pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(given)))
+
+    schema = held.select("*").schema.add("flags", ArrayType(BooleanType()))
+    each = held.mapInArrow(flagged, schema).select("mol_id", F.explode(F.arrays_zip("ends", "flags")).alias("t"))
+    return each.select(*["mol_id" if c == "mol_id" else F.col("t.ends.given")[c].alias(c) for c in bonds.columns], F.col("t.flags").alias("in_ring"))
 
 
 def with_ring_atoms(atoms: DataFrame, bonds: DataFrame) -> DataFrame:

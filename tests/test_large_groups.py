@@ -242,3 +242,25 @@ def test_model_outputs_are_cut_before_they_meet_states(spark):
     got = {(r["seq"] // 3, r["steps"][-1]["ref_idx"], r["seq"]) for r in active.collect()}
     assert got == best
     assert "reaction_logits" not in active._jdf.queryExecution().toString()
+
+
+def test_rings_are_found_for_many_molecules_together(spark):
+    import random
+
+    import numpy as np
+
+    from retort.operators import molecules
+
+    draw = random.Random(5)
+    mols = [sorted({tuple(sorted(draw.sample(range(n), 2))) for _ in range(draw.randrange(0, n + 3))}) for n in (2, 3, 5, 7, 9, 12) for _ in range(60)]
+    mols += [[(i, i + 1) for i in range(200)], [(0, 1), (1, 2), (0, 2), (5, 6), (6, 7), (5, 7)], [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (3, 5)], []]
+    of = np.array([i for i, m in enumerate(mols) for _ in m])
+    a, b = np.array([e for m in mols for e in m]).T
+    flags, n = molecules._in_rings(of, a, b, len(mols))
+    assert flags.tolist() == [f for m in mols for f in molecules._rings(m)[0]] and n.tolist() == [molecules._rings(m)[1] for m in mols]
+    empty = np.zeros(0, dtype=np.int64)
+    assert [x.tolist() for x in molecules._in_rings(empty, empty, empty, 2)] == [[], [0, 0]]
+    bonds = spark.createDataFrame([(1, 2, 1, "x"), (1, 1, 2, "y"), (1, 2, 3, "z"), (1, 3, 1, None), (1, 3, 4, "v"), (1, 4, 4, "w"), (None, None, 1, "u")], "mol_id int, a long, b long, kind string")
+    out = molecules.ring_flags(bonds)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 2, 1, "x", True), (1, 1, 2, "y", True), (1, 2, 3, "z", True), (1, 3, 1, None, True), (1, 3, 4, "v", False), (1, 4, 4, "w", False), (None, None, 1, "u", False)], key=str)
+    assert "Join" not in molecules.ring_flags(bonds)._jdf.queryExecution().executedPlan().toString()
