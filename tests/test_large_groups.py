@@ -264,3 +264,9 @@ def test_rings_are_found_for_many_molecules_together(spark):
     out = molecules.ring_flags(bonds)
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 2, 1, "x", True), (1, 1, 2, "y", True), (1, 2, 3, "z", True), (1, 3, 1, None, True), (1, 3, 4, "v", False), (1, 4, 4, "w", False), (None, None, 1, "u", False)], key=str)
     assert "Join" not in molecules.ring_flags(bonds)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ring_graphs_find_flags_once(spark):
+    from retort.plans import queries
+
+    assert "MapInArrow" not in queries.QUERIES["ring_graphs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
