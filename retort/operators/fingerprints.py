@@ -5,6 +5,7 @@ Distances come from a self equi-join on the molecule, aggregated right after the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -142,20 +143,23 @@ def cluster_points(points: DataFrame, radius: float = 2.0, feat: str = "HYD", en
     return points.select(*columns).filter(F.col("feat") != feat).unionByName(centres.select(*columns))
 
 
+@functools.lru_cache(maxsize=1 << 17)  # like environments are in many molecules
 def _identifier(text: str) -> int:
     """A number of 60 bits for a text: the first fifteen digits of its MD5."""
     return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
 
 
-def _environments(atoms: list[dict], bonds: list[dict], radius: int) -> list[int]:
+def _environments(atoms: list[tuple[int, int, int]], bonds: list[tuple[int, int, int]], radius: int) -> list[int]:
     """Identifiers of the environments of a molecule's atoms up to ``radius`` bonds, each set of bonds counted once.
 
+    ``atoms`` are number, atomic number and charge, ``bonds`` two numbers and the order.
+
     An atom's identifier of a round is made of its own and those of its neighbours of the round before, by bond orders. An environment whose bonds are those of
     one already counted, or of one of the same round with a lesser identifier, is left out, and its atom takes no part in later rounds.
     """
-    current = {a["atom_idx"]: _identifier(f"{a['atomic_num']},{a['charge']}") for a in atoms}
+    current = {i: _identifier(f"{number},{charge}") for i, number, charge in atoms}
     around: dict[int, list[tuple[int, int, tuple[int, int]]]] = {i: [] for i in current}
-    for x in {(min(b["a"], b["b"]), max(b["a"], b["b"]), b["order"]) for b in bonds}:
+    for x in {(a, b, o) if a < b else (b, a, o) for a, b, o in bonds}:
         if x[0] in around and x[1] in around and x[0] != x[1]:
             around[x[0]].append((x[2], x[1], x[:2]))
             around[x[1]].append((x[2], x[0], x[:2]))
@@ -177,6 +181,16 @@ def _environments(atoms: list[dict], bonds: list[dict], radius: int) -> list[int
     return found
 
 
+def _tuples(lists: pa.ListArray) -> Iterator[list[tuple]]:
+    """The structs of each row of a column of lists as tuples; none where a row is null."""
+    flat = lists.flatten()
+    rows = list(zip(*[flat.field(i).to_pylist() for i in range(flat.type.num_fields)], strict=True))
+    first = 0
+    for n in lists.value_lengths().fill_null(0).to_pylist():
+        yield rows[first : first + n]
+        first += n
+
+
 def circular_fp(atoms: DataFrame, bonds: DataFrame, radius: int = 2, bits: int = 256) -> DataFrame:
     """Set bits of a circular fingerprint: ``mol_id, bit``. All rounds run on a molecule's row; equal environments count once. Null charges read as 0."""
     a = atoms.groupBy("mol_id").agg(F.collect_list(F.struct(F.col("atom_idx").cast("long").alias("atom_idx"), F.col("atomic_num").cast("long").alias("atomic_num"), F.coalesce(F.col("charge"), F.lit(0)).cast("long").alias("charge"))).alias("atoms"))
@@ -185,7 +199,8 @@ def circular_fp(atoms: DataFrame, bonds: DataFrame, radius: int = 2, bits: int =
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({h % bits for h in _environments(x, y or [], radius)}) for x, y in zip(batch.column("atoms").to_pylist(), batch.column("bonds").to_pylist(), strict=True)]
+            mine, theirs = (_tuples(batch.column(c)) for c in ("atoms", "bonds"))
+            found = [sorted({h % bits for h in _environments(x, y, radius)}) for x, y in zip(mine, theirs, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("mol_id"), pa.array(found, pa.list_(pa.int32()))], ["mol_id", "set"])
 
     kind = dict(atoms.dtypes)["mol_id"]
