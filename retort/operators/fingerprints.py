@@ -1,6 +1,7 @@
 """Fingerprints of pharmacophore points ``mol_id, conf_id, point_no, feat, x, y, z`` and of atom graphs, and their statistics.
 
-Distances come from a self equi-join on the molecule, aggregated right after the join.
+Distances as rows come from a self equi-join on the molecule, aggregated right after the join. Histograms read their points once, as a row
+a molecule, and lay out a bounded number of distances at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 FEATURES = ("ARO", "HBD", "HBA", "POS", "NEG", "HYD")
 #: Histogram of distances: 40 bins of width 1.5 from -20 to 40.
 BINS, LOW, WIDTH = 40, -20.0, 1.5
+#: Pairs of points, conformers and molecules whose distances and sums a task holds at a time.
+PAIRS_AT_ONCE, CONFORMERS_AT_ONCE, MOLECULES_AT_ONCE = 1 << 18, 1024, 1024
 
 
 def feature_number(feat: Column) -> Column:
@@ -55,12 +58,79 @@ def histogram_bin(distance: Column) -> Column:
     return F.when((distance < LOW) | (distance > LOW + BINS * WIDTH), None).otherwise(F.least(fixed, F.lit(BINS - 1))).cast("int")
 
 
+def _conformer_sums(lists: pa.ListArray, unordered: bool, weigh: Callable, size: int, across: np.ufunc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, places and values, zeros left out, of the sums over the distances in each conformer, put together by ``across`` for each row's conformers.
+
+    ``lists`` has the points of a molecule in a row. ``weigh`` gives, for numbers of pairs of types and distances, some arrays of which pairs count,
+    at which of ``size`` places, and how much.
+    """
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+    conformer = flat.field("conf_id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    order = np.lexsort((conformer, row))
+    row, conformer = row[order], conformer[order]
+    t, number, x, y, z = (flat.field(c).to_numpy(zero_copy_only=False)[order] for c in ("t", "point_no", "x", "y", "z"))
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (conformer[1:] != conformer[:-1])]) if len(row) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.r_[first, len(row)])
+    own = np.repeat(np.arange(len(first)), n)  # the conformer of a point
+    squares, found, at = np.cumsum(n * n), [], 0
+    while at < len(first):
+        to = max(at + 1, min(at + CONFORMERS_AT_ONCE, int(np.searchsorted(squares, squares[at] - n[at] ** 2 + PAIRS_AT_ONCE, "right"))))
+        sums, point, last = np.zeros((to - at) * size), first[at], first[to - 1] + n[to - 1]
+        while point < last:  # once, but for a conformer that has more pairs alone
+            end = min(last, point + max(1, PAIRS_AT_ONCE // int(n[at]))) if to == at + 1 else last
+            partners = n[own[point:end]]
+            a = np.repeat(np.arange(point, end), partners)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(partners) - partners, partners) + first[own[a]]
+            kept = number[a] < number[b] if unordered else t[a] <= t[b]
+            a, b = a[kept], b[kept]
+            low, high = np.minimum(t[a], t[b]), np.maximum(t[a], t[b])
+            distance = np.sqrt((x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2 + (z[a] - z[b]) ** 2)
+            for counts, place, weight in weigh(low * len(FEATURES) - low * (low - 1) // 2 + high - low, distance):
+                sums += np.bincount((own[a[counts]] - at) * size + place, weight, len(sums))
+            point = end
+        held = np.flatnonzero(sums)
+        found.append((row[first[at + held // size]] * size + held % size, sums[held]))
+        at = to
+    keys, sums = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=(np.int64, float)[i]) for i in (0, 1))
+    keys, where = np.unique(keys, return_inverse=True)
+    values = np.zeros(len(keys))
+    across.at(values, where, sums)  # sums are above zero
+    return keys // size, keys % size, values
+
+
+def _distance_sums(points: DataFrame, unordered: bool, weigh: Callable, size: int, across: np.ufunc) -> DataFrame:
+    """``mol_id, slot, value``: ``_conformer_sums`` of each molecule. The points are read once."""
+    known = points.withColumn("t", feature_number(F.col("feat")).cast("long")).filter("t >= 0 and mol_id is not null and conf_id is not null")
+    if unordered:
+        known = known.filter("point_no is not null")
+    point = F.struct("conf_id", "t", "point_no", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    held = known.groupBy("mol_id").agg(F.collect_list(point).alias("points"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, MOLECULES_AT_ONCE):
+                part = batch.slice(at, MOLECULES_AT_ONCE)
+                row, place, value = _conformer_sums(part.column("points"), unordered, weigh, size, across)
+                yield pa.RecordBatch.from_arrays([part.column("mol_id").take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(value)], ["mol_id", "slot", "value"])
+
+    return held.mapInArrow(summed, f"mol_id {known.schema['mol_id'].dataType.simpleString()}, slot int, value double")
+
+
 def ph4_histogram_fp(points: DataFrame, overflow: str = "wrap") -> DataFrame:
     """Sparse distance histogram, 21 pairs of types x 40 bins: ``mol_id, slot, value``; values wrap at 256 or are capped at 255."""
-    counted = point_distances(points).withColumn("bin", histogram_bin(F.col("distance"))).filter("bin is not null")
-    value = F.count("*")
+
+    def weigh(slot: np.ndarray, distance: np.ndarray):
+        counts = (distance >= LOW) & (distance <= LOW + BINS * WIDTH)
+        d = distance[counts]
+        guess = np.floor((d - LOW) / WIDTH)
+        guess += np.where(d < LOW + guess * WIDTH, -1, np.where(d >= LOW + (guess + 1) * WIDTH, 1, 0))
+        yield counts, slot[counts] * BINS + np.minimum(guess, BINS - 1).astype(np.int64), None
+
+    counted = _distance_sums(points, False, weigh, len(FEATURES) * (len(FEATURES) + 1) // 2 * BINS, np.add)
+    value = F.col("value").cast("long")
     value = F.pmod(value, F.lit(256)) if overflow == "wrap" else F.least(value, F.lit(255))
-    return counted.groupBy("mol_id", (F.col("slot") * BINS + F.col("bin")).alias("slot")).agg(value.alias("value")).filter("value != 0")
+    return counted.select("mol_id", "slot", value.alias("value")).filter("value != 0")
 
 
 def ph4_gaussian_fp(points: DataFrame, sigma: float = 2.0, cutoff: float = 10.0, normalize: bool = True) -> DataFrame:
@@ -86,13 +156,19 @@ def ph4_grid_fp(points: DataFrame, cells: int = 20, low: float = -20.0, high: fl
 def ph4_soft_fp(points: DataFrame, width: float = 0.5, most: float = 20.0, cap: float | None = None) -> DataFrame:
     """Distances split linearly over two neighbouring bins, unordered pairs, the maximum over conformers: ``mol_id, slot, value``."""
     bins = int(most / width)
-    near = point_distances(points, unordered=True).filter(F.col("distance") < most)
-    place = near.withColumn("low", F.floor(F.col("distance") / width)).withColumn("part", F.col("distance") / width - F.col("low"))
-    halves = F.array(F.struct(F.col("low").alias("bin"), (1 - F.col("part")).alias("w")), F.struct((F.col("low") + 1).alias("bin"), F.col("part").alias("w")))
-    each = place.select("mol_id", "conf_id", "slot", F.explode(halves).alias("h")).filter((F.col("h.bin") < bins) & (F.col("h.w") > 0))
-    summed = each.groupBy("mol_id", "conf_id", (F.col("slot") * bins + F.col("h.bin")).alias("slot")).agg(F.sum("h.w").alias("value"))
-    value = F.max("value")
-    return summed.groupBy("mol_id", "slot").agg((F.least(value, F.lit(cap)) if cap else value).alias("value"))
+
+    def weigh(slot: np.ndarray, distance: np.ndarray):
+        near = distance < most
+        low = np.floor(distance[near] / width)
+        part = distance[near] / width - low
+        for bin_, weight in ((low, 1 - part), (low + 1, part)):
+            inside = bin_ < bins
+            counts = np.flatnonzero(near)[inside]
+            yield counts, slot[counts] * bins + bin_[inside].astype(np.int64), weight[inside]
+
+    summed = _distance_sums(points, True, weigh, len(FEATURES) * (len(FEATURES) + 1) // 2 * bins, np.maximum)
+    value = F.col("value")
+    return summed.select("mol_id", F.col("slot").cast("long").alias("slot"), (F.least(value, F.lit(cap)) if cap else value).alias("value"))
 
 
 def _cluster_labels(xyz: np.ndarray, radius: float) -> list[int]:
