@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from retort.operators import fingerprints
+from retort.streaming import jobs
 
 SCHEMA = "mol_id string, conf_id int, point_no int, feat string, x double, y double, z double"
 
@@ -91,3 +92,35 @@ def test_blocks_of_distances_do_not_matter(limit, monkeypatch):
     monkeypatch.setattr(fingerprints, "CONFORMERS_AT_ONCE", 2)
     cut = found()
     assert all(a.tolist() == b.tolist() for a, b in zip(whole[:2], cut[:2], strict=True)) and cut[2].tolist() == pytest.approx(whole[2].tolist()) and len(cut[0]) > 10
+
+
+def test_numbers_beside_nulls_stay_whole_in_state(spark, tmp_path):
+    schema = "mol_id long, tag long, n_points long"
+    big = 2**60 + 1
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.gathered(jobs.arriving(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), "mol_id", "n_points")
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run([(big, big, 4), (big, None, None), (None, big, 1)])
+    run([(big, None, 4), (big, big + 1, None)])
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(big, big, 4, True), (big, None, None, True), (big, None, 4, True), (big, big + 1, None, True), (None, big, 1, True)], key=str)
+
+
+def test_rows_of_a_batch_are_computed_once(spark, tmp_path):
+    rows = [(m, 0, i, "ARO HBD HYD".split()[i % 3], float(i), 0.0, 1.0) for m in range(40) for i in range(6)]
+    schema = spark.createDataFrame([], SCHEMA.replace("string", "long", 1)).schema
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    log = str(tmp_path / "log")
+
+    def seen(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.write(f"{batch.num_rows}\n")
+            yield batch
+
+    jobs.fingerprint_stream(jobs.arriving(spark, f"{tmp_path}/in", schema).mapInArrow(seen, schema), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    with open(log) as f:
+        assert sum(map(int, f)) == len(rows)
