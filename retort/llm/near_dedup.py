@@ -12,6 +12,9 @@ bit for each place that shingles fall on, which never is too low. The others are
 those of the hubs. Pairs inside one component need no check, for they cannot change it. So a group of near copies costs about
 its size, no partner is capped, and no link between two classes of a bucket is lost.
 
+Tables between the steps are written and read again rather than checkpointed: they are computed once, and small ones come back
+in few partitions with a known size, so that the driver plans and tracks few tasks.
+
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a text of fewer
 than five words is one shingle; a null id is never linked; rows that repeat an id are documents of their own, linked by their
 own texts (those of one set with the same id are copies like any others, of which one stays); names of further columns do not
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retort.llm.common import checkpointed, unused, written
+from retort.llm.common import unused, written
 from retort.llm.hashing import mixed, shingle_sets
 
 BANDS, ROWS = 40, 5
@@ -112,18 +115,19 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links (a, b)``: ``id, component`` for every linked id, the component being its least id.
 
-    Labels go over the links and then to their own label's label, until their sum stays the same. ``links`` is read every round.
+    Labels go over the links and then to their own label's label, until none that comes over a link is less than what is there.
+    ``links`` is read every round.
     """
     ends = F.explode(F.array(*[F.struct(F.col(x).alias("id"), F.col(y).alias("near")) for x, y in ("ab", "ba", "aa", "bb")]))
     both = links.select(ends.alias("e")).select("e.id", "e.near")
-    labels, total = checkpointed(both.groupBy("id").agg(F.min("near").alias("component"))), None
+    labels = written(both.groupBy("id").agg(F.min("near").alias("component")), "labels")
+    own = F.min(F.when(F.col("id") == F.col("near"), F.col("component"))).alias("own")
     while True:
-        sent = checkpointed(both.join(labels.withColumnRenamed("id", "near"), "near").groupBy("id").agg(F.min("component").alias("to")))
-        roots = sent.select(F.col("id").alias("root"), F.col("to").alias("root_to"))
-        labels = checkpointed(sent.join(roots, F.col("to") == F.col("root"), "left").select("id", F.least("to", F.coalesce("root_to", "to")).alias("component")))
-        before, total = total, labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if total == before:
+        sent = written(both.join(labels.withColumnRenamed("id", "near"), "near").groupBy("id").agg(own, F.min("component").alias("to")), "sent")
+        if sent.filter("to < own").isEmpty():
             return labels
+        roots = sent.select(F.col("id").alias("root"), F.col("to").alias("root_to"))
+        labels = written(sent.join(roots, F.col("to") == F.col("root"), "left").select("id", F.least("to", F.coalesce("root_to", "to")).alias("component")), "labels")
 
 
 def _joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
@@ -132,9 +136,9 @@ def _joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
         return components(fresh)
     of_a, of_b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
     between = fresh.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    moved = components(checkpointed(between.filter("a != b").distinct()))
+    moved = components(written(between.filter("a != b").distinct(), "between"))
     known = labels.unionByName(fresh.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").withColumn("component", F.col("id")))
-    return checkpointed(known.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+    return written(known.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
 
 
 def _enough(both: Column, n_a: Column, n_b: Column) -> Column:
@@ -173,7 +177,7 @@ def _hub_pairs(open_rows: DataFrame) -> DataFrame:
     """
     hub = F.max(F.struct((F.col("component") != F.col("main")).alias("aside"), "mates", "id", "n", "component"))
     hubs = open_rows.groupBy("band").agg(hub.alias("hub")).select("band", F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("of_b"))
-    met = open_rows.join(checkpointed(hubs), "band").filter((F.col("component") != F.col("of_b")) & _fitting(F.col("n"), F.col("n_b")))
+    met = open_rows.join(written(hubs, "hubs"), "band").filter((F.col("component") != F.col("of_b")) & _fitting(F.col("n"), F.col("n_b")))
     return _ordered(met)
 
 
@@ -201,11 +205,11 @@ def _open_rows(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         placed = members.withColumn("component", F.col("id"))
     else:
-        placed = checkpointed(members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        placed = written(members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     parts = placed.groupBy("band", "component").agg(F.count("*").alias("part"))
     largest = F.max(F.struct("part", "component")).alias("largest")
     totals = parts.groupBy("band").agg(F.sum("part").alias("size"), largest).filter("size > largest.part")
-    return placed.join(checkpointed(totals.selectExpr("band", "size", "largest.component main", "size - largest.part n_aside")), "band")
+    return placed.join(written(totals.selectExpr("band", "size", "largest.component main", "size - largest.part n_aside"), "totals"), "band")
 
 
 def _classes(signed: DataFrame) -> DataFrame:
@@ -222,11 +226,11 @@ def _few(rows: DataFrame) -> DataFrame:
 def _labels(texts: DataFrame, classes: DataFrame) -> DataFrame | None:
     """``id, component`` of the linked classes; None where no class is linked."""
     buckets = classes.select("id", "n", F.explode("bands").alias("band"))
-    shared = checkpointed(buckets.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
+    shared = written(buckets.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
     members = written(buckets.join(shared, "band"), "buckets")
     mates = members.groupBy("id").agg(F.sum("size").alias("mates"))
     members = written(members.drop("size").join(mates, "id"), "members")
-    wanted = checkpointed(members.select("id").distinct().join(classes.select("id", "doc_id", "digest"), "id"))
+    wanted = written(members.select("id").distinct().join(classes.select("id", "doc_id", "digest"), "id"), "wanted")
     sets = written(texts.join(_few(wanted), ["doc_id", "digest"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets, "id long, shingles array<long>, bits array<long>"), "sets")
     labels, productive = None, True
     while True:
@@ -234,8 +238,8 @@ def _labels(texts: DataFrame, classes: DataFrame) -> DataFrame | None:
             open_rows = members.withColumns({"component": F.col("id"), "main": F.lit(None).cast("long")})
         else:
             open_rows = _open_rows(members, labels)
-        pairs = checkpointed(_hub_pairs(open_rows) if productive else _block_pairs(open_rows, sets))
-        fresh = checkpointed(_alike(pairs, sets))
+        pairs = written(_hub_pairs(open_rows) if productive else _block_pairs(open_rows, sets), "pairs")
+        fresh = written(_alike(pairs, sets), "links")
         n_links = fresh.count()
         if n_links:
             labels = _joined(labels, fresh)
@@ -252,10 +256,9 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     labels = _labels(texts, classes)
     named = classes.select("n", "one", "two", "id", F.col("doc_id").alias("component_id"))
     if labels is not None:
-        least = checkpointed(named.join(labels, "id").groupBy("component").agg(F.min("component_id").alias("least")))
-        known = checkpointed(labels.join(least, "component").select("id", "least"))
-        named = named.join(known, "id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
-    out = signed.select("doc_id", "digest", "n", "one", "two").join(checkpointed(named.select("n", "one", "two", "component_id")), ["n", "one", "two"], "left")
+        least = written(named.join(labels, "id").groupBy("component").agg(F.min("component_id").alias("least")), "least")
+        named = named.join(labels.join(least, "component").select("id", "least"), "id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
+    out = signed.select("doc_id", "digest", "n", "one", "two").join(written(named.select("n", "one", "two", "component_id"), "named"), ["n", "one", "two"], "left")
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
 
 
@@ -267,14 +270,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of ``docs``; of rows with equal id and set one stays, rows with a null id all stay."""
-    verdicts = checkpointed(_verdicts(docs).filter("doc_id is not null"))
+    verdicts = written(_verdicts(docs).filter("doc_id is not null"), "verdicts")
     texts = verdicts.groupBy("doc_id", "digest", "n", "one", "two", "component_id").agg(F.count("*").alias("rows"))
     first = F.min("digest").over(Window.partitionBy("doc_id", "n", "one", "two"))
     stays = (F.col("doc_id") == F.col("component_id")) & (F.col("digest") == F.col("first"))
     key, twice = unused("key", docs.columns), unused("twice", docs.columns)
     # only texts that go, or that stand in several rows, are looked up
     marked = texts.withColumn("first", first).withColumn(twice, stays).filter(~F.col(twice) | (F.col("rows") > 1))
-    marked = checkpointed(marked.select(F.struct("doc_id", "digest").alias(key), twice))
+    marked = written(marked.select(F.struct("doc_id", "digest").alias(key), twice), "marked")
     keyed = docs.filter(F.col("doc_id").isNotNull()).withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest")))
     joined = keyed.join(_few(marked), key, "left")
     out = joined.filter(F.col(twice).isNull()).drop(key, twice).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -106,3 +106,23 @@ def test_empty_null_ids_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long, component string")
     kept = near_dedup.deduplicated(docs)
     assert kept.columns == docs.columns and sorted((r[0] or 0) for r in kept.collect()) == [0, 0, 3]
+
+
+def test_small_tables_between_steps_are_few_tasks(spark, sf_small):
+    """What the driver keeps of tasks must not be a multiple of the shuffle partitions for each of many small tables."""
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    context = spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few tasks", "near duplicates")
+        assert op8_near_duplicates(spark, sf_small).count() > 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(j).stageIds]
+    tasks = sum(s.numCompletedTasks for s in stages if s)
+    assert 0 < tasks < 2500  # 1,462; with checkpoints 4,885
