@@ -19,7 +19,7 @@ _PAD = 60
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs, at least 1; 64 stands for more than 60."""
-    bits = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
+    bits = np.maximum((ids.astype(np.float64).view(np.int64) >> 52) - 1022, 1).astype(np.uint8)  # the exponent
     bits[bits >= 60] = 60
     bits[ids >> np.uint64(60) > 0] = 64
     return bits
@@ -66,19 +66,21 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     selectors, places = np.array(columns).T, np.array(places).T  # a row a block
     used = selectors > 0
     block_of = np.broadcast_to(every[:, None], selectors.shape)[used]
-    selector_of, place_of = selectors[used], places[used]
+    selector_of = selectors[used]
+    every_row, spots = rows.ravel(), block_of * rows.shape[1] + places[used]
     sizes = 1 + (selector_of == ESCAPE)
     word_at = np.concatenate([[0], np.cumsum(sizes)])
     words = np.zeros(word_at[-1], dtype=np.uint64)
     for selector in np.unique(selector_of):
         mine = np.flatnonzero(selector_of == selector)
+        spot = spots[mine]
         if selector == ESCAPE:
             words[word_at[mine]] = np.uint64(ESCAPE) << np.uint64(60)
-            words[word_at[mine] + 1] = rows[block_of[mine], place_of[mine]]
+            words[word_at[mine] + 1] = every_row[spot]
             continue
         word = np.full(len(mine), np.uint64(selector) << np.uint64(60), dtype=np.uint64)
         for j in range(COUNTS[selector]):
-            word |= rows[block_of[mine], place_of[mine] + j] << np.uint64(j * WIDTHS[selector])
+            word |= every_row[spot + j] << np.uint64(j * WIDTHS[selector])
         words[word_at[mine]] = word
     per_block = np.bincount(block_of, weights=sizes, minlength=blocks).astype(np.int64)
     return words, np.concatenate([[0], np.cumsum(per_block)])

@@ -45,7 +45,9 @@ LIBRARY_BYTES = 1 << 18
 #: Pieces whose ids are gathered at once, and words that go to the library end to end.
 SLOTS, RUN = 1 << 19, 1000
 END_ID = 0
-_MARKS = ".,;:!?"
+#: All ASCII marks but the apostrophe, with which the tokenizer's contractions begin; as a class of a pattern.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_A_MARK = f"[{re.escape(_MARKS)}]"
 _ANY_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 _WIDE_SPACE = f"{_ANY_SPACE} "
 _FILES = "shard int, part int, path string, n_docs long, n_ids long"
@@ -148,9 +150,9 @@ class Encoder:
 
     def _pieces(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces after a space. Marks after a letter or digit are pieces of their own to the tokenizer, so that they are split off and the rest is encoded once."""
-        marked = np.asarray(pc.match_substring_regex(names, rf"[\p{{L}}\p{{N}}][{_MARKS}]+$").to_numpy(zero_copy_only=False), dtype=bool)
+        marked = np.asarray(pc.match_substring_regex(names, rf"[\p{{L}}\p{{N}}]{_A_MARK}+$").to_numpy(zero_copy_only=False), dtype=bool)
         split = pc.dictionary_encode(pc.if_else(pa.array(marked), pc.utf8_rtrim(names, _MARKS), names))
-        marks = pc.dictionary_encode(pc.extract_regex(names.filter(pa.array(marked)), f"(?P<marks>[{_MARKS}]+)$").field("marks"))
+        marks = pc.dictionary_encode(pc.extract_regex(names.filter(pa.array(marked)), f"(?P<marks>{_A_MARK}+)$").field("marks"))
         units = _Units.of([self._words(split.dictionary), self._each(marks.dictionary)])
         which = np.zeros(2 * len(names), np.int64)
         which[::2] = np.asarray(split.indices)

@@ -90,3 +90,23 @@ def test_added_tokens_are_the_librarys():
     parts = np.split(ids, np.cumsum(counts)[:-1])
     assert [list(p) for p in parts] == [[*plain.encode(t, add_special_tokens=False).ids, token_files.END_ID] for t in texts]
     assert 50256 in parts[0] and list(parts[1]).count(50256) == 3
+
+
+def test_marks_after_words_are_encoded_apart():
+    """A word with other marks after it goes to the library once; every ASCII mark, alone, beside others and after the apostrophe, gives the library's ids."""
+    encoder, given = token_files.Encoder(TOKENIZER), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    plain = encoder.tokenizer
+    encoder.tokenizer = Counting()
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    ends = ["", *marks, "$$$", "&&&", "%%%", ",###", ".***", "]^", "^]", "\\-", "'.", ".'", "'s", "'s.", "s'", "'s'", "_a", "²;"]
+    texts = [" ".join(["first", *(f"word{i}é{e}" for i in range(200)), e, f"é{e}{e}"]) for e in ends]
+    ids, counts = encoder.encode(pa.array(texts))
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [list(p) for p in parts] == [[*plain.encode(t, add_special_tokens=False).ids, token_files.END_ID] for t in texts]
+    assert sum(map(len, given)) < sum(map(len, texts)) / 4
